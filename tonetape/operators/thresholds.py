@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 46 thresholds from 0.50 to 0.95.
@@ -92,33 +92,27 @@ def _level(confidence: Column) -> Column:
 
 
 def _swept(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """tp, fp, tn, fn kept at each of the thresholds, and the totals ``n``, ``n_pos``, ``n_neg``."""
+    """tp, fp, tn, fn kept at each of the thresholds, and the totals ``n``, ``n_pos``, ``n_neg``.
+
+    Rows are reduced to one per (model, level); these few are then counted at every threshold.
+    """
     levels = (
         _scored(predictions, by)
         .withColumn("level", _level(F.col("confidence")))
         .groupBy(*by, "level")
         .agg(*_cells(F.lit(True)))
     )
-    totals = levels.groupBy(*by).agg(
-        F.sum(F.expr("tp + fp + tn + fn")).alias("n"),
-        F.sum(F.expr("tp + fp")).alias("n_pos"),
-        F.sum(F.expr("tn + fn")).alias("n_neg"),
-    )
-    steps = totals.select(
-        *by,
-        "n",
-        "n_pos",
-        "n_neg",
-        F.posexplode(F.array(*(F.lit(t) for t in THRESHOLDS))).alias("level", "threshold"),
-    )
-    above = Window.partitionBy(*by).orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(levels, [*by, "level"], "left").select(
-        *by,
-        "threshold",
-        "n",
-        "n_pos",
-        "n_neg",
-        *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("tp", "fp", "tn", "fn")),
+    steps = F.posexplode(F.array(*(F.lit(t) for t in THRESHOLDS))).alias("step", "threshold")
+    kept = F.col("level") >= F.col("step")
+    return (
+        levels.select("*", steps)
+        .groupBy(*by, "threshold")
+        .agg(
+            F.sum(F.expr("tp + fp + tn + fn")).alias("n"),
+            F.sum(F.expr("tp + fp")).alias("n_pos"),
+            F.sum(F.expr("tn + fn")).alias("n_neg"),
+            *(F.sum(F.when(kept, F.col(c)).otherwise(0)).alias(c) for c in ("tp", "fp", "tn", "fn")),
+        )
     )
 
 

@@ -59,6 +59,32 @@ def _comparable(rows: DataFrame) -> DataFrame:
     return rows.select(*(shown(f) for f in rows.schema))
 
 
+# Stored stages: what several passes of an operator read is written once to the shared folder.
+
+
+def _stored_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.write_table(data.bin_sentiment(spark, folder), shared_folder(spark))
+
+
+def _stored_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.write_table(data.price_panel(spark, folder), shared_folder(spark))
+
+
+def _merged(spark: SparkSession, folder: str) -> DataFrame:
+    changes = returns.panel_returns(_stored_panel(spark, folder))
+    return returns.merge_returns(data.bin_sentiment(spark, folder), changes)
+
+
+def _stored_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.write_table(_merged(spark, folder), shared_folder(spark))
+
+
+def _stored_model_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents with a 0/1 label."""
+    rows = frames.model_frame(data.document_vectors(spark, folder), drop_middle=True)
+    return tables.write_table(rows.select("doc_id", *FEATURES, "Label"), shared_folder(spark))
+
+
 # Bins and look-backs
 
 
@@ -91,7 +117,7 @@ def lookback_two_pass(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rolling_weighted_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    return rolling.rolling_weighted_sentiment(data.bin_sentiment(spark, folder), lookback="10 days")
+    return rolling.rolling_weighted_sentiment(_stored_sentiment(spark, folder), lookback="10 days")
 
 
 # Cleaning
@@ -249,27 +275,17 @@ def labelled_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def panel_returns(spark: SparkSession, folder: str) -> DataFrame:
-    return returns.panel_returns(data.price_panel(spark, folder))
-
-
-def _merged(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentiment with returns, stored: the operators after it read it more than once."""
-    merged = returns.merge_returns(
-        data.bin_sentiment(spark, folder), returns.panel_returns(data.price_panel(spark, folder))
-    )
-    return tables.write_table(merged, shared_folder(spark))
+    return returns.panel_returns(_stored_panel(spark, folder))
 
 
 @query
 def merged_returns(spark: SparkSession, folder: str) -> DataFrame:
-    return returns.merge_returns(
-        data.bin_sentiment(spark, folder), returns.panel_returns(data.price_panel(spark, folder))
-    )
+    return _merged(spark, folder)
 
 
 @query
 def lag_delta_features(spark: SparkSession, folder: str) -> DataFrame:
-    return returns.lag_delta_features(_merged(spark, folder))
+    return returns.lag_delta_features(_stored_merged(spark, folder))
 
 
 # Model frames and splits
@@ -320,7 +336,7 @@ def chronological_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def split_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    split = splits.chronological_split(_merged(spark, folder))
+    split = splits.chronological_split(_stored_merged(spark, folder))
     return summaries.time_range(split, by=["is_train"])
 
 
@@ -355,14 +371,8 @@ def confidence_histogram(spark: SparkSession, folder: str) -> DataFrame:
 # Forests
 
 
-def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents with a 0/1 label, stored: every fit reads them again."""
-    rows = frames.model_frame(data.document_vectors(spark, folder), drop_middle=True)
-    return tables.write_table(rows.select("doc_id", *FEATURES, "Label"), shared_folder(spark))
-
-
 def _train_and_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = splits.hash_split(_model_rows(spark, folder), ["doc_id"], {"test": 0.2, "train": 0.8})
+    rows = splits.hash_split(_stored_model_rows(spark, folder), ["doc_id"], {"test": 0.2, "train": 0.8})
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
@@ -389,7 +399,7 @@ def rf_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rf_grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    return forest.grid_search(_model_rows(spark, folder), FEATURES, ["doc_id"], features_per_split=(1, 3))[0]
+    return forest.grid_search(_stored_model_rows(spark, folder), FEATURES, ["doc_id"], features_per_split=(1, 3))[0]
 
 
 @query
