@@ -413,10 +413,13 @@ def rf_importances(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Share events written as gzip JSON lines and cleaned again from there."""
+    """Share events written as gzip JSON lines and cleaned again from there.
+
+    Gzip files cannot be split, so they are kept short for the reading to spread.
+    """
     path = shared_folder(spark)
     raw = data.share_events(spark, folder)
-    raw.drop("l_orderkey", "l_linenumber").write.json(path, compression="gzip")
+    raw.drop("l_orderkey", "l_linenumber").write.option("maxRecordsPerFile", 50_000).json(path, compression="gzip")
     return jobs.clean_events(event_source.read_events(spark, path))
 
 
