@@ -100,6 +100,14 @@ def test_lookback_equals_two_passes(events):
     assert [(r.TimeStamp, r.Ticker, r.sentiment_count) for r in found] == expected
 
 
+def test_rows_without_a_stamp_count_nowhere(events):
+    rows = events([(None, "A", 1.0), (at(8, "14:30:00"), "A", 1.0)])
+    assert bins.bin_end_summary(rows, threshold=1).first().sentiment_count == 1
+    assert bins.bin_start_day_summary(rows, DAY, threshold=1).first().sentiment_count == 1
+    assert bins.bin_time_of_day_summary(rows, DAY, threshold=1).first().sentiment_count == 1
+    assert {r.sentiment_count for r in bins.lookback_summary(rows, DAY, threshold=1).collect()} == {1}
+
+
 def test_rejects_rules_that_leave_the_day(events):
     rows = events([(at(8, "12:00:00"), "A", 1.0)])
     with pytest.raises(ValueError):

@@ -66,6 +66,25 @@ def test_clean_events_schema(spark):
     assert (row.TimeStamp, row.TimeInterval) == (dt.datetime(2016, 3, 4, 12, 7), dt.datetime(2016, 3, 4, 12, 15))
 
 
+def test_slim_days_keep_weekends(spark, logs):
+    jobs.slim_days(spark, str(logs / "logs"), FRIDAY, TUESDAY, str(logs / "slim"))
+    found = spark.read.csv(str(logs / "slim")).groupBy("day").count().orderBy("day").collect()
+    assert [(str(r.day), r["count"]) for r in found] == [("2016-03-04", 7), ("2016-03-05", 9), ("2016-03-07", 18)]
+    assert all(p.name.endswith(".bz2") for p in (logs / "slim").glob("day=*/part-*"))
+
+
+def test_statement_sets(frame):
+    rows = frame(
+        [(str(i), 9.0, float(i), 1.0, i % 3, 0.1 * (i - 20), 0.5) for i in range(60)],
+        "_c0 string, zero double, one double, two double, Label int, ROE_excess_change double, ROE_change double",
+    )
+    train, test, names, ratio = jobs.statement_sets(rows, 0.1, ["ROE_change"], "ROE_excess_change", drop_middle=True, last_feature=2)
+    assert (train.count(), test.count()) == (36, 4)
+    assert names == ["one", "two", "ROE_change"]
+    assert not {r._c0 for r in train.collect()} & {r._c0 for r in test.collect()}
+    assert (ratio.first().rows, ratio.first().positive_ratio) == (40, 26 / 40)
+
+
 def test_labelled_returns(spark, frame):
     raw = spark.createDataFrame([event(4, 1, 0.5), event(4, 2, 0.5), event(4, 1, 0.5, ric="B.O", domain="b.org")], SHARE_EVENT)
     stock = frame([("2016-03-04 12:01:00", "A", "0.5"), ("2016-03-04 12:02:00", "A", "-1")], "Lagged_Time string, variable string, Return string")

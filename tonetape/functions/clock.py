@@ -32,9 +32,14 @@ def floor_div(value: Column, width: int) -> Column:
     return ((value - F.pmod(value, F.lit(width))) / width).cast("long")
 
 
+def parse_exact(text: Column) -> Column:
+    """ISO stamp with its seconds and fraction, null where the text is no stamp."""
+    return F.try_to_timestamp(text)
+
+
 def parse_minute(text: Column) -> Column:
     """ISO stamp cut to the minute, null where the text is no stamp."""
-    return F.date_trunc("minute", F.try_to_timestamp(text))
+    return F.date_trunc("minute", parse_exact(text))
 
 
 def parse_in_zone(text: Column, zone: str = "America/Los_Angeles") -> Column:

@@ -129,7 +129,8 @@ def lookback_summary(
         raise ValueError("anchors and their look-back must lie inside one day")
     since_first = micros_of_day(F.col("TimeStamp")) - zero
     runs = (
-        rows.select(
+        rows.filter(F.col("TimeStamp").isNotNull())
+        .select(
             "Ticker",
             SCORE,
             *(f"is_event_{e}" for e in events),

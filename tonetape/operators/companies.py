@@ -29,17 +29,22 @@ def select_company(exploded: DataFrame, column: str = "company") -> DataFrame:
     ).filter(F.col("Ticker").isNotNull() & F.col("company_sentiment_score").isNotNull())
 
 
-def slim_companies(events: DataFrame, column: str = "companies") -> DataFrame:
+def select_company_text(exploded: DataFrame, column: str = "company") -> DataFrame:
+    """Company fields as the text they came as; rows without a RIC or a score go."""
+    company = F.col(column)
+    others = [c for c in exploded.columns if c != column]
+    return exploded.select(
+        *others,
+        company["count"].alias("company_count"),
+        company["sentiment_score"].alias("company_sentiment_score"),
+        company["ric"].alias("company_ric"),
+    ).filter(F.col("company_ric").isNotNull() & F.col("company_sentiment_score").isNotNull())
+
+
+def slim_companies(events: DataFrame, column: str = "companies", keep: tuple[str, ...] = ()) -> DataFrame:
     """Only stamp, score and RIC, all as text, both company fields present."""
-    return (
-        explode_companies(events.select("standardTimestamp", column), column)
-        .select(
-            "standardTimestamp",
-            F.col("company.sentiment_score").alias("company_sentiment_score"),
-            F.col("company.ric").alias("company_ric"),
-        )
-        .filter(F.col("company_ric").isNotNull() & F.col("company_sentiment_score").isNotNull())
-    )
+    exploded = explode_companies(events.select(*keep, "standardTimestamp", column), column)
+    return select_company_text(exploded).drop("company_count")
 
 
 def flatten_companies(events: DataFrame, column: str = "companies") -> DataFrame:

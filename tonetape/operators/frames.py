@@ -51,9 +51,15 @@ def model_frame(
     return kept.na.drop("any").withColumns({f"{c}_sign": F.col(c) > 0 for c in signs})
 
 
-def feature_names(rows: DataFrame, first: int, last: int, extra: Iterable[str] = ()) -> list[str]:
-    """Columns at positions ``first`` to ``last``, both included, and the extra ones."""
-    return [*rows.columns[first : last + 1], *extra]
+def feature_names(
+    rows: DataFrame, first: int, last: int, extra: Iterable[str] = (), *, index: str | None = None
+) -> list[str]:
+    """Columns at positions ``first`` to ``last``, both included, and the extra ones.
+
+    Positions count from 0 and leave out the ``index`` column, if one is named.
+    """
+    columns = [c for c in rows.columns if c != index]
+    return [*columns[first : last + 1], *extra]
 
 
 def features_except(rows: DataFrame, *others: str) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonetape.functions import clock
 from tonetape.functions.text import host_of
-from tonetape.operators import bins, companies, dummies, returns, rolling
+from tonetape.operators import bins, companies, dummies, frames, returns, rolling, splits, summaries
 from tonetape.schemas import DEVICE_TYPES, EVENT_TYPES
 from tonetape.session import shared_folder
 from tonetape.sources import events as event_source
@@ -77,7 +77,7 @@ def labelled_returns(
 ) -> DataFrame:
     """Events with device, domain and event flags, joined to the return of their minute and ticker.
 
-    The label list (at most ``domains`` names) is the only thing collected: it names columns.
+    Events are read twice, for the labels and for the rows: give this landed ones. The label list (at most ``domains`` names) is the only thing collected: it names columns.
     """
     clean_stock = returns.clean_returns(stock)
     wanted = raw.select("standardTimestamp", "mappedEvent", "deviceType", "refDomain", "companies")
@@ -103,6 +103,36 @@ def model_rows(sentiment: DataFrame, panel: DataFrame, *, lookback: str = "10 ho
     return returns.lag_delta_features(returns.merge_returns(rolled.drop("sentiment_std_root"), returns.panel_returns(panel)))
 
 
+def slim_days(spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str) -> None:
+    """Stamp, score and RIC of every day of the range, weekends too, as bzip2 CSV without a header."""
+    raw = event_source.read_days(spark, root, first, last, weekends=True)
+    slim = companies.slim_companies(raw, keep=("day",))
+    tables.write_day_csv(slim, target, header=False, compression="bzip2")
+
+
+def statement_sets(
+    vectors: DataFrame,
+    portion: float,
+    extra: Iterable[str],
+    label: str,
+    *,
+    drop_middle: bool = False,
+    first_feature: int = 1,
+    last_feature: int = 300,
+    seed: int = 1,
+) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
+    """Stored statement vectors as (train, test, feature names, share of positive labels).
+
+    The first column is the index: it identifies a row and is no feature.
+    """
+    index = vectors.columns[0]
+    rows = frames.require_complete(frames.model_frame(vectors, drop_middle=drop_middle))
+    names = frames.feature_names(rows, first_feature, last_feature, extra, index=index)
+    split = splits.shuffled_split(rows, [index], portion, seed=seed)
+    train, test = (split.filter(F.col("is_test") == side).drop("is_test") for side in (False, True))
+    return train, test, names, summaries.positive_ratio(rows, label)
+
+
 def local_clean(raw: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:
     """The flat, retyped table: companies as columns, local wall-clock stamp, host of the URL."""
     flat = companies.flatten_companies(companies.with_companies(raw))

@@ -44,15 +44,23 @@ def read_vectors(spark: SparkSession, path: str, *, text: tuple[str, ...] = ())
 
 
 def write_day_csv(
-    rows: DataFrame, path: str, *, day: str = "day", one_file: bool = False, compression: str | None = None
+    rows: DataFrame,
+    path: str,
+    *,
+    day: str = "day",
+    one_file: bool = False,
+    header: bool = True,
+    compression: str | None = None,
 ) -> None:
-    """CSV with header under ``day=<day>/``; days written again replace their old files.
+    """CSV under ``day=<day>/``; days written again replace their old files.
 
     Tasks write what they hold. ``one_file`` brings each day's summary together in one task first:
     only for results as small as a day of bins.
     """
     out = rows.repartition(day) if one_file else rows
-    out.write.mode("overwrite").partitionBy(day).csv(path, header=True, compression=compression, timestampFormat=STAMP_FORMAT)
+    out.write.mode("overwrite").partitionBy(day).csv(
+        path, header=header, compression=compression, timestampFormat=STAMP_FORMAT
+    )
 
 
 def write_csv(rows: DataFrame, path: str, *, header: bool = True, compression: str | None = None) -> None:
