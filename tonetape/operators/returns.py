@@ -9,7 +9,7 @@ from tonetape.operators import series
 
 # The row shifts of the lag and delta features.
 SHIFTS = (4, 8, 12, 16)
-SALTS = 16
+SALTS = 8
 
 
 def clean_returns(raw: DataFrame) -> DataFrame:

@@ -63,10 +63,15 @@ def rolling_weighted_sentiment(
         .withColumn("stretch", floor_div(F.col("at"), span))
         .withColumn("wanted", F.lit(True))
     )
-    reach = Window.partitionBy(ticker, "stretch").orderBy("at").rangeBetween(-(span - 1), 0)
-    rolled = data.unionByName(wanted, allowMissingColumns=True).select(
-        time, ticker, "wanted", *(F.sum(name).over(reach).alias(name) for name in parts)
+    # Placed once for both steps: a wanted time that has data becomes one row, then the window runs.
+    placed = (
+        data.unionByName(wanted, allowMissingColumns=True)
+        .repartition(ticker, "stretch")
+        .groupBy(ticker, "stretch", "at", time)
+        .agg(F.bool_or("wanted").alias("wanted"), *(F.sum(name).alias(name) for name in parts))
     )
+    reach = Window.partitionBy(ticker, "stretch").orderBy("at").rangeBetween(-(span - 1), 0)
+    rolled = placed.select(time, ticker, "wanted", *(F.sum(name).over(reach).alias(name) for name in parts))
     variance = F.try_divide(F.coalesce("std_top", F.lit(0.0)), F.col("weight_sq"))
     return rolled.filter(F.col("wanted") & (F.col("seen") > 0)).select(
         time,

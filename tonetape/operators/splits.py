@@ -46,32 +46,37 @@ def _first_rows(
 ) -> DataFrame:
     """Mark the first rows in the order (bucket, order) without moving them.
 
-    Rows are counted per bucket and the counts summed up in two levels (buckets in a coarse group,
-    then the groups). Only the rows of the one bucket that the cut falls into are numbered. The
-    frame is read three times, so give this a stored table.
+    Rows are counted per group of buckets to find the group the cut falls into, then per bucket of
+    that group to find the bucket. Only the rows of that one bucket are numbered. The frame is read
+    once for each of these steps and once for the result, so give this a stored table.
     """
     if not 0 < portion < 1:
         raise ValueError("portion must lie between 0 and 1")
-    placed = rows.withColumn("_bucket", bucket)
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_group", floor_div(F.col("_bucket"), coarse))
-    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    groups = (
-        counts.groupBy("_group")
-        .agg(F.sum("_n").alias("_in_group"))
-        .select(
-            "_group",
-            F.coalesce(F.sum("_in_group").over(upto().orderBy("_group")), F.lit(0)).alias("_before"),
-            (F.sum("_in_group").over(Window.partitionBy()) * F.lit(portion)).cast("long").alias("_cut"),
-        )
+    placed = rows.withColumn("_bucket", bucket).withColumn("_group", floor_div(F.col("_bucket"), coarse))
+    total = F.sum("_n").over(Window.partitionBy())
+    group = (
+        _counted(placed, "_group")
+        .withColumn("_cut", (total * F.lit(portion)).cast("long"))
+        .filter((F.col("_before") <= F.col("_cut")) & (F.col("_cut") < F.col("_before") + F.col("_n")))
+        .select(F.struct("_group", (F.col("_cut") - F.col("_before")).alias("_left")))
+        .scalar()
     )
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(upto("_group").orderBy("_bucket")), F.lit(0))
     split = (
-        counts.join(groups, "_group")
-        .select("_bucket", "_n", (F.col("_cut") - start).alias("_take"))
+        _counted(placed.filter(F.col("_group") == group["_group"]), "_bucket")
+        .withColumn("_take", group["_left"] - F.col("_before"))
         .filter((F.col("_take") >= 0) & (F.col("_take") < F.col("_n")))
+        .select(F.struct("_bucket", "_take"))
+        .scalar()
     )
-    at, take = split.select("_bucket").scalar(), split.select("_take").scalar()
+    at, take = split["_bucket"], split["_take"]
     inside = Window.partitionBy("_bucket").orderBy(*order)
     apart = placed.filter(F.col("_bucket") != at).withColumn(into, F.col("_bucket") < at)
     shared = placed.filter(F.col("_bucket") == at).withColumn(into, F.row_number().over(inside) <= take)
-    return apart.unionByName(shared).drop("_bucket")
+    return apart.unionByName(shared).drop("_bucket", "_group")
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """Rows per key and rows before it. As few rows as there are keys: groups, or buckets of one group."""
+    earlier = Window.partitionBy().orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
