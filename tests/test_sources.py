@@ -41,6 +41,8 @@ def test_days_skip_weekends_and_missing_folders(spark, logs):
     ]
     report = {str(r.day): (r.rows, r.bad_lines, r.skipped) for r in events.day_report(rows, FRIDAY, dt.date(2016, 3, 8)).collect()}
     assert report == {"2016-03-04": (1, 0, False), "2016-03-07": (4, 1, False), "2016-03-08": (0, 0, True)}
+    one_part = events.read_days(spark, logs, FRIDAY, MONDAY, files="part-2*")
+    assert [(str(r.day), r.stid) for r in one_part.collect()] == [("2016-03-07", "mon3")]
     with_saturday = events.read_days(spark, logs, FRIDAY, MONDAY, weekends=True)
     assert "sat" in {r.stid for r in with_saturday.collect()}
 

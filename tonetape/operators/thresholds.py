@@ -146,33 +146,30 @@ def confidence_histogram(predictions: DataFrame, by: Iterable[str] = (), bins: i
     scored = _scored(predictions, by[:-1]).withColumn("predicted", F.col("positive").cast("int"))
     low = F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low"))
     high = F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high"))
-    edges = (
+    ends = (
         scored.groupBy(*by)
         .agg(F.min("confidence").alias("low"), F.max("confidence").alias("high"))
         .select(*by, low.alias("low"), high.alias("high"))
-        .withColumn("step", (F.col("high") - F.col("low")) / bins)
     )
-    # One row per model and class, however many predictions there are.
-    spots = scored.join(F.broadcast(edges), by)
-    edge = lambda i: F.when(i == bins, F.col("high")).otherwise(F.col("low") + i * F.col("step"))
-    guess = F.least(F.floor((F.col("confidence") - F.col("low")) / F.col("step")), F.lit(bins - 1))
+    step = (F.col("high") - F.col("low")) / bins
+    edge = lambda i: F.when(i == bins, F.col("high")).otherwise(F.col("low") + i * step)
+    value, guess = F.col("confidence"), F.col("guess")
+    first_guess = F.least(F.floor((value - F.col("low")) / step), F.lit(bins - 1))
+    found = (
+        F.when(value < edge(guess), guess - 1)
+        .when((value >= edge(guess + 1)) & (guess < bins - 1), guess + 1)
+        .otherwise(guess)
+    )
     counted = (
-        spots.withColumn("_guess", guess)
-        .withColumn(
-            "bin",
-            F.when(F.col("confidence") < edge(F.col("_guess")), F.col("_guess") - 1)
-            .when((F.col("confidence") >= edge(F.col("_guess") + 1)) & (F.col("_guess") < bins - 1), F.col("_guess") + 1)
-            .otherwise(F.col("_guess"))
-            .cast("int"),
-        )
-        .groupBy(*by, "bin")
+        # One row per model and class, however many predictions there are.
+        scored.join(F.broadcast(ends), by)
+        .withColumn("guess", first_guess)
+        .groupBy(*by, "low", "high", found.alias("found"))
         .count()
     )
-    grid = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(counted, [*by, "bin"], "left").select(
-        *by,
-        "bin",
-        edge(F.col("bin")).alias("bin_low"),
-        edge(F.col("bin") + 1).alias("bin_high"),
-        F.coalesce("count", F.lit(0)).alias("count"),
+    return (
+        counted.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        .groupBy(*by, "bin", "low", "high")
+        .agg(F.sum(F.when(F.col("found") == F.col("bin"), F.col("count")).otherwise(0)).alias("count"))
+        .select(*by, "bin", edge(F.col("bin")).alias("bin_low"), edge(F.col("bin") + 1).alias("bin_high"), "count")
     )

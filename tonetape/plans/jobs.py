@@ -98,9 +98,13 @@ def labelled_returns(
 
 
 def model_rows(sentiment: DataFrame, panel: DataFrame, *, lookback: str = "10 hours", skip_times: int = 40) -> DataFrame:
-    """Stored bin sentiment and price panel to the frame the classifiers are trained on."""
+    """Stored bin sentiment and price panel to the frame the classifiers are trained on.
+
+    The merged rows are stored in the shared folder, as the shifts read them twice.
+    """
     rolled = rolling.rolling_weighted_sentiment(sentiment, lookback=lookback, skip_times=skip_times)
-    return returns.lag_delta_features(returns.merge_returns(rolled.drop("sentiment_std_root"), returns.panel_returns(panel)))
+    merged = returns.merge_returns(rolled.drop("sentiment_std_root"), returns.panel_returns(panel))
+    return returns.lag_delta_features(tables.write_table(merged, shared_folder(sentiment.sparkSession)))
 
 
 def slim_days(spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str) -> None:

@@ -69,14 +69,39 @@ filled AS (
     PARTITION BY "Ticker" ORDER BY "Time" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p
   FROM grid),
 "returns" AS (
-  SELECT "Time", "Ticker", p / nullif(lag(p, 4) OVER (PARTITION BY "Ticker" ORDER BY "Time"), 0) - 1 AS r FROM filled),
-merged AS (
-  SELECT s.*, r AS "Return_h_60" FROM sentiment s JOIN "returns" q ON q."Time" = s."Time" AND q."Ticker" = s."Ticker"
+  SELECT "Time", "Ticker", p / nullif(lag(p, 4) OVER (PARTITION BY "Ticker" ORDER BY "Time"), 0) - 1 AS r FROM filled)"""
+
+_ROLLED = """times AS (SELECT t FROM (SELECT DISTINCT "Time" AS t FROM sentiment) ORDER BY t OFFSET 40),
+near AS (SELECT t, s.* FROM times JOIN sentiment s ON s."Time" > t - INTERVAL 10 DAY AND s."Time" <= t),
+rolled AS (
+  SELECT t AS "Time", "Ticker", sum(sentiment_mean * sentiment_count) / sum(sentiment_count) AS sentiment_mean,
+    coalesce(sum(sentiment_std * sentiment_std * sentiment_count * sentiment_count), 0)
+      / sum(sentiment_count * sentiment_count) AS sentiment_std,
+    CAST(sum(sentiment_count) AS BIGINT) AS sentiment_count,
+    CAST(sum(event_share_count) AS BIGINT) AS event_share_count,
+    CAST(sum(event_click_count) AS BIGINT) AS event_click_count
+  FROM near GROUP BY t, "Ticker")"""
+
+
+def _merged(source: str) -> str:
+    return f"""merged AS (
+  SELECT s.*, r AS "Return_h_60" FROM {source} s JOIN "returns" q ON q."Time" = s."Time" AND q."Ticker" = s."Ticker"
   WHERE r IS NOT NULL AND sentiment_std IS NOT NULL)"""
 
+
 _SENTIMENT_COLUMNS = """"Time", "Ticker", round(sentiment_mean, 9) AS sentiment_mean,
   round(sentiment_std, 9) AS sentiment_std, sentiment_count, event_share_count, event_click_count"""
 
+_SHIFTS = (4, 8, 12, 16)
+_SHIFTED = f"""shifted AS (
+  SELECT *, {", ".join(f'lag("Return_h_60", {k}) OVER w AS lag_{k}' for k in _SHIFTS)}, row_number() OVER w AS rn
+  FROM merged WINDOW w AS (PARTITION BY "Ticker" ORDER BY "Time"))
+SELECT {_SENTIMENT_COLUMNS}, round("Return_h_60", 9) AS "Return_h_60",
+  {", ".join(f"round(lag_{k}, 9) AS lag_{k}" for k in _SHIFTS)},
+  {", ".join(f'round("Return_h_60" - lag_{k}, 9) AS delta{k}' for k in _SHIFTS)},
+  "Return_h_60" > 0 AS return_sign
+FROM shifted WHERE rn > 32"""
+
 _VECTORS = """vectors AS (
   SELECT doc_id, n_chars::DOUBLE AS chars, len(string_split(text, ' '))::DOUBLE AS words,
          len(string_split(text, chr(10)))::DOUBLE AS lines,
@@ -132,18 +157,8 @@ GROUP BY b, event_type HAVING count(score) >= 5
     "lookback_two_pass": _lookback("user_id"),
     "rolling_weighted_sentiment": f"""
 WITH {_SENTIMENT},
-times AS (SELECT t FROM (SELECT DISTINCT "Time" AS t FROM sentiment) ORDER BY t OFFSET 40),
-near AS (SELECT t, s.* FROM times JOIN sentiment s ON s."Time" > t - INTERVAL 10 DAY AND s."Time" <= t)
-SELECT t AS "Time", "Ticker",
-  round(sum(sentiment_mean * sentiment_count) / sum(sentiment_count), 9) AS sentiment_mean,
-  round(coalesce(sum(sentiment_std * sentiment_std * sentiment_count * sentiment_count), 0)
-        / sum(sentiment_count * sentiment_count), 9) AS sentiment_std,
-  round(sqrt(coalesce(sum(sentiment_std * sentiment_std * sentiment_count * sentiment_count), 0)
-        / sum(sentiment_count * sentiment_count)), 9) AS sentiment_std_root,
-  CAST(sum(sentiment_count) AS BIGINT) AS sentiment_count,
-  CAST(sum(event_share_count) AS BIGINT) AS event_share_count,
-  CAST(sum(event_click_count) AS BIGINT) AS event_click_count
-FROM near GROUP BY t, "Ticker"
+{_ROLLED}
+SELECT {_SENTIMENT_COLUMNS}, round(sqrt(sentiment_std), 9) AS sentiment_std_root FROM rolled
 """,
     "explode_companies": f"""
 WITH {_SHARES}
@@ -242,23 +257,18 @@ SELECT o_orderkey, o_orderdate AS "TimeStamp", o_orderstatus AS "Ticker", round(
 FROM orders LEFT JOIN stock ON t = o_orderdate AND k = o_orderstatus WHERE r IS NOT NULL
 """,
     "panel_returns": f"""
-WITH {_SENTIMENT}, {_RETURNS}
+WITH {_RETURNS}
 SELECT "Time", "Ticker", round(r, 9) AS "Return_h_60" FROM "returns"
 """,
     "merged_returns": f"""
-WITH {_SENTIMENT}, {_RETURNS}
+WITH {_SENTIMENT}, {_RETURNS}, {_merged("sentiment")}
 SELECT {_SENTIMENT_COLUMNS}, round("Return_h_60", 9) AS "Return_h_60" FROM merged
 """,
     "lag_delta_features": f"""
-WITH {_SENTIMENT}, {_RETURNS},
-shifted AS (
-  SELECT *, {", ".join(f'lag("Return_h_60", {k}) OVER w AS lag_{k}' for k in (4, 8, 12, 16))}, row_number() OVER w AS rn
-  FROM merged WINDOW w AS (PARTITION BY "Ticker" ORDER BY "Time"))
-SELECT {_SENTIMENT_COLUMNS}, round("Return_h_60", 9) AS "Return_h_60",
-  {", ".join(f"round(lag_{k}, 9) AS lag_{k}" for k in (4, 8, 12, 16))},
-  {", ".join(f'round("Return_h_60" - lag_{k}, 9) AS delta{k}' for k in (4, 8, 12, 16))},
-  "Return_h_60" > 0 AS return_sign
-FROM shifted WHERE rn > 32
+WITH {_SENTIMENT}, {_RETURNS}, {_merged("sentiment")}, {_SHIFTED}
+""",
+    "model_rows": f"""
+WITH {_SENTIMENT}, {_ROLLED}, {_RETURNS}, {_merged("rolled")}, {_SHIFTED}
 """,
     "union_fill_missing": """
 SELECT c_custkey AS id, c_name AS "name", c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer
@@ -286,16 +296,16 @@ SELECT o_orderdate AS "Time", o_orderkey, round(o_totalprice, 9) AS o_totalprice
 FROM orders
 """,
     "split_ranges": f"""
-WITH {_SENTIMENT}, {_RETURNS},
+WITH {_SENTIMENT}, {_RETURNS}, {_merged("sentiment")},
 split AS (
   SELECT "Time", row_number() OVER (ORDER BY "Time", "Ticker") <= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train
   FROM merged)
 SELECT is_train, min("Time") AS first_time, max("Time") AS last_time, count(*) AS "rows" FROM split GROUP BY is_train
 """,
     "confident_auc": f"""
-WITH {_SCORED}, cells AS (SELECT 0.6::DOUBLE AS t, {_CELLS} FROM preds)
+WITH {_SCORED}, cells AS (SELECT {_CELLS} FROM preds CROSS JOIN (SELECT 0.6::DOUBLE AS t))
 SELECT 0.6::DOUBLE AS threshold, {_AUC}, {_share("tp + fp + tn + fn", "n", "kept_share")} FROM cells
-""".replace("SELECT 0.6::DOUBLE AS t, ", "SELECT ").replace("FROM preds)", "FROM (SELECT *, 0.6::DOUBLE AS t FROM preds))"),
+""",
     "threshold_sweep": f"""
 WITH {_SCORED}, {_STEPS}, cells AS (SELECT t, {_CELLS} FROM preds CROSS JOIN steps GROUP BY t)
 SELECT round(t, 9) AS threshold,

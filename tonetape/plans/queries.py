@@ -288,6 +288,12 @@ def lag_delta_features(spark: SparkSession, folder: str) -> DataFrame:
     return returns.lag_delta_features(_stored_merged(spark, folder))
 
 
+@query
+def model_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole chain: rolled sentiment, returns, deltas and lags."""
+    return jobs.model_rows(_stored_sentiment(spark, folder), _stored_panel(spark, folder), lookback="10 days")
+
+
 # Model frames and splits
 
 

@@ -50,24 +50,26 @@ def read_days(
     schema: T.StructType = SHARE_EVENT,
     *,
     weekends: bool = False,
-    files: str = "*",
+    files: str | None = None,
     spread: int | None = None,
     bad_lines: bool = False,
 ) -> DataFrame:
-    """Events of ``root/yyyyMMdd/files`` for the days of the range, both ends in, with their ``day``.
+    """Events of the folders ``root/yyyyMMdd`` of the range, both ends in, with their ``day``.
 
     One scan for the whole range. Saturdays and Sundays are not even listed unless asked for; days
-    without a folder are left out (see ``day_report``).
+    without a folder are left out (see ``day_report``). Only the folders are matched on the driver,
+    their files are listed by the cluster, unless ``files`` names a pattern of files to take.
     """
     names = ",".join(d.strftime("%Y%m%d") for d in weekdays(first, last, weekends=weekends))
+    path = f"{root.rstrip('/')}/{{{names}}}" + (f"/{files}" if files else "")
     try:
-        rows = read_events(spark, f"{root.rstrip('/')}/{{{names}}}/{files}", schema, spread=spread, bad_lines=bad_lines)
+        rows = read_events(spark, path, schema, spread=spread, bad_lines=bad_lines)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         extra = [T.StructField(BAD_LINE, T.StringType())] if bad_lines else []
         rows = frames.empty(spark, T.StructType([*schema.fields, *extra, T.StructField("source_path", T.StringType())]))
-    folder = F.element_at(F.split("source_path", "/"), F.lit(-1 - files.count("/") - 1))
+    folder = F.element_at(F.split("source_path", "/"), F.lit(-2))
     return rows.withColumn("day", F.try_to_date(folder, "yyyyMMdd"))
 
 
@@ -98,8 +100,7 @@ def read_manifest(
     if len(depth) != 1:
         raise ValueError("all files of a manifest must lie equally deep")
     tail = F.array_join(F.slice(parts, -depth.pop(), 1_000), "/")
-    # Driver-made list of file names: as small as the manifest itself.
-    return rows.withColumn("file", tail).join(F.broadcast(listed), "file").drop("file")
+    return rows.withColumn("file", tail).join(listed, "file").drop("file")
 
 
 def land_events(rows: DataFrame, path: str) -> None:
