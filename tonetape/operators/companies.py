@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tonetape.functions.text import ticker_of
 
+# Names are short: this many take a few megabytes.
+MOST_BROADCAST = 100_000
+SALTS = 16
+
 
 def explode_companies(events: DataFrame, column: str = "companies", alias: str = "company") -> DataFrame:
     """One row per array item, the array dropped. Events with a null or empty array give no row."""
@@ -69,10 +73,16 @@ def useful_fraction(events: DataFrame, column: str = "companies") -> DataFrame:
     )
 
 
-def keep_listed(rows: DataFrame, listed: DataFrame, key: str = "Ticker") -> DataFrame:
+def keep_listed(rows: DataFrame, listed: DataFrame, key: str = "Ticker", *, most: int = MOST_BROADCAST) -> DataFrame:
     """Rows whose key is in the list.
 
-    No hint: Spark broadcasts the list when its known size is below the broadcast threshold and
-    shuffles both sides otherwise, where adaptive execution splits a hot key of the left side.
+    The list is counted first. Up to ``most`` names are broadcast, so the rows stay where they are;
+    a longer list is copied per salt and joined by shuffle, which spreads the rows of a hot key.
     """
-    return rows.join(listed.select(key), key, "left_semi")
+    names = listed.select(key).distinct()
+    if names.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(names), key, "left_semi")
+    others = [c for c in rows.columns if c != key]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    copied = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copied, [key, "_salt"], "left_semi").drop("_salt")

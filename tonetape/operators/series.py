@@ -21,7 +21,8 @@ def with_position(
     """0-based place of each row in the time order of its key.
 
     Rows are counted per (key, block of time); only these counts are summed up along the key, and
-    rows are numbered inside their block. Rows without a time or a key go.
+    rows are numbered inside their block. With one row per key and minute, a day's block holds at
+    most 1440 rows, and a key has one count per day. Rows without a time or a key go.
     """
     blocked = rows.withColumn("_block", floor_div(F.unix_micros(time), micros(block)))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -255,6 +255,24 @@ WITH stock AS (
 SELECT o_orderkey, o_orderdate AS "TimeStamp", o_orderstatus AS "Ticker", round(r, 9) AS "Return",
        CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "Label"
 FROM orders LEFT JOIN stock ON t = o_orderdate AND k = o_orderstatus WHERE r IS NOT NULL
+""",
+    "labelled_returns": f"""
+WITH {_SHARES},
+clean AS (SELECT *, date_trunc('minute', stamp) AS t FROM companies WHERE tick IS NOT NULL AND score IS NOT NULL),
+stock AS (
+  SELECT t, tick, (sum(CAST(round(score * 100) AS BIGINT)) - 4)::DOUBLE / 100 AS r FROM clean WHERE tick LIKE 'S%' GROUP BY ALL),
+listed AS (SELECT * FROM clean WHERE tick IN (SELECT tick FROM stock)),
+top AS (SELECT l_suppkey FROM listed GROUP BY l_suppkey ORDER BY count(*) DESC, 's' || l_suppkey LIMIT 20)
+SELECT n AS company_count, score AS company_sentiment_score, tick AS "Ticker", t AS "TimeStamp",
+  CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS "is_device_Personal_computer",
+  CASE WHEN l_linestatus <> 'F' THEN 1 ELSE 0 END AS "is_device_Tablet",
+  0 AS "is_device_Smartphone",
+  CASE WHEN l_returnflag <> 'A' THEN 1 ELSE 0 END AS is_event_pview,
+  CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS is_event_click,
+  0 AS is_event_search, 0 AS is_event_share,
+  CASE WHEN l_suppkey IN (SELECT l_suppkey FROM top) THEN 1 ELSE 0 END AS domain_flags,
+  round(r, 9) AS "Return", CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "Label"
+FROM listed JOIN stock USING (t, tick)
 """,
     "panel_returns": f"""
 WITH {_RETURNS}

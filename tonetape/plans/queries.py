@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -273,6 +274,17 @@ def labelled_events(spark: SparkSession, folder: str) -> DataFrame:
     return returns.label_events(events, returns.clean_returns(data.stock_rows(spark, folder)))
 
 
+@query
+def labelled_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole chain from raw events and text returns; domain flags are shown by their sum."""
+    rows = jobs.labelled_returns(data.share_events(spark, folder), data.minute_stock_rows(spark, folder), domains=20)
+    flags = [c for c in rows.columns if c.startswith("is_domain_")]
+    return rows.select(
+        *(c for c in rows.columns if c not in flags),
+        reduce(lambda a, b: a + b, (F.col(c) for c in flags)).alias("domain_flags"),
+    )
+
+
 @query
 def panel_returns(spark: SparkSession, folder: str) -> DataFrame:
     return returns.panel_returns(_stored_panel(spark, folder))

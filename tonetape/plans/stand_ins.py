@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonetape.functions.text import host_of
+from tonetape.functions.clock import parse_minute
+from tonetape.functions.text import host_of, ticker_of
 from tonetape.operators.dummies import event_dummies
 from tonetape.schemas import COMPANY
 
@@ -61,6 +62,7 @@ def share_events(spark: SparkSession, folder: str) -> DataFrame:
         "l_linenumber",
         F.concat(F.lit("https://www.s"), F.col("l_suppkey"), F.lit(".example.org:8080/p?q=1")).alias("url"),
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("standardTimestamp"),
+        F.concat(F.lit("www.s"), F.col("l_suppkey"), F.lit(".org")).alias("refDomain"),
         F.when(F.col("l_linestatus") == "F", "Personal computer").otherwise("Tablet").alias("deviceType"),
         F.when(F.col("l_returnflag") == "A", "click").otherwise("pview").alias("mappedEvent"),
         F.when(F.col("l_returnflag") == "N", F.array().cast(T.ArrayType(COMPANY)))
@@ -124,6 +126,21 @@ def stock_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def minute_stock_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Returns as text rows per minute and supplier ticker of the share events, in whole cents."""
+    events = share_events(spark, folder).select(
+        F.date_format(parse_minute(F.col("standardTimestamp")), "yyyy-MM-dd HH:mm:ss").alias("Lagged_Time"),
+        F.inline("companies"),
+    )
+    score = F.col("sentiment_score").try_cast("double")
+    return (
+        events.filter(F.col("ric").startswith("S"))
+        .groupBy("Lagged_Time", ticker_of(F.col("ric")).alias("variable"))
+        .agg((F.sum(F.round(score * 100).cast("long")) - 4).alias("cents"))
+        .select("Lagged_Time", "variable", (F.col("cents") / 100).cast("string").alias("Return"))
+    )
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as predictions of five models, named by event type."""
     k = F.from_json("props", "k int")["k"]

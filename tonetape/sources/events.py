@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tonetape.functions.clock import weekdays
 from tonetape.operators import frames
+from tonetape.operators.companies import MOST_BROADCAST
 from tonetape.schemas import SHARE_EVENT
 
 BAD_LINE = "_corrupt_record"
@@ -100,7 +101,8 @@ def read_manifest(
     if len(depth) != 1:
         raise ValueError("all files of a manifest must lie equally deep")
     tail = F.array_join(F.slice(parts, -depth.pop(), 1_000), "/")
-    return rows.withColumn("file", tail).join(listed, "file").drop("file")
+    small = len(pairs) <= MOST_BROADCAST
+    return rows.withColumn("file", tail).join(F.broadcast(listed) if small else listed, "file").drop("file")
 
 
 def land_events(rows: DataFrame, path: str) -> None:
