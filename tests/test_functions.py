@@ -62,7 +62,7 @@ def test_micros():
 
 
 def test_label(spark):
-    found = values(spark, lambda v: clock.label(dt.date(2016, 3, 8), v), [85_500_000_000], "bigint")
+    found = values(spark, lambda v: clock.label(clock.day_start(dt.date(2016, 3, 8)), v), [85_500_000_000], "bigint")
     assert found == ["20160308-23:45:00"]
 
 

@@ -4,8 +4,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tonetape.operators import bins
 from tonetape.plans import jobs
 from tonetape.schemas import SHARE_EVENT
+from tonetape.sources import events as event_source
+from tonetape.sources import tables
 from tonetape.streaming import binning
 
 FRIDAY, TUESDAY = dt.date(2016, 3, 4), dt.date(2016, 3, 8)
@@ -51,6 +54,30 @@ def test_daily_bins(spark, logs):
     assert float(out[0].sentiment_mean) == pytest.approx(0.25)
 
 
+@pytest.mark.parametrize("rule", ["bin_start", "time_of_day", "lookback"])
+def test_daily_rules_equal_one_run_per_day(spark, logs, rule):
+    listed = tables.read_ticker_list(spark, str(logs / "list.csv"))
+    jobs.daily_bins(spark, str(logs / "logs"), str(logs / "list.csv"), FRIDAY, TUESDAY, str(logs / rule), rule=rule, threshold=2)
+    found = spark.read.csv(str(logs / rule), header=True).collect()
+    one_day = {
+        "bin_start": bins.bin_start_day_summary,
+        "time_of_day": bins.bin_time_of_day_summary,
+        "lookback": bins.lookback_summary,
+    }[rule]
+    expected = []
+    for day in (FRIDAY, dt.date(2016, 3, 7)):
+        rows = jobs.clean_events(event_source.read_events(spark, str(logs / "logs" / day.strftime("%Y%m%d"))), listed)
+        expected += [(str(day), r.TimeStamp, r.Ticker, str(r.sentiment_count)) for r in one_day(rows, day, threshold=2).collect()]
+    assert sorted((str(r.day), r.TimeStamp, r.Ticker, r.sentiment_count) for r in found) == sorted(expected) != []
+
+
+def test_clean_manifest(spark, logs):
+    names = [("20160304/part-0.log", "20160304part-0"), ("20160307/part-0.log", "20160307part-0")]
+    stored = jobs.clean_manifest(spark, str(logs / "logs"), names, str(logs / "flat"))
+    found = stored.groupBy("source").count().orderBy("source").collect()
+    assert [tuple(r) for r in found] == [("20160304part-0", 7), ("20160307part-0", 18)]
+
+
 def test_clean_events_schema(spark):
     raw = spark.createDataFrame([event(4, 7, 0.5, "bad")], SHARE_EVENT)
     cleaned = jobs.with_interval(jobs.clean_events(raw))

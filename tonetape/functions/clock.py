@@ -61,10 +61,16 @@ def micros_of_day(stamp: Column) -> Column:
     return F.pmod(F.unix_micros(stamp), F.lit(DAY))
 
 
-def label(day: dt.date, offset: Column) -> Column:
-    """Text label of the instant ``offset`` microseconds into ``day``."""
-    start = F.unix_micros(F.lit(dt.datetime.combine(day, dt.time(), dt.timezone.utc)))
-    return F.date_format(F.timestamp_micros(start + offset), LABEL_FORMAT)
+def day_start(day: dt.date | str) -> Column:
+    """Midnight of a fixed day, or of the day in the named date column."""
+    if isinstance(day, str):
+        return F.col(day).cast("timestamp")
+    return F.lit(dt.datetime.combine(day, dt.time(), dt.timezone.utc))
+
+
+def label(start: Column, offset: Column) -> Column:
+    """Text label of the instant ``offset`` microseconds after ``start``."""
+    return F.date_format(F.timestamp_micros(F.unix_micros(start) + offset), LABEL_FORMAT)
 
 
 def is_weekday(day: Column) -> Column:

@@ -1,6 +1,8 @@
 """Sentiment summaries per ticker and time bin. One function per set of bin rules.
 
 Input rows carry ``TimeStamp``, ``Ticker``, ``company_sentiment_score`` and ``is_event_*`` flags.
+Where a ``day`` is asked for, it is one date, or the name of a date column: then each row belongs to
+its own day, such as that of its log folder, and all days are summarised in one plan.
 Every variant is one partial and one final aggregation on a derived bin key, so a ticker holding
 much of the data is reduced on the map side to one row per bin before it is shuffled.
 """
@@ -13,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonetape.functions.clock import DAY, floor_div, label, micros, micros_of_day
+from tonetape.functions.clock import DAY, day_start, floor_div, label, micros, micros_of_day
 from tonetape.schemas import EVENT_TYPES
 
 SCORE = "company_sentiment_score"
@@ -53,17 +55,21 @@ def bin_end_summary(
     )
 
 
-def _labelled_by_start(grouped: DataFrame, day: dt.date, width: int, threshold: int) -> DataFrame:
+def _day_key(day: dt.date | str) -> list[str]:
+    return [day] if isinstance(day, str) else []
+
+
+def _labelled_by_start(grouped: DataFrame, day: dt.date | str, width: int, threshold: int) -> DataFrame:
     return (
         grouped.filter(F.col("sentiment_count") >= threshold)
-        .withColumn("TimeStamp", label(day, F.col("bin") * width))
+        .withColumn("TimeStamp", label(day_start(day), F.col("bin") * width))
         .drop("bin")
     )
 
 
 def bin_start_day_summary(
     rows: DataFrame,
-    day: dt.date,
+    day: dt.date | str,
     *,
     width: str = "15 minutes",
     threshold: int = 5,
@@ -76,11 +82,11 @@ def bin_start_day_summary(
     step = micros(width)
     if DAY % step:
         raise ValueError("width must divide a day")
-    start = F.lit(dt.datetime.combine(day, dt.time(), dt.timezone.utc))
+    start = day_start(day)
     bin_no = floor_div(F.unix_micros("TimeStamp") - F.unix_micros(start), step)
     grouped = (
         rows.filter(F.col("TimeStamp") >= start)
-        .groupBy(F.least(bin_no, F.lit(DAY // step - 1)).alias("bin"), "Ticker")
+        .groupBy(*_day_key(day), F.least(bin_no, F.lit(DAY // step - 1)).alias("bin"), "Ticker")
         .agg(*_mean_and_sums(events))
     )
     return _labelled_by_start(grouped, day, step, threshold)
@@ -88,7 +94,7 @@ def bin_start_day_summary(
 
 def bin_time_of_day_summary(
     rows: DataFrame,
-    day: dt.date,
+    day: dt.date | str,
     *,
     width: str = "30 minutes",
     threshold: int = 5,
@@ -101,7 +107,7 @@ def bin_time_of_day_summary(
     bin_no = floor_div(micros_of_day(F.col("TimeStamp")), step)
     grouped = (
         rows.filter(F.col("TimeStamp").isNotNull())
-        .groupBy(bin_no.alias("bin"), "Ticker")
+        .groupBy(*_day_key(day), bin_no.alias("bin"), "Ticker")
         .agg(*_mean_and_sums(events))
     )
     return _labelled_by_start(grouped, day, step, threshold)
@@ -109,7 +115,7 @@ def bin_time_of_day_summary(
 
 def lookback_summary(
     rows: DataFrame,
-    day: dt.date,
+    day: dt.date | str,
     *,
     first: dt.time = dt.time(14, 30),
     anchors: int = 7,
@@ -127,10 +133,12 @@ def lookback_summary(
     hop, back = micros(step), micros(lookback)
     if zero < back or zero + (anchors - 1) * hop >= DAY:
         raise ValueError("anchors and their look-back must lie inside one day")
+    key = _day_key(day)
     since_first = micros_of_day(F.col("TimeStamp")) - zero
     runs = (
         rows.filter(F.col("TimeStamp").isNotNull())
         .select(
+            *key,
             "Ticker",
             SCORE,
             *(f"is_event_{e}" for e in events),
@@ -138,24 +146,24 @@ def lookback_summary(
             F.least(F.lit(anchors - 1), floor_div(since_first + back, hop)).alias("to_anchor"),
         )
         .filter(F.col("from_anchor") <= F.col("to_anchor"))
-        .groupBy("Ticker", "from_anchor", "to_anchor")
+        .groupBy(*key, "Ticker", "from_anchor", "to_anchor")
         .agg(F.sum(SCORE).alias("score_sum"), F.count(SCORE).alias("score_count"), *_event_sums(events))
     )
     spread = runs.withColumn("anchor", F.explode(F.sequence("from_anchor", "to_anchor")))
     return (
-        spread.groupBy("anchor", "Ticker")
+        spread.groupBy(*key, "anchor", "Ticker")
         .agg(
             F.try_divide(F.sum("score_sum"), F.sum("score_count")).alias("sentiment_mean"),
             F.sum("score_count").alias("sentiment_count"),
             *(F.sum(f"event_{e}_count").alias(f"event_{e}_count") for e in events),
         )
         .filter(F.col("sentiment_count") >= threshold)
-        .withColumn("TimeStamp", label(day, F.col("anchor") * hop + zero))
+        .withColumn("TimeStamp", label(day_start(day), F.col("anchor") * hop + zero))
         .drop("anchor")
     )
 
 
-def ranked_lookback(rows: DataFrame, day: dt.date, **rules) -> DataFrame:
+def ranked_lookback(rows: DataFrame, day: dt.date | str, **rules) -> DataFrame:
     """The look-back summary in anchor order and, within an anchor, by falling mean.
 
     A ticker's row count equals its score count here, because rows without a score were dropped

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,15 @@ def with_interval(cleaned: DataFrame, width: str = "15 minutes") -> DataFrame:
     return cleaned.withColumn("TimeInterval", clock.bin_end(F.col("TimeStamp"), width))
 
 
+# The ways to summarise a day's folder; each keeps the folders' days apart.
+DAILY_RULES: dict[str, Callable[..., DataFrame]] = {
+    "bin_end": partial(bins.bin_end_summary, by=("day",)),
+    "bin_start": partial(bins.bin_start_day_summary, day="day"),
+    "time_of_day": partial(bins.bin_time_of_day_summary, day="day"),
+    "lookback": partial(bins.lookback_summary, day="day"),
+}
+
+
 def daily_bins(
     spark: SparkSession,
     root: str,
@@ -48,22 +58,22 @@ def daily_bins(
     last: dt.date,
     target: str,
     *,
+    rule: str = "bin_end",
     landed: str | None = None,
-    width: str = "15 minutes",
-    threshold: int = 5,
+    **settings,
 ) -> DataFrame:
-    """Bin a range of day folders and write CSV per day; returns the report of days read.
+    """Summarise a range of day folders and write CSV per day; returns the report of days read.
 
-    The logs are parsed once and landed as Parquet by day; the bins and the report read that copy.
-    A folder's rows are binned by themselves, as one run per day would, also late ones.
+    The logs are parsed once and landed as Parquet by day; the summary and the report read that
+    copy. A folder's rows are summarised by themselves, as one run per day would, also late ones.
+    ``settings`` (width, threshold and so on) go to the rule.
     """
     landed = landed or shared_folder(spark)
     raw = event_source.read_days(spark, root, first, last, bad_lines=True)
     event_source.land_events(raw.select("day", "standardTimestamp", "mappedEvent", "companies", event_source.BAD_LINE), landed)
     stored = event_source.read_landed(spark, landed, first, last)
     cleaned = clean_events(stored, tables.read_ticker_list(spark, ticker_list), keep=("day",))
-    summary = bins.bin_end_summary(cleaned, width=width, threshold=threshold, by=("day",))
-    tables.write_day_csv(summary, target, one_file=True)
+    tables.write_day_csv(DAILY_RULES[rule](cleaned, **settings), target, one_file=True)
     return event_source.day_report(stored, first, last)
 
 
@@ -148,3 +158,10 @@ def local_clean(raw: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:
             "domain": host_of(F.col("url")),
         }
     )
+
+
+def clean_manifest(
+    spark: SparkSession, root: str, names: Iterable[tuple[str, str]], target: str, zone: str = "America/Los_Angeles"
+) -> DataFrame:
+    """The flat table of all listed files, written by output name; returns the stored copy."""
+    return tables.write_table(local_clean(event_source.read_manifest(spark, root, names), zone), target, by=("source",))
