@@ -54,6 +54,23 @@ def test_portion_must_cut(rows):
         splits.chronological_split(rows, portion=1.0)
 
 
+def test_stamps_within_a_second(frame):
+    cells = [(START + dt.timedelta(microseconds=i * 7), "A") for i in range(50)]
+    found = splits.chronological_split(frame(cells, "Time timestamp, Ticker string"), portion=0.5)
+    assert sorted(r.Time for r in found.filter("is_train").collect()) == [t for t, _ in cells[:25]]
+
+
+def test_rows_without_a_time_come_last(frame):
+    cells = [(START, "A"), (None, "B"), (START + dt.timedelta(days=1), "C"), (None, "D")]
+    found = splits.chronological_split(frame(cells, "Time timestamp, Ticker string"), portion=0.75).collect()
+    assert {r.Ticker: r.is_train for r in found} == {"A": True, "C": True, "B": True, "D": False}
+
+
+def test_no_rows(frame):
+    found = splits.chronological_split(frame([], "Time timestamp, Ticker string"))
+    assert found.columns == ["Time", "Ticker", "is_train"] and found.count() == 0
+
+
 def test_only_the_cut_is_numbered(rows):
     plan = splits.chronological_split(rows)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("row_number()") == 1
+    assert plan.count("row_number()") == 1 and "Join" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UNITS = {"microsecond": 1, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
-DAY = _UNITS["day"]
+SECOND, MINUTE, DAY = _UNITS["second"], _UNITS["minute"], _UNITS["day"]
 LABEL_FORMAT = "yyyyMMdd-HH:mm:ss"
 
 

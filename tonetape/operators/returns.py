@@ -84,13 +84,17 @@ def _lag_names(prefix: str) -> dict[str, int]:
     return {f"{prefix}{k}": k for k in SHIFTS}
 
 
-def add_lags(rows: DataFrame, *, value: str = "Return_h_60", time: str = "Time", size: int = series.CHUNK_ROWS) -> DataFrame:
+def add_lags(
+    rows: DataFrame, *, value: str = "Return_h_60", time: str = "Time", size: int = series.CHUNK_ROWS
+) -> DataFrame:
     """``lag_k``: the return k rows earlier per ticker; incomplete rows go."""
     placed = series.with_position(rows, ["Ticker"], time)
     return series.with_lags(placed, ["Ticker"], value, _lag_names("lag_"), size=size).drop("position").na.drop("any")
 
 
-def add_deltas(rows: DataFrame, *, value: str = "Return_h_60", time: str = "Time", size: int = series.CHUNK_ROWS) -> DataFrame:
+def add_deltas(
+    rows: DataFrame, *, value: str = "Return_h_60", time: str = "Time", size: int = series.CHUNK_ROWS
+) -> DataFrame:
     """``deltak``: the return less the one k rows earlier per ticker; incomplete rows go."""
     placed = series.with_position(rows, ["Ticker"], time)
     lagged = series.with_lags(placed, ["Ticker"], value, _lag_names("_lag"), size=size)

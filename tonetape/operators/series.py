@@ -45,9 +45,8 @@ def with_chunks(rows: DataFrame, reach: int, *, position: str = "position", size
         raise ValueError("chunks must be longer than the reach")
     own = floor_div(F.col(position), size)
     late = F.pmod(F.col(position), F.lit(size)) >= size - reach
-    return rows.select("*", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("_chunk")).withColumn(
-        "_own", F.col("_chunk") == own
-    )
+    chunks = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.select("*", F.explode(chunks).alias("_chunk")).withColumn("_own", F.col("_chunk") == own)
 
 
 def drop_borrowed(rows: DataFrame) -> DataFrame:

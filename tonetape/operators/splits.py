@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonetape.functions.clock import DAY, floor_div
+from tonetape.functions.clock import DAY, MINUTE, SECOND, floor_div
 
 _HASH_BUCKETS = 1 << 20
+_LAST = 1 << 62
 
 
 def hash_split(
@@ -31,52 +32,58 @@ def shuffled_split(
 ) -> DataFrame:
     """True for the first ``int(rows * portion)`` rows in the order of a seeded hash of the key."""
     spot = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_HASH_BUCKETS))
-    return _first_rows(rows, spot, _HASH_BUCKETS >> 10, [F.xxhash64(*keys, F.lit(seed)), *keys], portion, into)
+    return _first_rows(rows, spot, (_HASH_BUCKETS >> 10, 1), [F.xxhash64(*keys, F.lit(seed)), *keys], portion, into)
 
 
 def chronological_split(
-    rows: DataFrame, *, time: str = "Time", ties: tuple[str, ...] = ("Ticker",), portion: float = 0.8, into: str = "is_train"
+    rows: DataFrame,
+    *,
+    time: str = "Time",
+    ties: tuple[str, ...] = ("Ticker",),
+    portion: float = 0.8,
+    into: str = "is_train",
 ) -> DataFrame:
-    """True for the first ``int(rows * portion)`` rows in time order, ties ordered by ``ties``."""
-    return _first_rows(rows, F.unix_micros(time), DAY, list(ties), portion, into)
+    """True for the first ``int(rows * portion)`` rows in time order, ties ordered by ``ties``.
+
+    Rows without a time come last.
+    """
+    spot = F.coalesce(F.unix_micros(time), F.lit(_LAST))
+    return _first_rows(rows, spot, (DAY, MINUTE, SECOND, 1), list(ties), portion, into)
 
 
 def _first_rows(
-    rows: DataFrame, bucket: Column, coarse: int, order: list[str | Column], portion: float, into: str
+    rows: DataFrame, bucket: Column, widths: tuple[int, ...], order: list[str | Column], portion: float, into: str
 ) -> DataFrame:
     """Mark the first rows in the order (bucket, order) without moving them.
 
-    Rows are counted per group of buckets to find the group the cut falls into, then per bucket of
-    that group to find the bucket. Only the rows of that one bucket are numbered. The frame is read
-    once for each of these steps and once for the result, so give this a stored table.
+    Rows are counted per stretch of ``widths[0]`` buckets to find the one the cut falls into, then
+    inside it per shorter stretch, down to a single bucket; each count brings one row to the driver.
+    Only the rows of that last bucket are numbered. The frame is read once per step and once for the
+    result, so give this a stored table.
     """
     if not 0 < portion < 1:
         raise ValueError("portion must lie between 0 and 1")
-    placed = rows.withColumn("_bucket", bucket).withColumn("_group", floor_div(F.col("_bucket"), coarse))
-    total = F.sum("_n").over(Window.partitionBy())
-    group = (
-        _counted(placed, "_group")
-        .withColumn("_cut", (total * F.lit(portion)).cast("long"))
-        .filter((F.col("_before") <= F.col("_cut")) & (F.col("_cut") < F.col("_before") + F.col("_n")))
-        .select(F.struct("_group", (F.col("_cut") - F.col("_before")).alias("_left")))
-        .scalar()
-    )
-    split = (
-        _counted(placed.filter(F.col("_group") == group["_group"]), "_bucket")
-        .withColumn("_take", group["_left"] - F.col("_before"))
-        .filter((F.col("_take") >= 0) & (F.col("_take") < F.col("_n")))
-        .select(F.struct("_bucket", "_take"))
-        .scalar()
-    )
-    at, take = split["_bucket"], split["_take"]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    apart = placed.filter(F.col("_bucket") != at).withColumn(into, F.col("_bucket") < at)
-    shared = placed.filter(F.col("_bucket") == at).withColumn(into, F.row_number().over(inside) <= take)
-    return apart.unionByName(shared).drop("_bucket", "_group")
-
-
-def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """Rows per key and rows before it. As few rows as there are keys: groups, or buckets of one group."""
-    earlier = Window.partitionBy().orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    placed = rows.withColumn("_bucket", bucket)
+    inside, left = placed, (F.sum("_n").over(Window.partitionBy()) * F.lit(portion)).cast("long")
+    for width in widths:
+        cut = (
+            _counted(inside.select(floor_div(F.col("_bucket"), width).alias("_key")))
+            .withColumn("_left", left - F.col("_before"))
+            .filter((F.col("_left") >= 0) & (F.col("_left") < F.col("_n")))
+            .first()
+        )
+        if cut is None:
+            return rows.withColumn(into, F.lit(False))
+        start, left = cut["_key"] * width, F.lit(cut["_left"])
+        inside = placed.filter(F.col("_bucket").between(start, start + width - 1))
+    numbered = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    shared = inside.withColumn(into, numbered <= left)
+    apart = placed.filter(F.col("_bucket") != start).withColumn(into, F.col("_bucket") < start)
+    return apart.unionByName(shared).drop("_bucket")
+
+
+def _counted(keyed: DataFrame) -> DataFrame:
+    """Rows per key and rows before it: as few rows as there are stretches in the one being searched."""
+    earlier = Window.partitionBy().orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
     return counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))

@@ -68,7 +68,7 @@ def accuracy_at(
     """Accuracy, rows kept, and accuracy per predicted class; one threshold serves both by default."""
     by = list(by)
     neg_threshold = pos_threshold if neg_threshold is None else neg_threshold
-    kept = F.when(F.col("positive"), F.col("confidence") >= pos_threshold).otherwise(F.col("confidence") >= neg_threshold)
+    kept = F.col("confidence") >= F.when(F.col("positive"), pos_threshold).otherwise(neg_threshold)
     return (
         _scored(predictions, by)
         .groupBy(*by)

@@ -70,7 +70,8 @@ def daily_bins(
     """
     landed = landed or shared_folder(spark)
     raw = event_source.read_days(spark, root, first, last, bad_lines=True)
-    event_source.land_events(raw.select("day", "standardTimestamp", "mappedEvent", "companies", event_source.BAD_LINE), landed)
+    needed = raw.select("day", "standardTimestamp", "mappedEvent", "companies", event_source.BAD_LINE)
+    event_source.land_events(needed, landed)
     stored = event_source.read_landed(spark, landed, first, last)
     cleaned = clean_events(stored, tables.read_ticker_list(spark, ticker_list), keep=("day",))
     tables.write_day_csv(DAILY_RULES[rule](cleaned, **settings), target, one_file=True)
@@ -87,7 +88,8 @@ def labelled_returns(
 ) -> DataFrame:
     """Events with device, domain and event flags, joined to the return of their minute and ticker.
 
-    Events are read twice, for the labels and for the rows: give this landed ones. The label list (at most ``domains`` names) is the only thing collected: it names columns.
+    Events are read twice, for the labels and for the rows: give this landed ones. The label list
+    (at most ``domains`` names) is the only thing collected: it names columns.
     """
     clean_stock = returns.clean_returns(stock)
     wanted = raw.select("standardTimestamp", "mappedEvent", "deviceType", "refDomain", "companies")
@@ -107,7 +109,9 @@ def labelled_returns(
     return returns.label_events(flagged, clean_stock)
 
 
-def model_rows(sentiment: DataFrame, panel: DataFrame, *, lookback: str = "10 hours", skip_times: int = 40) -> DataFrame:
+def model_rows(
+    sentiment: DataFrame, panel: DataFrame, *, lookback: str = "10 hours", skip_times: int = 40
+) -> DataFrame:
     """Stored bin sentiment and price panel to the frame the classifiers are trained on.
 
     The merged rows are stored in the shared folder, as the shifts read them twice.

@@ -69,7 +69,8 @@ filled AS (
     PARTITION BY "Ticker" ORDER BY "Time" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p
   FROM grid),
 "returns" AS (
-  SELECT "Time", "Ticker", p / nullif(lag(p, 4) OVER (PARTITION BY "Ticker" ORDER BY "Time"), 0) - 1 AS r FROM filled)"""
+  SELECT "Time", "Ticker", p / nullif(lag(p, 4) OVER (PARTITION BY "Ticker" ORDER BY "Time"), 0) - 1 AS r
+  FROM filled)"""
 
 _ROLLED = """times AS (SELECT t FROM (SELECT DISTINCT "Time" AS t FROM sentiment) ORDER BY t OFFSET 40),
 near AS (SELECT t, s.* FROM times JOIN sentiment s ON s."Time" > t - INTERVAL 10 DAY AND s."Time" <= t),
@@ -102,6 +103,10 @@ SELECT {_SENTIMENT_COLUMNS}, round("Return_h_60", 9) AS "Return_h_60",
   "Return_h_60" > 0 AS return_sign
 FROM shifted WHERE rn > 32"""
 
+_VECTOR_COLUMNS = (
+    *("doc_id", "chars", "words", "lines", "chars_per_word"),
+    *("Label", "ROE_excess_change", "ROE_change"),
+)
 _VECTORS = """vectors AS (
   SELECT doc_id, n_chars::DOUBLE AS chars, len(string_split(text, ' '))::DOUBLE AS words,
          len(string_split(text, chr(10)))::DOUBLE AS lines,
@@ -112,7 +117,8 @@ _VECTORS = """vectors AS (
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 _SCORED = """base AS (
-  SELECT event_type AS model, "value" AS v, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events),
+  SELECT event_type AS model, "value" AS v, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k
+  FROM events),
 scored AS (
   SELECT model, k > 60 OR model IN ('click', 'purchase') AS truth,
          (k / 100.0::DOUBLE + v / (v + 20.0::DOUBLE)) / 2 AS p1,
@@ -193,7 +199,8 @@ FROM lineitem
     "top_domain_dummies": f"""
 WITH {_PAGES},
 hosts AS (SELECT host, label, count(*) AS c FROM parts GROUP BY ALL),
-top AS (SELECT label, max(c) AS best FROM hosts WHERE label IS NOT NULL GROUP BY label ORDER BY best DESC, label LIMIT 10)
+top AS (
+  SELECT label, max(c) AS best FROM hosts WHERE label IS NOT NULL GROUP BY label ORDER BY best DESC, label LIMIT 10)
 SELECT 'is_domain_' || label AS dummy, count(*) AS pages FROM parts JOIN top USING (label) GROUP BY label
 """,
     "top_domains_natural_order": f"""
@@ -260,7 +267,8 @@ FROM orders LEFT JOIN stock ON t = o_orderdate AND k = o_orderstatus WHERE r IS
 WITH {_SHARES},
 clean AS (SELECT *, date_trunc('minute', stamp) AS t FROM companies WHERE tick IS NOT NULL AND score IS NOT NULL),
 stock AS (
-  SELECT t, tick, (sum(CAST(round(score * 100) AS BIGINT)) - 4)::DOUBLE / 100 AS r FROM clean WHERE tick LIKE 'S%' GROUP BY ALL),
+  SELECT t, tick, (sum(CAST(round(score * 100) AS BIGINT)) - 4)::DOUBLE / 100 AS r
+  FROM clean WHERE tick LIKE 'S%' GROUP BY ALL),
 listed AS (SELECT * FROM clean WHERE tick IN (SELECT tick FROM stock)),
 top AS (SELECT l_suppkey FROM listed GROUP BY l_suppkey ORDER BY count(*) DESC, 's' || l_suppkey LIMIT 20)
 SELECT n AS company_count, score AS company_sentiment_score, tick AS "Ticker", t AS "TimeStamp",
@@ -300,7 +308,7 @@ FROM vectors WHERE "Label" IS NOT NULL AND "Label" <> 2
 """,
     "null_report": f"""
 WITH {_VECTORS}
-SELECT {", ".join(f'count(*) - count("{c}") AS "{c}"' for c in ("doc_id", "chars", "words", "lines", "chars_per_word", "Label", "ROE_excess_change", "ROE_change"))}
+SELECT {", ".join(f'count(*) - count("{c}") AS "{c}"' for c in _VECTOR_COLUMNS)}
 FROM vectors
 """,
     "shuffled_split": """
@@ -334,7 +342,9 @@ FROM cells
 """,
     "accuracy_at_thresholds": f"""
 WITH {_SCORED},
-kept AS (SELECT *, positive = truth AS hit FROM preds WHERE conf >= CASE WHEN positive THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END)
+kept AS (
+  SELECT *, positive = truth AS hit FROM preds
+  WHERE conf >= CASE WHEN positive THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END)
 SELECT round(avg(hit::INTEGER), 9) AS accuracy, count(*) AS counts,
        round(avg(hit::INTEGER) FILTER (WHERE positive), 9) AS accuracy_pos,
        round(avg(hit::INTEGER) FILTER (WHERE NOT positive), 9) AS accuracy_neg
@@ -346,7 +356,9 @@ SELECT model, round(t, 9) AS threshold, {_AUC}, {_share("tp + fp + tn + fn", "n"
 """,
     "confidence_histogram": f"""
 WITH {_SCORED},
-ends AS (SELECT positive, min(conf) AS lo, max(conf) AS hi, (max(conf) - min(conf)) / 10 AS step FROM preds GROUP BY positive),
+ends AS (
+  SELECT positive, min(conf) AS lo, max(conf) AS hi, (max(conf) - min(conf)) / 10 AS step
+  FROM preds GROUP BY positive),
 grid AS (SELECT positive, i, lo + i * step AS a, CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * step END AS b
          FROM ends CROSS JOIN range(10) t(i))
 SELECT CAST(g.positive AS INTEGER) AS predicted, CAST(i AS INTEGER) AS bin, round(a, 9) AS bin_low,
