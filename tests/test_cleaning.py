@@ -77,11 +77,11 @@ def test_natural_top_ignores_counts(frame):
 
 def test_domain_dummy_modes(frame):
     rows = domains(frame, {"www.google.com": 1, "google": 1})
-    flag = lambda mode: rows.select("refDomain", *dummies.domain_dummies(["google"], mode=mode)).collect()
+    flag = lambda mode: dummies.add_domain_dummies(rows, ["google"], mode=mode).collect()
     assert {r.refDomain: r.is_domain_google for r in flag("intended")} == {"www.google.com": 1, "google": 0}
     assert {r.refDomain: r.is_domain_google for r in flag("literal")} == {"www.google.com": 0, "google": 1}
     with pytest.raises(ValueError):
-        dummies.domain_dummies(["x"], mode="other")
+        dummies.add_domain_dummies(rows, ["x"], mode="other")
 
 
 def test_stack_fills(spark, frame):

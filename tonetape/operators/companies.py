@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonetape.functions.text import ticker_of
+from tonetape.operators import salting
 
 # Names are short: this many take a few megabytes.
 MOST_BROADCAST = 100_000
@@ -82,7 +83,5 @@ def keep_listed(rows: DataFrame, listed: DataFrame, key: str = "Ticker", *, most
     names = listed.select(key).distinct()
     if names.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(names), key, "left_semi")
-    others = [c for c in rows.columns if c != key]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    copied = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copied, [key, "_salt"], "left_semi").drop("_salt")
+    salted = salting.spread(rows, [c for c in rows.columns if c != key], SALTS)
+    return salted.join(salting.copied(names, SALTS), [key, salting.SALT], "left_semi").drop(salting.SALT)

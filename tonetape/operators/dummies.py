@@ -68,10 +68,10 @@ def label_names(labels: DataFrame) -> list[str]:
     return [row["label"] for row in labels.collect()]
 
 
-def domain_dummies(
-    labels: Iterable[str], column: str = "refDomain", *, part: int = -2, mode: str = "intended"
-) -> list[Column]:
-    """One 0/1 column per label.
+def add_domain_dummies(
+    rows: DataFrame, labels: Iterable[str], column: str = "refDomain", *, part: int = -2, mode: str = "intended"
+) -> DataFrame:
+    """One more 0/1 column per label; the domain is taken apart once per row.
 
     ``intended`` compares the label inside the domain. ``literal`` compares the whole domain with
     the label, so only a bare one-part domain can match.
@@ -79,4 +79,5 @@ def domain_dummies(
     if mode not in ("intended", "literal"):
         raise ValueError("mode must be 'intended' or 'literal'")
     value = domain_label(F.col(column), part) if mode == "intended" else F.col(column)
-    return [_flag(value == label, f"is_domain_{label}") for label in labels]
+    flags = [_flag(F.col("_label") == label, f"is_domain_{label}") for label in labels]
+    return rows.withColumn("_label", value).select("*", *flags).drop("_label")

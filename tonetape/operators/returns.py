@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonetape.operators import series
+from tonetape.operators import salting, series
 
 # The row shifts of the lag and delta features.
 SHIFTS = (4, 8, 12, 16)
@@ -27,18 +27,14 @@ def label_events(
     """Events that have a return, with it and ``Label`` = 1.0 where it is above zero, else 0.0.
 
     Returns hold one row per key and are far fewer than events, so each is copied ``salts`` times
-    and the events of one key are spread over as many groups.
+    and the events of one key are spread over as many groups. Add wide 0/1 columns after this step,
+    not before: the events' own columns are hashed and shuffled.
     """
-    if salts < 1:
-        raise ValueError("salts must be at least 1")
-    spread = [c for c in events.columns if c not in keys]
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copied = returns.filter(F.col("Return").isNotNull()).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    salted = salting.spread(events, [c for c in events.columns if c not in keys], salts)
+    copied = salting.copied(returns.filter(F.col("Return").isNotNull()), salts)
     return (
-        salted.join(copied, [*keys, "_salt"])
-        .drop("_salt")
+        salted.join(copied, [*keys, salting.SALT])
+        .drop(salting.SALT)
         .withColumn("Label", (F.col("Return") > 0).cast("double"))
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonetape.functions.clock import floor_div, micros
+from tonetape.operators import salting
 
 # A look-back is cut into this many slots to find which times a ticker is seen at, and the
 # tickers of one slot are spread over this many groups.
@@ -103,13 +104,12 @@ def _pairs_in_reach(rows: DataFrame, time: str, ticker: str, span: int, skip_tim
         time,
         F.unix_micros(time).alias("at"),
         floor_div(F.unix_micros(time), slot).alias("slot"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     reached = (
         rows.select(ticker, floor_div(F.unix_micros(time), slot).alias("slot"))
         .distinct()
         .select(ticker, F.explode(F.sequence(F.col("slot"), F.col("slot") + hops)).alias("slot"))
         .distinct()
-        .withColumn("salt", F.pmod(F.xxhash64(ticker), F.lit(SALTS)).cast("int"))
     )
-    return reached.join(times, ["slot", "salt"]).select(time, ticker, "at")
+    spread, copied = salting.spread(reached, [ticker], SALTS), salting.copied(times, SALTS)
+    return spread.join(copied, ["slot", salting.SALT]).select(time, ticker, "at")

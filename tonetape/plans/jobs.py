@@ -97,16 +97,13 @@ def labelled_returns(
         companies.select_company(companies.explode_companies(wanted)), clean_stock.select("Ticker").distinct()
     )
     labels = dummies.label_names(dummies.top_labels(rows, domains))
-    flagged = rows.select(
-        "company_count",
-        "company_sentiment_score",
-        "Ticker",
-        *dummies.device_dummies(DEVICE_TYPES),
-        *dummies.domain_dummies(labels, mode=domain_mode),
-        *dummies.event_dummies(events),
-        clock.parse_minute(F.col("standardTimestamp")).alias("TimeStamp"),
+    stamped = rows.withColumn("TimeStamp", clock.parse_minute(F.col("standardTimestamp")))
+    joined = returns.label_events(stamped, clean_stock).select(
+        "*", *dummies.device_dummies(DEVICE_TYPES), *dummies.event_dummies(events)
+    )
+    return dummies.add_domain_dummies(joined, labels, mode=domain_mode).drop(
+        "standardTimestamp", "deviceType", "refDomain", "mappedEvent"
     )
-    return returns.label_events(flagged, clean_stock)
 
 
 def model_rows(

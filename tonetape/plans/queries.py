@@ -162,8 +162,8 @@ def event_dummies(spark: SparkSession, folder: str) -> DataFrame:
 def top_domain_dummies(spark: SparkSession, folder: str) -> DataFrame:
     pages = data.domain_pages(spark, folder)
     labels = dummies.label_names(dummies.top_labels(pages, 10, part=-3))
-    flags = pages.select(*dummies.domain_dummies(labels, part=-3))
-    sums = flags.agg(*(F.sum(f"`{c}`").alias(c) for c in flags.columns))
+    flagged = dummies.add_domain_dummies(pages, labels, part=-3)
+    sums = flagged.agg(*(F.sum(f"`{c}`").alias(c) for c in flagged.columns if c.startswith("is_domain_")))
     return sums.unpivot([], [f"`{c}`" for c in sums.columns], "dummy", "pages")
 
 
@@ -277,7 +277,9 @@ def labelled_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def labelled_returns(spark: SparkSession, folder: str) -> DataFrame:
     """The whole chain from raw events and text returns; domain flags are shown by their sum."""
-    rows = jobs.labelled_returns(data.share_events(spark, folder), data.minute_stock_rows(spark, folder), domains=20)
+    landed = tables.write_table(data.share_events(spark, folder), shared_folder(spark))
+    stock = tables.write_table(data.minute_stock_rows(landed), shared_folder(spark))
+    rows = jobs.labelled_returns(landed, stock, domains=20)
     flags = [c for c in rows.columns if c.startswith("is_domain_")]
     return rows.select(
         *(c for c in rows.columns if c not in flags),

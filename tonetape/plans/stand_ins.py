@@ -126,15 +126,15 @@ def stock_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def minute_stock_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Returns as text rows per minute and supplier ticker of the share events, in whole cents."""
-    events = share_events(spark, folder).select(
+def minute_stock_rows(events: DataFrame) -> DataFrame:
+    """Returns as text rows per minute and supplier ticker of share events, in whole cents."""
+    flat = events.select(
         F.date_format(parse_minute(F.col("standardTimestamp")), "yyyy-MM-dd HH:mm:ss").alias("Lagged_Time"),
         F.inline("companies"),
     )
     score = F.col("sentiment_score").try_cast("double")
     return (
-        events.filter(F.col("ric").startswith("S"))
+        flat.filter(F.col("ric").startswith("S"))
         .groupBy("Lagged_Time", ticker_of(F.col("ric")).alias("variable"))
         .agg((F.sum(F.round(score * 100).cast("long")) - 4).alias("cents"))
         .select("Lagged_Time", "variable", (F.col("cents") / 100).cast("string").alias("Return"))
