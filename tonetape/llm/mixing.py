@@ -12,8 +12,8 @@ cut; only the documents of that last part are put in order. So a source with a t
 meets in one task, and the words taken differ from the target by half a document at most.
 
 Defined results: a null text has size 0; a null source is a source, after all others; a source without
-words has target 0 and is taken 0 times; rows that repeat count each; documents with one id are ordered
-by size; an empty table gives an empty result. Other columns are carried along and not looked at.
+words has target 0 and is taken 0 times; rows that repeat count each, and rows alike in id, source and
+size are taken equally often; an empty table gives an empty result. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonetape.llm.shared import WORD, column, free_names, stored
+from tonetape.llm.shared import WORD, column, documents, free_names, stored
 
 #: Bits of the hash that pick a cell, and a part of a cell.
 CELL_BITS = 12
@@ -93,7 +93,46 @@ def mix(
     ``weights`` is a list that repeats over the sources, or a frame of (source, weight > 0).
     ``times`` is how often the mix takes the document and ``taken`` the words that makes.
     """
-    sized = stored(
+    sized = _sized(docs, seed)
+    plan, cut = _plan(sized, weights, share, most_epochs)
+    times, *names = free_names(sized, ["times", "source_size", "target"])
+    frame = _with_times(sized, plan, cut, {c: F.col(c) for c in sized.columns}, times, names)
+    return frame.select(
+        "doc_id",
+        "source",
+        "size",
+        F.col(names[0]).alias("source_size"),
+        F.col(names[1]).alias("target"),
+        F.col(times).alias("times"),
+        (F.col("size") * F.col(times)).cast("long").alias("taken"),
+    )
+
+
+def repeat(
+    docs: DataFrame,
+    weights: Sequence[float] | DataFrame = (5, 2, 1),
+    share: float = 1.5,
+    most_epochs: float = 2.0,
+    seed: int = 0,
+) -> DataFrame:
+    """The mix itself: every document as often as ``mix`` takes it, with the columns it came with.
+
+    The texts stay where they are: only the plan, one row per source, is joined to them.
+    """
+    plan, cut = _plan(_sized(docs, seed), weights, share, most_epochs)
+    size, hash_, times, number, *names = free_names(docs, ["size", "hash", "times", "number", "source_size", "target"])
+    frame = docs.withColumn(size, word_count(column(docs, "text"))).withColumn(hash_, seeded(column(docs, "doc_id"), seed))
+    of = {"doc_id": column(docs, "doc_id"), "source": column(docs, "source"), "size": F.col(size), "hash": F.col(hash_)}
+    frame = _with_times(frame, plan, cut, of, times, names)
+    return (
+        frame.where(F.col(times) > 0)
+        .withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    return stored(
         docs.select(
             column(docs, "doc_id").alias("doc_id"),
             column(docs, "source").alias("source"),
@@ -101,101 +140,78 @@ def mix(
             seeded(column(docs, "doc_id"), seed).alias("hash"),
         )
     )
-    plan = _plan(sized, weights, share, most_epochs)
-    cell = F.shiftright("hash", HASH_BITS - CELL_BITS)
-    part = F.shiftright("hash", HASH_BITS - 2 * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
-    placed = sized.withColumn("cell", cell).withColumn("part", part)
-    same = [sized["source"].eqNullSafe(F.col("p.source"))]
-    joined = placed.join(plan.alias("p"), same, "left").select(
-        placed["*"], "p.source_size", "p.target", "p.whole", "p.rest", "p.cut_cell", "p.cut_part", "p.before"
-    )
-    at_cell, at_part = F.col("cell") == F.col("cut_cell"), F.col("part") == F.col("cut_part")
-    in_cut = F.coalesce(at_cell & at_part, F.lit(False))
-    below = (F.col("cell") < F.col("cut_cell")) | (at_cell & (F.col("part") < F.col("cut_part")))
-    outside = joined.where(~in_cut).withColumn("again", F.coalesce(below, F.lit(False)).cast("int"))
-    order = Window.partitionBy("source").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("size").over(order) - F.col("size") + F.col("size") / F.lit(2.0)
-    inside = joined.where(in_cut).withColumn("again", (middle <= F.col("rest")).cast("int"))
-    times = (F.col("whole") + F.col("again")).cast("int")
-    return outside.unionByName(inside).select(
-        "doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).cast("long").alias("taken")
-    )
 
 
-def _plan(sized: DataFrame, weights, share: float, most_epochs: float) -> DataFrame:
-    """One row per source: its target, whole repetitions, and where the order by hash is cut."""
-    spread = (
-        sized.groupBy("source", F.shiftright("hash", HASH_BITS - CELL_BITS).alias("cell")).agg(F.sum("size").alias("words"))
+def _cell(value: Column) -> Column:
+    return F.shiftright(value, HASH_BITS - CELL_BITS)
+
+
+def _part(value: Column) -> Column:
+    return F.shiftright(value, HASH_BITS - 2 * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+
+
+def _with_times(frame: DataFrame, plan: DataFrame, cut: DataFrame, of: dict[str, Column], times: str, names: list[str]) -> DataFrame:
+    """The frame with ``times`` and, under ``names``, its source's size and target."""
+    inner = [f"__plan_{c}" for c in plan.columns]
+    frame = frame.join(plan.toDF(*inner), of["source"].eqNullSafe(F.col("__plan_source")))
+    match = [of[c].eqNullSafe(F.col(f"__cut_{c}")) for c in ("source", "hash", "doc_id", "size")]
+    held = [f"__cut_{c}" for c in cut.columns]
+    frame = frame.join(cut.toDF(*held), match[0] & match[1] & match[2] & match[3], "left")
+    cell, part = _cell(of["hash"]), _part(of["hash"])
+    at, at_part = F.col("__plan_cut_cell"), F.col("__plan_cut_part")
+    below = F.coalesce((cell < at) | ((cell == at) & (part < at_part)), F.lit(False))
+    again = F.coalesce(F.col("__cut_again"), below.cast("int"))
+    return (
+        frame.withColumn(times, (F.col("__plan_whole") + again).cast("int"))
+        .withColumn(names[0], F.col("__plan_source_size"))
+        .withColumn(names[1], F.col("__plan_target"))
+        .drop(*inner, *held)
     )
-    spread = stored(spread)
+
+
+def _plan(sized: DataFrame, weights, share: float, most_epochs: float) -> tuple[DataFrame, DataFrame]:
+    """One row per source: its target, whole repetitions, and where the order by hash is cut; and the
+    documents of the part that holds the cut, with whether they are taken ``again``."""
+    spread = stored(sized.groupBy("source", _cell(F.col("hash")).alias("cell")).agg(F.sum("size").alias("words")))
     sources = spread.groupBy("source").agg(F.sum("words").cast("long").alias("source_size"))
     if isinstance(weights, DataFrame):
         given = weights.select(F.col("source").alias("of"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(given, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     else:
         sources = repeating_weights(sources, weights)
-    targets = water_fill(sources, share, most_epochs)
     some = F.col("source_size") > 0
     whole = F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = stored(
-        targets.withColumn("whole", whole.cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        water_fill(sources, share, most_epochs)
+        .withColumn("whole", whole.cast("int"))
+        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     of = targets.select(F.col("source").alias("of"), "rest")
     cells = spread.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("start", F.lit(0))
     first = stored(_cut(cells, ["source", "rest"], "cell"))
-    cut = first.select(F.col("source").alias("of"), "rest", F.col("cell").alias("cut_cell"), F.col("before").alias("start"))
-    inner = (
-        sized.join(cut, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", HASH_BITS - CELL_BITS) == F.col("cut_cell")))
-        .withColumn("part", F.shiftright("hash", HASH_BITS - 2 * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1)))
-        .groupBy("source", "cut_cell", "rest", "start", "part")
-        .agg(F.sum("size").alias("words"))
+    first = first.select(F.col("source").alias("of"), "rest", F.col("cell").alias("cut_cell"), F.col("before").alias("start"))
+    inner = stored(
+        sized.join(first, F.col("source").eqNullSafe(F.col("of")) & (_cell(F.col("hash")) == F.col("cut_cell")))
+        .drop("of")
+        .withColumn("part", _part(F.col("hash")))
     )
-    second = _cut(inner, ["source", "cut_cell"], "part").select(
+    parts = inner.groupBy("source", "cut_cell", "rest", "start", "part").agg(F.sum("size").alias("words"))
+    second = _cut(parts, ["source", "cut_cell"], "part").select(
         F.col("source").alias("of"), "cut_cell", F.col("part").alias("cut_part"), "before"
     )
-    return stored(targets.join(second, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"))
-
-
-def repeat(docs: DataFrame, **rules) -> DataFrame:
-    """The mix itself: every document as often as ``mix`` takes it, with the columns it came with.
-
-    Documents are matched to their number of repetitions by id, source and size, with a number among
-    equals, so rows that share an id are each taken as often as their own row of ``mix`` says.
-    """
-    chosen = mix(docs, **rules).groupBy("doc_id", "source", "size").agg(
-        F.max("times").alias("most"), F.sum("times").alias("all"), F.count(F.lit(1)).alias("rows")
-    )
-    names = free_names(docs, ["id", "source", "size", "times", "n"])
-    doc_id, source, size, times, number = names
-    keyed = docs.withColumn(size, word_count(column(docs, "text")))
-    chosen = chosen.select(
-        F.col("doc_id").alias(doc_id),
-        F.col("source").alias(source),
-        F.col("size").alias("__of"),
-        F.col("most").alias(times),
-        (F.col("rows") * F.col("most") - F.col("all")).alias(number),
-    )
-    match = (
-        column(docs, "doc_id").eqNullSafe(F.col(doc_id))
-        & column(docs, "source").eqNullSafe(F.col(source))
-        & (F.col(size) == F.col("__of"))
-    )
-    joined = keyed.join(chosen, match)
-    # Rows alike in id, source and size can straddle the cut: some are then taken once less.
-    alike = Window.partitionBy(doc_id, source, size).orderBy(F.xxhash64(column(docs, "text")))
-    even = joined.where(F.col(number) == 0)
-    odd = joined.where(F.col(number) > 0).withColumn(
-        times, F.col(times) - (F.row_number().over(alike) <= F.col(number)).cast("int")
-    )
-    return (
-        even.unionByName(odd)
-        .where(F.col(times) > 0)
-        .withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = stored(targets.join(second, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "weight"))
+    place = second.select("of", "cut_part", "before")
+    order = Window.partitionBy("source").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum("words").over(order) - F.col("words") + F.col("words") / F.lit(2.0)
+    cut = (
+        inner.join(place, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("cut_part")))
+        .groupBy("source", "hash", "doc_id", "size", "rest", "before")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("again", (middle <= F.col("rest")).cast("int"))
+        .select("source", "hash", "doc_id", "size", "again")
     )
+    return plan, stored(cut)
 
 
 def op1_mix(spark, folder: str) -> DataFrame:
-    from tonetape.llm.shared import documents
-
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")

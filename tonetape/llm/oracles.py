@@ -33,11 +33,12 @@ def mix_sql(table: str, seed: int = 0) -> str:
         SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
     ), placed AS (
         SELECT s.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-            sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash, s.doc_id NULLS FIRST, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
+            sum(s.size) OVER (PARTITION BY s.source, s.hash, s.doc_id, s.size) AS peers,
+            sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash, s.doc_id NULLS FIRST, s.size RANGE UNBOUNDED PRECEDING) AS upto
         FROM sized s JOIN parted p ON s.source IS NOT DISTINCT FROM p.source
     )
-    SELECT * EXCLUDE (hash, whole, rest, before),
-        (whole + CASE WHEN source_size > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END)::INT AS times
+    SELECT * EXCLUDE (hash, whole, rest, peers, upto),
+        (whole + CASE WHEN source_size > 0 AND upto - peers + peers / 2.0 <= rest THEN 1 ELSE 0 END)::INT AS times
     FROM placed
     """
 
