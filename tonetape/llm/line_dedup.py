@@ -175,7 +175,8 @@ def mark(docs: DataFrame, **rules) -> tuple[DataFrame, str, str]:
 def remove_lines(docs: DataFrame, **rules) -> DataFrame:
     """The documents as they came, ``text`` without the lines that go; the number of rows stays."""
     frame, gone, all_ = mark(docs, **rules)
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +185,7 @@ def remove_lines(docs: DataFrame, **rules) -> DataFrame:
             made = [without(text, places, whole) for text, places, whole in marks]
             columns = list(batch.drop_columns([gone, all_]).columns)
             columns[place] = pa.array(made, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return frame.select(*[F.col(f"`{c}`") for c in docs.columns], gone, all_).mapInArrow(run, docs.schema)
 

@@ -172,7 +172,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents as they came, ``text`` without its repeated words (joined by one space); others unchanged."""
     short_batches(docs.sparkSession)
     frame, spans, raw = _with_spans(docs)
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches):
         for batch in batches:
@@ -182,7 +183,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     held[i] = b" ".join(_kept(text, parts)[0]).decode()
             columns = list(batch.drop_columns([spans, raw]).columns)
             columns[place] = pa.array(held, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return frame.mapInArrow(run, docs.schema)
 
