@@ -38,7 +38,7 @@ TAKEN = 2
 BANDS = 24
 SIMILAR = 0.8
 #: Nodes of a bucket up to which its pairs are listed, further bands that divide a larger one, and how often.
-SMALL = 12
+SMALL = 32
 DIVIDE = 8
 DEEPEST = 3
 LAST = (1 << 63) - 1
@@ -215,11 +215,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """The state of the search for links: candidates' texts, links found so far, classes."""
+    """The state of the search for links: candidates' texts, pairs tested so far, classes found."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame) -> None:
-        self.nodes, self.texts = nodes, texts
-        self.links: DataFrame | None = None
+    def __init__(self, texts: DataFrame) -> None:
+        self.texts = texts
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
 
@@ -238,9 +237,23 @@ class _Search:
         if fresh.isEmpty():
             return
         self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
-        found = stored(verify(fresh, self.texts))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links)
+        links = stored(verify(fresh, self.texts))
+        if not links.isEmpty():
+            self._join(links)
+
+    def _join(self, links: DataFrame) -> None:
+        """Only classes that a new link joins are worked on; later rounds have few."""
+        if self.labels is None:
+            self.labels = components(links)
+            return
+        ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+        added = ends.join(self.labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+        labels = stored(self.labels.unionByName(added))
+        of_u, of_v = (labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv")
+        between = links.join(of_u, "u").join(of_v, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+        joined = components(between.where(F.col("u") != F.col("v")))
+        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("least"))
+        self.labels = stored(labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
 
 
 def _open_buckets(search: _Search, rows: DataFrame) -> DataFrame:
@@ -294,7 +307,7 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = rows.select("node").distinct()
     texts = docs.select(_node(docs).alias("node"), _text(docs).alias("text"))
     texts = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    search = _Search(nodes, texts)
+    search = _Search(texts)
     depth = 0
     while True:
         search.test(_to_heads(_open_buckets(search, rows)))
