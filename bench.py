@@ -1,7 +1,7 @@
 """Seconds per query at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line on standard output.
 
 Headline queries run once to warm up and then three times; the median counts. The others run once
-to warm up and once for the clock, forests once (the grid search only where it is named). Results
+to warm up and once for the clock, forests once. Results
 go to a sink that computes every row and keeps none.
 """
 
@@ -50,7 +50,7 @@ def main() -> None:
     memory = os.environ.get("BENCH_MEMORY", "16g")
     spark = local_session(cores, partitions=int(cores) if cores.isdigit() else 8, memory=memory)
     spark.sparkContext.setLogLevel("ERROR")
-    names = sys.argv[1:] or [n for n in QUERIES if n != "rf_grid_search"]
+    names = sys.argv[1:] or list(QUERIES)
     seconds = {}
     for name in sorted(names, key=lambda n: n in ONCE):
         if name in ONCE:

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 
 import pytest
@@ -153,3 +154,52 @@ def test_streamed_bins_equal_the_batch(spark, logs, tmp_path):
     query.awaitTermination()
     (row,) = spark.read.parquet(str(tmp_path / "live")).collect()
     assert (row.TimeInterval, row.Ticker, row.sentiment_count) == (dt.datetime(2016, 3, 4, 12, 15), "A", 6)
+
+
+def bins_of(spark, path):
+    return sorted((str(r.day), r.sentiment_count) for r in spark.read.csv(path, header=True).collect())
+
+
+def test_a_second_run_drops_what_is_gone(spark, logs):
+    landed, out = str(logs / "landed"), str(logs / "out")
+    run = lambda: jobs.daily_bins(spark, str(logs / "logs"), str(logs / "list.csv"), FRIDAY, TUESDAY, out, landed=landed)
+    run()
+    assert bins_of(spark, out) == [("2016-03-04", "6"), ("2016-03-07", "5")]
+    # Friday shrinks below the threshold, Monday's folder goes.
+    (logs / "logs" / "20160304" / "part-0.log").write_text("\n".join(json.dumps(event(4, m, 0.1)) for m in range(2)))
+    (logs / "logs" / "20160307" / "part-0.log").unlink()
+    (logs / "logs" / "20160307").rmdir()
+    report = {str(r.day): (r.rows, r.skipped) for r in run().collect()}
+    assert report == {"2016-03-04": (2, False), "2016-03-07": (0, True), "2016-03-08": (0, True)}
+    assert not [p for p in (logs / "out").glob("day=*/*.csv")]
+
+
+def test_a_failing_day_doesnt_stop_the_others(spark, logs):
+    whole = gzip.compress("\n".join(json.dumps(event(8, m, 0.5)) for m in range(3000)).encode())
+    (logs / "logs" / "20160308").mkdir()
+    (logs / "logs" / "20160308" / "part-0.log.gz").write_bytes(whole[: len(whole) // 2])
+    out = str(logs / "out")
+    report = jobs.daily_bins(spark, str(logs / "logs"), str(logs / "list.csv"), FRIDAY, TUESDAY, out, spread=3).collect()
+    assert {str(r.day): r.failed is None for r in report} == {"2016-03-04": True, "2016-03-07": True, "2016-03-08": False}
+    assert bins_of(spark, out) == [("2016-03-04", "6"), ("2016-03-07", "5")]
+
+
+def test_landing_keeps_other_days_on_any_session(spark, logs):
+    landed = str(logs / "landed")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        for day in (FRIDAY, dt.date(2016, 3, 7)):
+            event_source.land_events(event_source.read_days(spark, str(logs / "logs"), day, day), landed, [day])
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    assert event_source.read_landed(spark, landed, FRIDAY, TUESDAY).count() == 14
+
+
+def test_manifest_with_odd_names(spark, logs):
+    folder = logs / "logs" / "20160304"
+    (folder / "part 1+%20.log").write_text(json.dumps(event(4, 1, 0.5)))
+    names = [("./20160304/part 1+%20.log", "a"), ("20160304/part 1+%20.log", "b"), ("20160307/part-0.log", "c")]
+    found = event_source.read_manifest(spark, str(logs / "logs"), names).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in found} == {"a": 1, "b": 1, "c": 7}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        event_source.read_manifest(spark, str(logs / "logs"), [("20160304/none.log", "x")])

@@ -4,6 +4,8 @@ import random
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tonetape.operators import returns, series
 
 START = dt.datetime(2016, 3, 8)
@@ -99,7 +101,7 @@ def test_clean_and_label(frame):
         ["TimeStamp"],
     )
     for salts in (1, 16):
-        found = returns.label_events(events, stock, salts=salts).orderBy("id").collect()
+        found = returns.label_events(events, stock, salts=salts, salt_by=("id",)).orderBy("id").collect()
         assert [(r.id, r.Return, r.Label) for r in found] == [(0, 0.1, 1.0), (1, 0.1, 1.0), (2, 0.0, 0.0), (3, -0.1, 0.0)]
 
 
@@ -112,3 +114,11 @@ def test_merge_drops_incomplete(frame):
 def test_no_window_spans_a_whole_series(model_rows):
     plan = returns.lag_delta_features(model_rows)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_events_of_keys_alone_and_with_maps(spark, frame):
+    stock = frame([("2016-03-08 12:00:00", "A", 0.1)], "TimeStamp string, Ticker string, Return double", ["TimeStamp"])
+    events = frame([("2016-03-08 12:00:00", "A")], "TimeStamp string, Ticker string", ["TimeStamp"])
+    assert [r.Label for r in returns.label_events(events, stock).collect()] == [1.0]
+    mapped = events.withColumn("more", F.create_map(F.lit("a"), F.lit(1)))
+    assert [r.more for r in returns.label_events(mapped, stock).collect()] == [{"a": 1}]

@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonetape.functions.text import ticker_of
-from tonetape.operators import salting
 
-# Names are short: this many take a few megabytes.
-MOST_BROADCAST = 100_000
-SALTS = 16
 
 
 def explode_companies(events: DataFrame, column: str = "companies", alias: str = "company") -> DataFrame:
@@ -74,14 +70,10 @@ def useful_fraction(events: DataFrame, column: str = "companies") -> DataFrame:
     )
 
 
-def keep_listed(rows: DataFrame, listed: DataFrame, key: str = "Ticker", *, most: int = MOST_BROADCAST) -> DataFrame:
+def keep_listed(rows: DataFrame, listed: DataFrame, key: str = "Ticker") -> DataFrame:
     """Rows whose key is in the list.
 
-    The list is counted first. Up to ``most`` names are broadcast, so the rows stay where they are;
-    a longer list is copied per salt and joined by shuffle, which spreads the rows of a hot key.
+    Spark broadcasts a list below its own size limit; a longer one is joined by shuffle, where adaptive
+    execution splits the rows of a hot key.
     """
-    names = listed.select(key).distinct()
-    if names.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(names), key, "left_semi")
-    salted = salting.spread(rows, [c for c in rows.columns if c != key], SALTS)
-    return salted.join(salting.copied(names, SALTS), [key, salting.SALT], "left_semi").drop(salting.SALT)
+    return rows.join(listed.select(key).distinct(), key, "left_semi")

@@ -9,7 +9,6 @@ from tonetape.operators import salting, series
 
 # The row shifts of the lag and delta features.
 SHIFTS = (4, 8, 12, 16)
-SALTS = 8
 
 
 def clean_returns(raw: DataFrame) -> DataFrame:
@@ -22,21 +21,27 @@ def clean_returns(raw: DataFrame) -> DataFrame:
 
 
 def label_events(
-    events: DataFrame, returns: DataFrame, keys: tuple[str, ...] = ("TimeStamp", "Ticker"), *, salts: int = SALTS
+    events: DataFrame,
+    returns: DataFrame,
+    keys: tuple[str, ...] = ("TimeStamp", "Ticker"),
+    *,
+    salts: int = 1,
+    salt_by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Events that have a return, with it and ``Label`` = 1.0 where it is above zero, else 0.0.
 
-    Returns hold one row per key and are far fewer than events, so each is copied ``salts`` times
-    and the events of one key are spread over as many groups. Add wide 0/1 columns after this step,
-    not before: the events' own columns are hashed and shuffled.
+    A plain join on the keys: adaptive execution splits hot ones. For keys known to be hot beyond that,
+    ``salts`` copies of each return meet the events, spread by a hash of the columns in ``salt_by``.
     """
-    salted = salting.spread(events, [c for c in events.columns if c not in keys], salts)
-    copied = salting.copied(returns.filter(F.col("Return").isNotNull()), salts)
-    return (
-        salted.join(copied, [*keys, salting.SALT])
-        .drop(salting.SALT)
-        .withColumn("Label", (F.col("Return") > 0).cast("double"))
-    )
+    known = returns.filter(F.col("Return").isNotNull())
+    if salts > 1:
+        if not salt_by:
+            raise ValueError("name the columns whose hash spreads the events")
+        salted, copied = salting.spread(events, salt_by, salts), salting.copied(known, salts)
+        joined = salted.join(copied, [*keys, salting.SALT]).drop(salting.SALT)
+    else:
+        joined = events.join(known, list(keys))
+    return joined.withColumn("Label", (F.col("Return") > 0).cast("double"))
 
 
 def panel_returns(

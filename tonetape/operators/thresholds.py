@@ -161,8 +161,7 @@ def confidence_histogram(predictions: DataFrame, by: Iterable[str] = (), bins: i
         .otherwise(guess)
     )
     counted = (
-        # One row per model and class, however many predictions there are.
-        scored.join(F.broadcast(ends), by)
+        scored.join(ends, by)
         .withColumn("guess", first_guess)
         .groupBy(*by, "low", "high", found.alias("found"))
         .count()

@@ -60,22 +60,29 @@ def daily_bins(
     *,
     rule: str = "bin_end",
     landed: str | None = None,
+    spread: int | None = None,
     **settings,
 ) -> DataFrame:
     """Summarise a range of day folders and write CSV per day; returns the report of days read.
 
     The logs are parsed once and landed as Parquet by day; the summary and the report read that
     copy. A folder's rows are summarised by themselves, as one run per day would, also late ones.
-    ``settings`` (width, threshold and so on) go to the rule.
+    ``settings`` (width, threshold and so on) go to the rule. A day whose files can't be read is left
+    out and reported with its reason in ``failed``. Days written before lose their old bins.
     """
     landed = landed or shared_folder(spark)
-    raw = event_source.read_days(spark, root, first, last, bad_lines=True)
-    needed = raw.select("day", "standardTimestamp", "mappedEvent", "companies", event_source.BAD_LINE)
-    event_source.land_events(needed, landed)
-    stored = event_source.read_landed(spark, landed, first, last)
+    days = list(clock.weekdays(first, last, weekends=False))
+
+    def read(start: dt.date, end: dt.date) -> DataFrame:
+        raw = event_source.read_days(spark, root, start, end, bad_lines=True, spread=spread)
+        return raw.select("day", "standardTimestamp", "mappedEvent", "companies", event_source.BAD_LINE)
+
+    failed = event_source.land_each_day(spark, read, landed, days)
+    stored = event_source.read_landed(spark, landed, first, last, read(first, last).schema)
     cleaned = clean_events(stored, tables.read_ticker_list(spark, ticker_list), keep=("day",))
-    tables.write_day_csv(DAILY_RULES[rule](cleaned, **settings), target, one_file=True)
-    return event_source.day_report(stored, first, last)
+    tables.write_day_csv(DAILY_RULES[rule](cleaned, **settings), target, one_file=True, days=days)
+    reasons = spark.createDataFrame(list(failed.items()), "day date, failed string")
+    return event_source.day_report(stored, first, last).join(reasons, "day", "left")
 
 
 def labelled_returns(
@@ -118,11 +125,12 @@ def model_rows(
     return returns.lag_delta_features(tables.write_table(merged, shared_folder(sentiment.sparkSession)))
 
 
-def slim_days(spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str) -> None:
+def slim_days(spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str, *, spread: int | None = None) -> None:
     """Stamp, score and RIC of every day of the range, weekends too, as bzip2 CSV without a header."""
-    raw = event_source.read_days(spark, root, first, last, weekends=True)
+    raw = event_source.read_days(spark, root, first, last, weekends=True, spread=spread)
     slim = companies.slim_companies(raw, keep=("day",))
-    tables.write_day_csv(slim, target, header=False, compression="bzip2")
+    days = list(clock.weekdays(first, last, weekends=True))
+    tables.write_day_csv(slim, target, header=False, compression="bzip2", days=days)
 
 
 def statement_sets(
@@ -150,19 +158,27 @@ def statement_sets(
 
 def local_clean(raw: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:
     """The flat, retyped table: companies as columns, local wall-clock stamp, host of the URL."""
-    flat = companies.flatten_companies(companies.with_companies(raw))
+    # Stamp and host belong to the event: once per event, not once per company.
+    events = companies.with_companies(raw).withColumns(
+        {"standardTimestamp": clock.parse_in_zone(F.col("standardTimestamp"), zone), "domain": host_of(F.col("url"))}
+    )
+    flat = companies.flatten_companies(events)
     return flat.filter(F.col("companies_ric").isNotNull()).withColumns(
         {
             "companies_sentiment_score": F.col("companies_sentiment_score").try_cast("double"),
             "companies_count": F.col("companies_count").try_cast("double"),
-            "standardTimestamp": clock.parse_in_zone(F.col("standardTimestamp"), zone),
-            "domain": host_of(F.col("url")),
         }
     )
 
 
 def clean_manifest(
-    spark: SparkSession, root: str, names: Iterable[tuple[str, str]], target: str, zone: str = "America/Los_Angeles"
+    spark: SparkSession,
+    root: str,
+    names: Iterable[tuple[str, str]],
+    target: str,
+    zone: str = "America/Los_Angeles",
+    *,
+    spread: int | None = None,
 ) -> DataFrame:
     """The flat table of all listed files, written by output name; returns the stored copy."""
-    return tables.write_table(local_clean(event_source.read_manifest(spark, root, names), zone), target, by=("source",))
+    return tables.write_table(local_clean(event_source.read_manifest(spark, root, names, spread=spread), zone), target, by=("source",))

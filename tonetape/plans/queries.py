@@ -35,6 +35,8 @@ QUERIES: dict[str, Query] = {}
 
 DAY = dt.date(2024, 1, 5)
 FEATURES = ["chars", "words", "lines", "chars_per_word"]
+#: Seven, so that one, three or five of them can be tried at a split.
+GRID_FEATURES = [*FEATURES, "words_per_line", "chars_per_line", "length_step"]
 
 
 def query(build: Query) -> Query:
@@ -419,7 +421,16 @@ def rf_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rf_grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    return forest.grid_search(_stored_model_rows(spark, folder), FEATURES, ["doc_id"], features_per_split=(1, 3))[0]
+    train, _ = _train_and_test(spark, folder)
+    rows = train.withColumns(
+        {
+            "words_per_line": F.col("words") / F.col("lines"),
+            "chars_per_line": F.col("chars") / F.col("lines"),
+            "length_step": F.floor(F.log2(F.col("words") + 1)).cast("double"),
+        }
+    )
+    stored = tables.write_table(rows, shared_folder(spark))
+    return forest.grid_search(stored, GRID_FEATURES, ["doc_id"], features_per_split=(1, 3, 5))[0]
 
 
 @query
@@ -435,12 +446,12 @@ def rf_importances(spark: SparkSession, folder: str) -> DataFrame:
 def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Share events written as gzip JSON lines and cleaned again from there.
 
-    Gzip files cannot be split, so they are kept short for the reading to spread.
+    Gzip files cannot be split, so their rows are dealt out after reading.
     """
     path = shared_folder(spark)
     raw = data.share_events(spark, folder)
-    raw.drop("l_orderkey", "l_linenumber").write.option("maxRecordsPerFile", 50_000).json(path, compression="gzip")
-    return jobs.clean_events(event_source.read_events(spark, path))
+    raw.drop("l_orderkey", "l_linenumber").write.json(path, compression="gzip")
+    return jobs.clean_events(event_source.read_events(spark, path, spread=int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 @query

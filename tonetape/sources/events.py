@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+import posixpath
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,12 @@ from pyspark.sql import types as T
 
 from tonetape.functions.clock import weekdays
 from tonetape.operators import frames
-from tonetape.operators.companies import MOST_BROADCAST
 from tonetape.schemas import SHARE_EVENT
+from tonetape.sources.tables import clear_days
 
 BAD_LINE = "_corrupt_record"
+#: Signs that a path pattern would read as more than themselves.
+GLOB_SIGNS = r"[\[\]{}*?\\]"
 
 
 def read_events(
@@ -90,26 +94,74 @@ def day_report(rows: DataFrame, first: dt.date, last: dt.date, *, weekends: bool
 
 
 def read_manifest(
-    spark: SparkSession, root: str, names: Iterable[tuple[str, str]], schema: T.StructType = SHARE_EVENT
+    spark: SparkSession,
+    root: str,
+    names: Iterable[tuple[str, str]],
+    schema: T.StructType = SHARE_EVENT,
+    *,
+    spread: int | None = None,
+    bad_lines: bool = False,
 ) -> DataFrame:
-    """Events of the listed (input file, output name) pairs in one scan, tagged with ``source``, the output name."""
-    pairs = list(names)
-    rows = read_events(spark, [f"{root.rstrip('/')}/{file}" for file, _ in pairs], schema)
+    """Events of the listed (input file, output name) pairs in one scan, tagged with ``source``, the output name.
+
+    Files are named relative to ``root`` and may lie at any depth. A file listed under two names is read
+    once and comes once per name; a file that isn't there raises.
+    """
+    pairs = sorted({(posixpath.normpath(file), source) for file, source in names})
+    folder = spark._jvm.org.apache.hadoop.fs.Path(str(root))
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder)
+    files = sorted({file for file, _ in pairs})
+    paths = [f"{base.toString().rstrip('/')}/{re.sub(GLOB_SIGNS, lambda m: chr(92) + m[0], file)}" for file in files]
+    rows = read_events(spark, paths, schema, spread=spread, bad_lines=bad_lines)
     listed = spark.createDataFrame(pairs, "file string, source string")
-    parts = F.split("source_path", "/")
-    depth = {file.count("/") + 1 for file, _ in pairs}
-    if len(depth) != 1:
-        raise ValueError("all files of a manifest must lie equally deep")
-    tail = F.array_join(F.slice(parts, -depth.pop(), 1_000), "/")
-    small = len(pairs) <= MOST_BROADCAST
-    return rows.withColumn("file", tail).join(F.broadcast(listed) if small else listed, "file").drop("file")
+    # Paths come URL-encoded, where a plus sign is itself.
+    plain = F.url_decode(F.replace("source_path", F.lit("+"), F.lit("%2B")))
+    inner = F.regexp_replace(plain, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    start = len(base.toUri().getPath().rstrip("/")) + 2
+    return rows.withColumn("file", F.substr(inner, F.lit(start))).join(listed, "file").drop("file")
+
 
+def land_events(rows: DataFrame, path: str, days: Iterable[dt.date] = ()) -> None:
+    """Store a day range once as Parquet by ``day``; ``days``, and those written again, replace their old files."""
+    clear_days(rows.sparkSession, path, days)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
-def land_events(rows: DataFrame, path: str) -> None:
-    """Store a day range once as Parquet by ``day``; days written again replace their old files."""
-    rows.write.mode("overwrite").partitionBy("day").parquet(path)
 
+def land_each_day(
+    spark: SparkSession, read: Callable[[dt.date, dt.date], DataFrame], path: str, days: list[dt.date]
+) -> dict[dt.date, str]:
+    """Land a range; if reading fails, day by day, leaving out the days that fail. Returns their reasons.
 
-def read_landed(spark: SparkSession, path: str, first: dt.date, last: dt.date) -> DataFrame:
-    """Landed events of the days of the range; other days' folders are not read."""
-    return spark.read.parquet(path).filter(F.col("day").between(first, last))
+    Only failures of a file's reading are taken so; any other error is raised.
+    """
+    if not days:
+        return {}
+    try:
+        land_events(read(days[0], days[-1]), path, days)
+        return {}
+    except Exception as error:
+        if not _unreadable(error):
+            raise
+    failed = {}
+    for day in days:
+        try:
+            land_events(read(day, day), path, [day])
+        except Exception as error:
+            if not _unreadable(error):
+                raise
+            clear_days(spark, path, [day])
+            failed[day] = str(error).splitlines()[0][:300]
+    return failed
+
+
+def _unreadable(error: Exception) -> bool:
+    return "FAILED_READ_FILE" in str(error) or "EOFException" in str(error) or "ZipException" in str(error)
+
+
+def read_landed(spark: SparkSession, path: str, first: dt.date, last: dt.date, schema: T.StructType | None = None) -> DataFrame:
+    """Landed events of the days of the range; other days' folders are not read.
+
+    ``schema`` lets a range without any row be read.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path).filter(F.col("day").between(first, last))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +46,18 @@ def read_vectors(spark: SparkSession, path: str, *, text: tuple[str, ...] = ())
     return spark.read.schema(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])).csv(path, header=True)
 
 
+def clear_days(spark: SparkSession, path: str, days: Iterable[dt.date], day: str = "day") -> None:
+    """Delete the folders of days that are about to be written again, so that none keeps old rows."""
+    for one in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{day}={one.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_day_csv(
     rows: DataFrame,
     path: str,
     *,
+    days: Iterable[dt.date] = (),
     day: str = "day",
     one_file: bool = False,
     header: bool = True,
@@ -54,11 +65,13 @@ def write_day_csv(
 ) -> None:
     """CSV under ``day=<day>/``; days written again replace their old files.
 
+    ``days`` are cleared first: a day of the range that now has no rows must not keep its old ones.
     Tasks write what they hold. ``one_file`` brings each day's summary together in one task first:
     only for results as small as a day of bins.
     """
     out = rows.repartition(day) if one_file else rows
-    out.write.mode("overwrite").partitionBy(day).csv(
+    clear_days(rows.sparkSession, path, days, day)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).csv(
         path, header=header, compression=compression, timestampFormat=STAMP_FORMAT
     )
 
@@ -74,7 +87,10 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_table(rows: DataFrame, path: str, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """Write Parquet and read it back: a stored copy for results that are used several times."""
-    writer = rows.write.mode("overwrite")
+    """Write Parquet and read it back: a stored copy for results that are used several times.
+
+    The whole table is replaced, also with ``by``.
+    """
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
