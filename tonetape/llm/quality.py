@@ -34,6 +34,7 @@ MEASURES = {
 }
 #: Items a sketch holds at its lowest level: exact up to as many documents of a group.
 SKETCH_K = 4096
+QUARTILES = (0.25, 0.75)
 
 
 def counts(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -110,25 +111,25 @@ def sketches(counted: DataFrame, names: list[str], lang: Column, source: Column)
 def limits(made: DataFrame, reach: float = 3.0, least_group: int = 200) -> DataFrame:
     """One row per (lang, source): ``low_*`` and ``high_*`` of every measure, of the smallest group that is large enough.
 
-    The sketches of a language's sources merge to the language's, and those to the corpus's.
+    The sketches of a language's sources merge to the language's, and those to the corpus's, whose quartiles
+    (one row) are literals of the plan.
     """
     merged = [F.expr(f"kll_merge_agg_double({k})").alias(k) for k in MEASURES]
     by_lang = made.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     overall = by_lang.groupBy().agg(F.sum("n").alias("n"), *merged)
     rows = made.select("lang", "source", "n", *[F.col(k).alias(f"own_{k}") for k in MEASURES])
     of_lang = by_lang.select(F.col("lang").alias("of"), F.col("n").alias("n_lang"), *[F.col(k).alias(f"lang_{k}") for k in MEASURES])
-    of_all = overall.select(F.lit(1).alias("one"), *[F.col(k).alias(f"all_{k}") for k in MEASURES])
-    rows = rows.join(of_lang, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("one", F.lit(1)).join(of_all, "one")
+    ends = [F.expr(f"kll_sketch_get_quantile_double({k}, {q}D)").alias(f"{k}_{q}") for k in MEASURES for q in QUARTILES]
+    of_all = overall.select(*ends).first().asDict() if not made.isEmpty() else {}
+    rows = rows.join(of_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
     found = []
     for k, (least, sides) in MEASURES.items():
-        sketch = (
-            F.when(F.col("n") >= least_group, F.col(f"own_{k}"))
-            .when(F.col("n_lang") >= least_group, F.col(f"lang_{k}"))
-            .otherwise(F.col(f"all_{k}"))
-        )
+        sketch = F.when(F.col("n") >= least_group, F.col(f"own_{k}")).when(F.col("n_lang") >= least_group, F.col(f"lang_{k}"))
         rows = rows.withColumn(f"q_{k}", sketch)
-        low = F.expr(f"kll_sketch_get_quantile_double(q_{k}, 0.25D)")
-        high = F.expr(f"kll_sketch_get_quantile_double(q_{k}, 0.75D)")
+        low, high = (
+            F.coalesce(F.expr(f"kll_sketch_get_quantile_double(q_{k}, {q}D)"), F.lit(of_all.get(f"{k}_{q}")).cast("double"))
+            for q in QUARTILES
+        )
         distance = F.greatest(F.lit(float(reach)) * (high - low), F.lit(float(least)))
         found.append((high + distance).alias(f"high_{k}"))
         found.append((low - distance if sides == "both" else F.lit(None).cast("double")).alias(f"low_{k}"))
