@@ -265,6 +265,33 @@ def test_a_large_bucket_loses_nothing(spark):
     assert all(of[i] == 0 for i in range(150)) and all(of[i] == i for i in range(1000, 1060))
 
 
+@pytest.mark.parametrize("deepest", [1, 3])
+def test_a_common_passage_hides_no_link(spark, monkeypatch, deepest):
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "DEEPEST", deepest)
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(60)]
+    passage = draw.choices(words, k=30)
+    texts = []
+    for _ in range(24):
+        text = passage + draw.choices(words, k=draw.randint(8, 30))
+        texts.append(text)
+        if draw.random() < 0.4:
+            near = list(text)
+            for at in draw.sample(range(len(near)), len(near) // 12):
+                near[at] = draw.choice(words)
+            texts.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    label = list(range(len(rows)))
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        a, b = a.split(), b.split()
+        if edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    frame, _, found = near_dedup.classify(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.first for r in frame.select("doc_id", F.col(f"{found}.doc").alias("first")).collect()} == dict(enumerate(label))
+
+
 def test_language(spark):
     draw = random.Random(4)
     letters = {"xx": "aeiklmn", "yy": "bdgoprt"}

@@ -9,10 +9,12 @@ still allowed: similarity is 1 - distance / words of the longer one, and 0.8 or
 
 Equal texts are one node, so copies cost one row each and no pair. In a bucket every node is first held
 against the bucket's first one; linked nodes share a class. Buckets whose nodes are all in one class are
-done. In the others, up to ``SMALL`` nodes, all pairs between different classes are verified; larger
-buckets are divided by further bands of their nodes, again and again, and what can't be divided any
-more goes on by rounds, each of which takes a further node of the bucket as the one to be held against,
-until each is settled. Rows per round are at most a fixed number per node; no bucket is dropped or capped.
+done. In the others, up to ``SMALL`` nodes, all pairs between different classes are verified. Larger ones,
+such as a passage of many texts makes, are divided without loss by rare words: similar texts have so many
+words in common that they share one of the rarest fifth of each (and one more), and as many more as that
+part is made longer. Nodes meet by one such word, in groups still too large by two, then three; what is too
+large even then goes on by rounds, each of which takes one node of the smallest class of the group and
+holds it against all others, until each is settled. No bucket is dropped or capped.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
@@ -23,6 +25,7 @@ are one node; an empty table gives an empty result; extra columns are carried al
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +40,11 @@ K = 5
 TAKEN = 2
 BANDS = 24
 SIMILAR = 0.8
-#: Nodes of a bucket up to which its pairs are listed, further bands that divide a larger one, and how often.
+#: Nodes of a bucket up to which its pairs are listed; rare words by which nodes of a larger one meet at most.
 SMALL = 32
-DIVIDE = 8
 DEEPEST = 3
+#: Hashed cells in which words are counted to tell rare ones.
+CELLS = 1 << 18
 LAST = (1 << 63) - 1
 NODE = "struct<doc:bigint,a:bigint,b:bigint>"
 
@@ -148,6 +152,8 @@ def similar(a: bytes, b: bytes, least: float = SIMILAR) -> float | None:
     if not longest:
         return 1.0
     most = int(longest * (1 - least) + 1e-9)
+    if (Counter(x) & Counter(y)).total() < longest - most:  # each edit costs the longer one a word at most
+        return None
     found = distance_within(x, y, most)
     return None if found is None else 1 - found / longest
 
@@ -223,7 +229,7 @@ class _Search:
         self.tested: DataFrame | None = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """Rows of (bucket, band, node, ...) with the class of each node."""
+        """Rows of (bucket, node, ...) with the class of each node."""
         if self.labels is None:
             return rows.withColumn("label", F.col("node"))
         return rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -257,7 +263,7 @@ class _Search:
 
 
 def _open_buckets(search: _Search, rows: DataFrame) -> DataFrame:
-    """The rows of buckets with nodes of several classes: (bucket, band, node, words, label, n, head...)."""
+    """The rows of buckets with nodes of several classes: (bucket, node, words, label, n, head...)."""
     rows = search.labelled(rows)
     heads = (
         rows.groupBy("bucket")
@@ -281,18 +287,97 @@ def _near_in_size(a: Column, b: Column) -> Column:
 def _to_heads(rows: DataFrame) -> DataFrame:
     """Every node against the first of its bucket, unless they share a class."""
     other = (F.col("label") != F.col("head.of")) & _near_in_size(F.col("words"), F.col("head.words"))
-    return rows.where(other).select(F.col("head.node").alias("u"), F.col("node").alias("v"))
+    one, two = F.col("head.node"), F.col("node")
+    return rows.where(other).select(F.least(one, two).alias("u"), F.greatest(one, two).alias("v"))
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs between classes of buckets of at most SMALL nodes."""
-    listed = rows.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "words", "label")).alias("x"))
-    left = listed.select("x", F.explode("x").alias("one"))
-    both = left.select("one", F.explode("x").alias("two"))
-    differ = (F.col("one.label") != F.col("two.label")) & (F.col("one.node") < F.col("two.node"))
-    return both.where(differ & _near_in_size(F.col("one.words"), F.col("two.words"))).select(
-        F.col("one.node").alias("u"), F.col("two.node").alias("v")
-    )
+def _all_pairs(rows: DataFrame, key: str, met: bool = False) -> DataFrame:
+    """All pairs between classes of groups of at most SMALL nodes; if ``met``, of nodes with a bucket in common."""
+    fields = ["node", "words", "label", *(["buckets"] if met else [])]
+    listed = rows.where(F.col("n") <= SMALL).groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("x"))
+
+    def partner(one: Column, two: Column) -> Column:
+        good = (one["label"] != two["label"]) & (one["node"] < two["node"]) & _near_in_size(one["words"], two["words"])
+        return good & F.arrays_overlap(one["buckets"], two["buckets"]) if met else good
+
+    def pairs_of(one: Column) -> Column:
+        others = F.filter("x", lambda two: partner(one, two))
+        return F.transform(others, lambda two: F.struct(one["node"].alias("u"), two["node"].alias("v")))
+
+    return listed.select(F.explode(F.flatten(F.transform("x", pairs_of))).alias("pair")).select("pair.u", "pair.v")
+
+
+# --- Rare words of the nodes of large buckets -----------------------------------------------------
+
+
+def _cells(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How often words come up, in CELLS hashed cells: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            words, _ = word_hashes(batch.column(0).to_pylist())
+            counts += np.bincount(_cells(words[0]), minlength=CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
+
+    found = texts.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def rarest(text: bytes, counts: np.ndarray, more: int = 0) -> np.ndarray:
+    """The words, numbered where they come again, of which similar texts share 1 + ``more``, rarest first."""
+    words = word_hashes([text])[0][0]
+    words.sort()
+    begins = np.searchsorted(words, words)
+    numbered = mixed(words + (np.arange(len(words)) - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.lexsort((numbered, counts[_cells(words)]))
+    return numbered[order[: int(len(words) * (1 - SIMILAR) + 1e-9) + 1 + more]].view(np.int64)
+
+
+def _with_rarest(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(node, rare) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rarest(text, counts, DEEPEST - 1) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "rare"])
+
+    return texts.select("node", "text").mapInArrow(run, f"node {NODE}, rare array<bigint>")
+
+
+def _divided(search: _Search, large: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Nodes of larger buckets met by rare words: (pairs of each depth, rows of groups too large to the end)."""
+    held = large.groupBy("node", "words").agg(F.collect_set("bucket").alias("buckets"))
+    held = stored(held)
+    texts = search.texts.join(held.select("node"), "node", "left_semi")
+    texts = stored(texts)
+    rare = _with_rarest(texts, word_counts(texts))
+    nodes = stored(search.labelled(held.join(rare, "node")))
+    facts = ["node", "words", "label", "buckets"]
+    # Of the rarest, similar texts share one of the first ``reach``, two of one more, and so on.
+    reach = (F.floor(F.col("words") * F.lit(1 - SIMILAR) + F.lit(1e-9)) + 1).cast("int")
+    rows = nodes.select(*facts, F.posexplode(F.slice("rare", F.lit(1), reach)).alias("place", "key"))
+    pairs: list[DataFrame] = []
+    for depth in range(1, DEEPEST + 1):
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        groups = groups.where(F.col("low") != F.col("high")).select("key", "n")
+        rows = stored(rows.join(groups, "key"))
+        pairs.append(_all_pairs(rows, "key", met=True))
+        rows = rows.where(F.col("n") > SMALL).select("key", "place", *facts)
+        if depth == DEEPEST or rows.isEmpty():
+            break
+        later = F.slice("rare", F.col("place") + 2, reach + depth - F.col("place") - 1)
+        next_ = rows.join(nodes.select("node", "rare"), "node")
+        next_ = next_.select("key", *facts, F.col("place").alias("from"), F.posexplode(later).alias("step", "word"))
+        rows = next_.select(F.xxhash64("key", "word").alias("key"), (F.col("from") + F.col("step") + 1).alias("place"), *facts)
+    return pairs, rows.select(F.col("key").alias("bucket"), "node", "words")
 
 
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,43 +386,47 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = stored(_sketched(docs))
     nodes = sketched.groupBy("node.a", "node.b").agg(F.min(F.struct("node", "words", "bands")).alias("s")).select("s.*")
     nodes = stored(nodes)
-    rows = nodes.where(F.col("words") >= K).select("node", "words", F.posexplode("bands").alias("band", "bucket"))
+    rows = nodes.where(F.col("words") >= K).select("node", "words", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    rows = stored(rows.join(shared, "bucket").select("bucket", "band", "node", "words"))
+    rows = stored(rows.join(shared, "bucket").select("bucket", "node", "words"))
     wanted = rows.select("node").distinct()
     texts = docs.select(_node(docs).alias("node"), _text(docs).alias("text"))
     texts = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     search = _Search(texts)
-    depth = 0
-    while True:
-        search.test(_to_heads(_open_buckets(search, rows)))
-        left = stored(_open_buckets(search, rows))
-        search.test(_all_pairs(left))
-        large = left.where(F.col("n") > SMALL).select("bucket", "band", "node", "words")
-        if large.isEmpty():
-            break
-        depth += 1
-        rows = stored(_divided(large, nodes, depth) if depth <= DEEPEST else _without_heads(search, rows))
+    search.test(_to_heads(_open_buckets(search, rows)))
+    left = stored(_open_buckets(search, rows))
+    pairs = _all_pairs(left, "bucket")
+    large = left.where(F.col("n") > SMALL).select("bucket", "node", "words")
+    if large.isEmpty():
+        search.test(pairs)
+    else:
+        more, rows = _divided(search, large)
+        for further in more:
+            pairs = pairs.unionByName(further)
+        search.test(pairs)
+        _settle(search, stored(rows))
     labels = search.labels
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     return nodes.select("node"), labels
 
 
-def _divided(large: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Rows of larger buckets in the parts that further bands of their nodes make."""
-    steps = range(1 + (depth - 1) * DIVIDE, 1 + depth * DIVIDE)
-    rows = large.join(nodes.select("node", "bands"), "node")
-    parts = F.array(*[F.xxhash64("bucket", F.element_at("bands", ((F.col("band") + s) % BANDS + 1).cast("int")), F.lit(s)) for s in steps])
-    rows = rows.select("band", "node", "words", F.explode(parts).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    return rows.join(shared, "bucket").select("bucket", "band", "node", "words")
-
-
-def _without_heads(search: _Search, rows: DataFrame) -> DataFrame:
-    """What a bucket's first node and its class leave: the next round takes another first node."""
-    left = _open_buckets(search, rows)
-    return left.where(F.col("label") != F.col("head.of")).select("bucket", "band", "node", "words")
+def _settle(search: _Search, rows: DataFrame) -> None:
+    """Rounds over groups that nothing divides: one node of the smallest class against all others, then it goes."""
+    while True:
+        of_class = search.labelled(rows).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "words")).alias("one"))
+        heads = (
+            of_class.groupBy("bucket")
+            .agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes"), F.min(F.struct("m", "one.node", "one.words", F.col("label").alias("of"))).alias("head"))
+            .where(F.col("classes") > 1)
+            .select("bucket", "n", "head")
+        )
+        left = stored(search.labelled(rows).join(heads, "bucket"))
+        if left.isEmpty():
+            return
+        large = left.where(F.col("n") > SMALL)
+        search.test(_to_heads(large).unionByName(_all_pairs(left, "bucket")))
+        rows = stored(large.where(F.col("node") != F.col("head.node")).select("bucket", "node", "words"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
