@@ -13,8 +13,8 @@ done. In the others, up to ``SMALL`` nodes, all pairs between different classes
 such as a passage of many texts makes, are divided without loss by rare words: similar texts have so many
 words in common that they share one of the rarest fifth of each (and one more), and as many more as that
 part is made longer. Nodes meet by one such word, in groups still too large by two, then three; what is too
-large even then goes on by rounds, each of which takes one node of the smallest class of the group and
-holds it against all others, until each is settled. No bucket is dropped or capped.
+large even then goes on by rounds, each of which takes ``SMALL`` nodes of the smallest classes of the group and
+holds them against all others, until each is settled. No bucket is dropped or capped.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonetape.llm.shared import column, documents, free_names, short_batches, stored
@@ -377,7 +377,7 @@ def _divided(search: _Search, large: DataFrame) -> tuple[list[DataFrame], DataFr
         next_ = rows.join(nodes.select("node", "rare"), "node")
         next_ = next_.select("key", *facts, F.col("place").alias("from"), F.posexplode(later).alias("step", "word"))
         rows = next_.select(F.xxhash64("key", "word").alias("key"), (F.col("from") + F.col("step") + 1).alias("place"), *facts)
-    return pairs, rows.select(F.col("key").alias("bucket"), "node", "words")
+    return pairs, rows.select(F.col("key").alias("bucket"), "node", "words", "buckets")
 
 
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -412,21 +412,25 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _settle(search: _Search, rows: DataFrame) -> None:
-    """Rounds over groups that nothing divides: one node of the smallest class against all others, then it goes."""
-    while True:
-        of_class = search.labelled(rows).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "words")).alias("one"))
-        heads = (
-            of_class.groupBy("bucket")
-            .agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes"), F.min(F.struct("m", "one.node", "one.words", F.col("label").alias("of"))).alias("head"))
-            .where(F.col("classes") > 1)
-            .select("bucket", "n", "head")
-        )
-        left = stored(search.labelled(rows).join(heads, "bucket"))
-        if left.isEmpty():
-            return
-        large = left.where(F.col("n") > SMALL)
-        search.test(_to_heads(large).unionByName(_all_pairs(left, "bucket")))
-        rows = stored(large.where(F.col("node") != F.col("head.node")).select("bucket", "node", "words"))
+    """Rounds over groups that nothing divides: SMALL nodes of the smallest classes against all others, then they go."""
+    while not rows.isEmpty():
+        rows = search.labelled(rows)
+        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+        some = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > 1).select("bucket")
+        left = stored(rows.join(sizes, ["bucket", "label"]).join(some, "bucket"))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("m", "label", "node"))
+        first = left.withColumn("turn", turn).where(F.col("turn") <= SMALL)
+        heads = first.groupBy("bucket").agg(F.collect_list(F.struct("node", "words", "label", "buckets")).alias("heads"))
+        left = left.join(heads, "bucket")
+
+        def apart(head: Column) -> Column:
+            good = (head["label"] != F.col("label")) & _near_in_size(head["words"], F.col("words"))
+            return good & F.arrays_overlap(head["buckets"], "buckets")
+
+        both = left.select("node", F.explode(F.filter("heads", apart)).alias("head"))
+        search.test(both.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")))
+        gone = F.exists("heads", lambda head: head["node"] == F.col("node"))
+        rows = stored(left.where(~gone).select("bucket", "node", "words", "buckets"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
