@@ -265,10 +265,10 @@ def test_a_large_bucket_loses_nothing(spark):
     assert all(of[i] == 0 for i in range(150)) and all(of[i] == i for i in range(1000, 1060))
 
 
-@pytest.mark.parametrize("deepest", [1, 3])
-def test_a_common_passage_hides_no_link(spark, monkeypatch, deepest):
-    monkeypatch.setattr(near_dedup, "SMALL", 3)
-    monkeypatch.setattr(near_dedup, "DEEPEST", deepest)
+@pytest.mark.parametrize(("small", "marks"), [(3, 256), (1, 2)])
+def test_a_common_passage_hides_no_link(spark, monkeypatch, small, marks):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "MARKS", marks)
     draw = random.Random(3)
     words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(60)]
     passage = draw.choices(words, k=30)

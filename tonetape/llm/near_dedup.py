@@ -10,11 +10,11 @@ still allowed: similarity is 1 - distance / words of the longer one, and 0.8 or
 Equal texts are one node, so copies cost one row each and no pair. In a bucket every node is first held
 against the bucket's first one; linked nodes share a class. Buckets whose nodes are all in one class are
 done. In the others, up to ``SMALL`` nodes, all pairs between different classes are verified. Larger ones,
-such as a passage of many texts makes, are divided without loss by rare words: similar texts have so many
-words in common that they share one of the rarest fifth of each (and one more), and as many more as that
-part is made longer. Nodes meet by one such word, in groups still too large by two, then three; what is too
-large even then goes on by rounds, each of which takes ``SMALL`` nodes of the smallest classes of the group and
-holds them against all others, until each is settled. No bucket is dropped or capped.
+such as a passage of many texts makes, are divided without loss by rare word pairs: an edit changes two pairs of
+neighbouring words at most, so similar texts share one of the rarest two fifths (and one more) of each. Groups by
+such a pair, up to ``SMALL`` nodes, list the nodes that have a bucket in common. Nodes in larger groups go on bucket by bucket, in rounds that
+take some nodes of the smallest classes and hold them against all others that share a mark of such a group, until
+each is settled. No bucket is dropped or capped.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
@@ -40,11 +40,13 @@ K = 5
 TAKEN = 2
 BANDS = 24
 SIMILAR = 0.8
-#: Nodes of a bucket up to which its pairs are listed; rare words by which nodes of a larger one meet at most.
+#: Nodes of a group up to which its pairs are listed.
 SMALL = 32
-DEEPEST = 3
-#: Hashed cells in which words are counted to tell rare ones.
+#: Words of a run by which nodes of larger buckets meet.
+GRAM = 2
+#: Hashed cells in which such runs are counted to tell rare ones, and in which a node's common ones are marked.
 CELLS = 1 << 18
+MARKS = 256
 LAST = (1 << 63) - 1
 NODE = "struct<doc:bigint,a:bigint,b:bigint>"
 
@@ -307,21 +309,27 @@ def _all_pairs(rows: DataFrame, key: str, met: bool = False) -> DataFrame:
     return listed.select(F.explode(F.flatten(F.transform("x", pairs_of))).alias("pair")).select("pair.u", "pair.v")
 
 
-# --- Rare words of the nodes of large buckets -----------------------------------------------------
+# --- Rare word pairs of the nodes of large buckets ------------------------------------------------
 
 
-def _cells(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(CELLS - 1)).astype(np.int64)
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How often words come up, in CELLS hashed cells: a table of fixed size."""
+def _grams(text: bytes) -> np.ndarray:
+    """Hashes of the runs of GRAM words."""
+    words, _ = word_hashes([text])
+    return Rolling(words).runs(np.arange(max(0, words.shape[1] - GRAM + 1)), GRAM)[0]
+
+
+def gram_counts(texts: DataFrame) -> np.ndarray:
+    """How often word pairs come up, in CELLS hashed cells: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            words, _ = word_hashes(batch.column(0).to_pylist())
-            counts += np.bincount(_cells(words[0]), minlength=CELLS)
+            for text in batch.column(0).to_pylist():
+                counts += np.bincount(_cells(mixed(_grams(text))), minlength=CELLS)
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
 
@@ -331,53 +339,44 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def rarest(text: bytes, counts: np.ndarray, more: int = 0) -> np.ndarray:
-    """The words, numbered where they come again, of which similar texts share 1 + ``more``, rarest first."""
-    words = word_hashes([text])[0][0]
-    words.sort()
-    begins = np.searchsorted(words, words)
-    numbered = mixed(words + (np.arange(len(words)) - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.lexsort((numbered, counts[_cells(words)]))
-    return numbered[order[: int(len(words) * (1 - SIMILAR) + 1e-9) + 1 + more]].view(np.int64)
+def rarest(text: bytes, counts: np.ndarray) -> np.ndarray:
+    """The word pairs, numbered where they come again, of which similar texts share one."""
+    grams = mixed(_grams(text))
+    size = len(grams) + GRAM - 1
+    grams.sort()
+    begins = np.searchsorted(grams, grams)
+    numbered = mixed(grams + (np.arange(len(grams)) - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.lexsort((numbered, counts[_cells(grams)]))
+    # Each of the edits that are allowed changes GRAM pairs at most.
+    return numbered[order[: int(size * GRAM * (1 - SIMILAR) + 1e-9) + 1]].view(np.int64)
 
 
-def _with_rarest(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(node, rare) of every text."""
+def _by_rare(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(id, rare) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rarest(text, counts, DEEPEST - 1) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "rare"])
+            found = [rarest(text, counts) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "rare"])
 
-    return texts.select("node", "text").mapInArrow(run, f"node {NODE}, rare array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, rare array<bigint>")
 
 
-def _divided(search: _Search, large: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Nodes of larger buckets met by rare words: (pairs of each depth, rows of groups too large to the end)."""
+def _divided(search: _Search, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of large buckets met by rare word pairs: (pairs, rows of nodes in groups still too large)."""
     held = large.groupBy("node", "words").agg(F.collect_set("bucket").alias("buckets"))
-    held = stored(held)
-    texts = search.texts.join(held.select("node"), "node", "left_semi")
-    texts = stored(texts)
-    rare = _with_rarest(texts, word_counts(texts))
-    nodes = stored(search.labelled(held.join(rare, "node")))
-    facts = ["node", "words", "label", "buckets"]
-    # Of the rarest, similar texts share one of the first ``reach``, two of one more, and so on.
-    reach = (F.floor(F.col("words") * F.lit(1 - SIMILAR) + F.lit(1e-9)) + 1).cast("int")
-    rows = nodes.select(*facts, F.posexplode(F.slice("rare", F.lit(1), reach)).alias("place", "key"))
-    pairs: list[DataFrame] = []
-    for depth in range(1, DEEPEST + 1):
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        groups = groups.where(F.col("low") != F.col("high")).select("key", "n")
-        rows = stored(rows.join(groups, "key"))
-        pairs.append(_all_pairs(rows, "key", met=True))
-        rows = rows.where(F.col("n") > SMALL).select("key", "place", *facts)
-        if depth == DEEPEST or rows.isEmpty():
-            break
-        later = F.slice("rare", F.col("place") + 2, reach + depth - F.col("place") - 1)
-        next_ = rows.join(nodes.select("node", "rare"), "node")
-        next_ = next_.select("key", *facts, F.col("place").alias("from"), F.posexplode(later).alias("step", "word"))
-        rows = next_.select(F.xxhash64("key", "word").alias("key"), (F.col("from") + F.col("step") + 1).alias("place"), *facts)
-    return pairs, rows.select(F.col("key").alias("bucket"), "node", "words", "buckets")
+    nodes = stored(search.labelled(held).withColumn("id", F.monotonically_increasing_id()))
+    texts = stored(search.texts.join(nodes.select("node", "id", F.xxhash64("label").alias("of")), "node"))
+    rare = _by_rare(texts, gram_counts(texts)).join(texts.select("id", "of"), "id")
+    rows = stored(rare.select("id", "of", F.explode("rare").alias("key")))
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("low"), F.max("of").alias("high"))
+    groups = groups.where(F.col("low") != F.col("high")).select("key", "n")
+    met = stored(rows.select("id", "key").join(groups, "key"))
+    facts = nodes.select("id", "node", "words", "label", "buckets")
+    pairs = _all_pairs(met.where(F.col("n") <= SMALL).join(facts, "id"), "key", met=True)
+    marks = met.where(F.col("n") > SMALL).groupBy("id").agg(F.collect_set(F.pmod("key", F.lit(MARKS)).cast("int")).alias("marks"))
+    further = marks.join(nodes.select("id", "node", "words", "buckets"), "id")
+    return pairs, further.select(F.explode("buckets").alias("bucket"), "node", "words", "marks")
 
 
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -400,10 +399,8 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if large.isEmpty():
         search.test(pairs)
     else:
-        more, rows = _divided(search, large)
-        for further in more:
-            pairs = pairs.unionByName(further)
-        search.test(pairs)
+        further, rows = _divided(search, large)
+        search.test(pairs.unionByName(further))
         _settle(search, stored(rows))
     labels = search.labels
     if labels is None:
@@ -411,26 +408,29 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node"), labels
 
 
+def _sized(search: _Search, rows: DataFrame) -> DataFrame:
+    """The rows of buckets with nodes of several classes, with m, the nodes of the class in the bucket."""
+    rows = search.labelled(rows)
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+    some = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > 1).select("bucket")
+    return stored(rows.join(sizes.join(some, "bucket"), ["bucket", "label"]))
+
+
 def _settle(search: _Search, rows: DataFrame) -> None:
-    """Rounds over groups that nothing divides: SMALL nodes of the smallest classes against all others, then they go."""
+    """Rounds over what nothing divides: some nodes of the smallest classes of a bucket against all others, then they go."""
+    taken = SMALL
     while not rows.isEmpty():
-        rows = search.labelled(rows)
-        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
-        some = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > 1).select("bucket")
-        left = stored(rows.join(sizes, ["bucket", "label"]).join(some, "bucket"))
+        left = _sized(search, rows)
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("m", "label", "node"))
-        first = left.withColumn("turn", turn).where(F.col("turn") <= SMALL)
-        heads = first.groupBy("bucket").agg(F.collect_list(F.struct("node", "words", "label", "buckets")).alias("heads"))
-        left = left.join(heads, "bucket")
-
-        def apart(head: Column) -> Column:
-            good = (head["label"] != F.col("label")) & _near_in_size(head["words"], F.col("words"))
-            return good & F.arrays_overlap(head["buckets"], "buckets")
-
-        both = left.select("node", F.explode(F.filter("heads", apart)).alias("head"))
+        first = left.select("bucket", "m", "label", "node", "words", "marks").withColumn("turn", turn).where(F.col("turn") <= taken)
+        first = stored(first.select("bucket", F.struct("node", "words", "label", "marks").alias("head")))
+        good = (F.col("head.label") != F.col("label")) & _near_in_size(F.col("head.words"), F.col("words"))
+        good &= F.arrays_overlap("head.marks", "marks")
+        both = left.join(first.withColumnRenamed("bucket", "same"), (F.col("bucket") == F.col("same")) & good)
         search.test(both.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")))
-        gone = F.exists("heads", lambda head: head["node"] == F.col("node"))
-        rows = stored(left.where(~gone).select("bucket", "node", "words", "buckets"))
+        gone = first.select("bucket", F.col("head.node").alias("node"))
+        rows = stored(left.join(gone, ["bucket", "node"], "left_anti").select("bucket", "node", "words", "marks"))
+        taken = min(2 * taken, 8 * SMALL)
 
 
 def classes(docs: DataFrame) -> DataFrame:
