@@ -292,6 +292,22 @@ def test_a_common_passage_hides_no_link(spark, monkeypatch, small, marks):
     assert {r.doc_id: r.first for r in frame.select("doc_id", F.col(f"{found}.doc").alias("first")).collect()} == dict(enumerate(label))
 
 
+def test_links_that_no_bucket_finds(spark):
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randint(0, 10**9)}"
+    rows = []
+    for n in (5, 9, 10, 12, 20, 60, 100):
+        for _ in range(12):
+            text = [word() for _ in range(n)]
+            near = text[:]
+            for k in range(n // 5):  # spread evenly: the fewest runs survive
+                near[k * 5 + 2] = word()
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(near))]
+    frame, _, label = near_dedup.classify(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {r[0]: r[1] for r in frame.select("doc_id", F.col(f"{label}.doc")).collect()}
+    assert found == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_language(spark):
     draw = random.Random(4)
     letters = {"xx": "aeiklmn", "yy": "bdgoprt"}

@@ -9,12 +9,14 @@ still allowed: similarity is 1 - distance / words of the longer one, and 0.8 or
 
 Equal texts are one node, so copies cost one row each and no pair. In a bucket every node is first held
 against the bucket's first one; linked nodes share a class. Buckets whose nodes are all in one class are
-done. In the others, up to ``SMALL`` nodes, all pairs between different classes are verified. Larger ones,
-such as a passage of many texts makes, are divided without loss by rare word pairs: an edit changes two pairs of
-neighbouring words at most, so similar texts share one of the rarest two fifths (and one more) of each. Groups by
-such a pair, up to ``SMALL`` nodes, list the nodes that have a bucket in common. Nodes in larger groups go on bucket by bucket, in rounds that
-take some nodes of the smallest classes and hold them against all others that share a mark of such a group, until
-each is settled. No bucket is dropped or capped.
+done. In the others, up to ``SMALL`` nodes, all pairs between different classes are verified.
+
+Buckets miss links, so they only make the classes large early. All links between different classes are then
+found without loss by rare word pairs: an edit changes two pairs of neighbouring words at most, so similar texts
+share one of the rarest two fifths (and one more) of each. All pairs of groups by such a word pair, up to ``SMALL``
+nodes, are listed. Larger groups go on in rounds that take some nodes of the smallest classes and hold them
+against all others of the group, until each is settled. Before texts are fetched, pairs are dropped whose
+word counts in ``SIGNS`` hashed cells differ by more than the edits allowed. No group is dropped or capped.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
@@ -42,11 +44,14 @@ BANDS = 24
 SIMILAR = 0.8
 #: Nodes of a group up to which its pairs are listed.
 SMALL = 32
-#: Words of a run by which nodes of larger buckets meet.
+#: Words of a run by which all nodes meet.
 GRAM = 2
-#: Hashed cells in which such runs are counted to tell rare ones, and in which a node's common ones are marked.
+#: Hashed cells in which such runs are counted to tell rare ones.
 CELLS = 1 << 18
+#: Keys of larger groups that a node carries, so that most pairs are made in one of the groups they share.
 MARKS = 256
+#: Hashed cells of a node's word counts.
+SIGNS = 128
 LAST = (1 << 63) - 1
 NODE = "struct<doc:bigint,a:bigint,b:bigint>"
 
@@ -204,6 +209,29 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"u {NODE}, v {NODE}")
 
 
+def signature(words: np.ndarray) -> bytes:
+    """How many words fall into each of SIGNS cells, 255 at most."""
+    counts = np.bincount((words & np.uint64(SIGNS - 1)).astype(np.int64), minlength=SIGNS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that can be similar by their signatures: an edit takes one word and brings one at most."""
+    left = signs.select(F.col("node").alias("u"), F.col("words").alias("words_u"), F.col("sign").alias("sign_u"))
+    right = signs.select(F.col("node").alias("v"), F.col("words").alias("words_v"), F.col("sign").alias("sign_v"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v", "sign_u", "sign_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIGNS).astype(np.int16) for i in (4, 5))
+            apart = one - two
+            least = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+            longest = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield batch.select(["u", "v"]).filter(pa.array(least <= np.floor(longest * (1 - SIMILAR) + 1e-9)))
+
+    return both.mapInArrow(run, f"u {NODE}, v {NODE}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for nodes that have links."""
     edges = stored(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -227,6 +255,7 @@ class _Search:
 
     def __init__(self, texts: DataFrame) -> None:
         self.texts = texts
+        self.signs: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
 
@@ -245,6 +274,8 @@ class _Search:
         if fresh.isEmpty():
             return
         self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
+        if self.signs is not None:
+            fresh = alike(fresh, self.signs)
         links = stored(verify(fresh, self.texts))
         if not links.isEmpty():
             self._join(links)
@@ -293,23 +324,21 @@ def _to_heads(rows: DataFrame) -> DataFrame:
     return rows.where(other).select(F.least(one, two).alias("u"), F.greatest(one, two).alias("v"))
 
 
-def _all_pairs(rows: DataFrame, key: str, met: bool = False) -> DataFrame:
-    """All pairs between classes of groups of at most SMALL nodes; if ``met``, of nodes with a bucket in common."""
-    fields = ["node", "words", "label", *(["buckets"] if met else [])]
-    listed = rows.where(F.col("n") <= SMALL).groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("x"))
+def _all_pairs(rows: DataFrame, key: str, node: str = "node", label: str = "label") -> DataFrame:
+    """All pairs between classes of groups of at most SMALL nodes."""
+    listed = rows.where(F.col("n") <= SMALL).groupBy(key).agg(F.collect_list(F.struct(node, "words", label)).alias("x"))
 
     def partner(one: Column, two: Column) -> Column:
-        good = (one["label"] != two["label"]) & (one["node"] < two["node"]) & _near_in_size(one["words"], two["words"])
-        return good & F.arrays_overlap(one["buckets"], two["buckets"]) if met else good
+        return (one[label] != two[label]) & (one[node] < two[node]) & _near_in_size(one["words"], two["words"])
 
     def pairs_of(one: Column) -> Column:
         others = F.filter("x", lambda two: partner(one, two))
-        return F.transform(others, lambda two: F.struct(one["node"].alias("u"), two["node"].alias("v")))
+        return F.transform(others, lambda two: F.struct(one[node].alias("u"), two[node].alias("v")))
 
     return listed.select(F.explode(F.flatten(F.transform("x", pairs_of))).alias("pair")).select("pair.u", "pair.v")
 
 
-# --- Rare word pairs of the nodes of large buckets ------------------------------------------------
+# --- Rare word pairs of all nodes -----------------------------------------------------------------
 
 
 def _cells(grams: np.ndarray) -> np.ndarray:
@@ -352,31 +381,36 @@ def rarest(text: bytes, counts: np.ndarray) -> np.ndarray:
 
 
 def _by_rare(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, rare) of every text."""
+    """(id, of, words, sign, rare) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rarest(text, counts) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "rare"])
+            texts_ = batch.column(3).to_pylist()
+            signs = pa.array([signature(word_hashes([text])[0][0]) for text in texts_], pa.binary())
+            rare = pa.array([rarest(text, counts) for text in texts_], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], signs, rare], ["id", "of", "words", "sign", "rare"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, rare array<bigint>")
+    return texts.select("id", "of", "words", "text").mapInArrow(run, "id bigint, of bigint, words int, sign binary, rare array<bigint>")
 
 
-def _divided(search: _Search, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of large buckets met by rare word pairs: (pairs, rows of nodes in groups still too large)."""
-    held = large.groupBy("node", "words").agg(F.collect_set("bucket").alias("buckets"))
-    nodes = stored(search.labelled(held).withColumn("id", F.monotonically_increasing_id()))
-    texts = stored(search.texts.join(nodes.select("node", "id", F.xxhash64("label").alias("of")), "node"))
-    rare = _by_rare(texts, gram_counts(texts)).join(texts.select("id", "of"), "id")
-    rows = stored(rare.select("id", "of", F.explode("rare").alias("key")))
+def _divided(search: _Search, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (node, words) met by rare word pairs: (pairs of small groups, rows of larger groups)."""
+    nodes = search.labelled(held).select("node", "words", F.xxhash64("label").alias("of"), F.monotonically_increasing_id().alias("id"))
+    nodes = stored(nodes)
+    found = stored(_by_rare(search.texts.join(nodes, "node"), gram_counts(search.texts)))
+    search.signs = stored(found.select("id", "sign").join(nodes, "id").select("node", "words", "sign"))
+    rows = found.select("id", "of", "words", F.explode("rare").alias("key"))
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("low"), F.max("of").alias("high"))
     groups = groups.where(F.col("low") != F.col("high")).select("key", "n")
-    met = stored(rows.select("id", "key").join(groups, "key"))
-    facts = nodes.select("id", "node", "words", "label", "buckets")
-    pairs = _all_pairs(met.where(F.col("n") <= SMALL).join(facts, "id"), "key", met=True)
-    marks = met.where(F.col("n") > SMALL).groupBy("id").agg(F.collect_set(F.pmod("key", F.lit(MARKS)).cast("int")).alias("marks"))
-    further = marks.join(nodes.select("id", "node", "words", "buckets"), "id")
-    return pairs, further.select(F.explode("buckets").alias("bucket"), "node", "words", "marks")
+    met = stored(rows.join(groups, "key"))
+    pairs = _all_pairs(met, "key", "id", "of").distinct()
+    for end in "uv":
+        pairs = pairs.join(nodes.select(F.col("id").alias(end), F.col("node").alias(f"node_{end}")), end)
+    pairs = pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
+    large = met.where(F.col("n") > SMALL).select("id", "key")
+    marks = large.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, MARKS).alias("marks"))
+    further = large.join(nodes.select("id", "node", "words"), "id").join(marks, "id")
+    return pairs, further.select(F.col("key").alias("bucket"), "node", "words", "marks")
 
 
 def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -388,20 +422,16 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = nodes.where(F.col("words") >= K).select("node", "words", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     rows = stored(rows.join(shared, "bucket").select("bucket", "node", "words"))
-    wanted = rows.select("node").distinct()
+    long = nodes.where(F.col("words") >= K).select("node", "words")
     texts = docs.select(_node(docs).alias("node"), _text(docs).alias("text"))
-    texts = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    texts = stored(texts.join(long.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     search = _Search(texts)
     search.test(_to_heads(_open_buckets(search, rows)))
-    left = stored(_open_buckets(search, rows))
-    pairs = _all_pairs(left, "bucket")
-    large = left.where(F.col("n") > SMALL).select("bucket", "node", "words")
-    if large.isEmpty():
-        search.test(pairs)
-    else:
-        further, rows = _divided(search, large)
-        search.test(pairs.unionByName(further))
-        _settle(search, stored(rows))
+    search.test(_all_pairs(_open_buckets(search, rows), "bucket"))
+    pairs, rows = _divided(search, long)
+    rows = stored(rows)
+    search.test(pairs)
+    _settle(search, rows)
     labels = search.labels
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
@@ -417,7 +447,10 @@ def _sized(search: _Search, rows: DataFrame) -> DataFrame:
 
 
 def _settle(search: _Search, rows: DataFrame) -> None:
-    """Rounds over what nothing divides: some nodes of the smallest classes of a bucket against all others, then they go."""
+    """Rounds over larger groups: some nodes of the smallest classes of a group against all others, then they go.
+
+    A pair that is known to share a group of a lesser key is left to that group.
+    """
     taken = SMALL
     while not rows.isEmpty():
         left = _sized(search, rows)
@@ -425,7 +458,8 @@ def _settle(search: _Search, rows: DataFrame) -> None:
         first = left.select("bucket", "m", "label", "node", "words", "marks").withColumn("turn", turn).where(F.col("turn") <= taken)
         first = stored(first.select("bucket", F.struct("node", "words", "label", "marks").alias("head")))
         good = (F.col("head.label") != F.col("label")) & _near_in_size(F.col("head.words"), F.col("words"))
-        good &= F.arrays_overlap("head.marks", "marks")
+        least = F.array_min(F.array_intersect("head.marks", "marks"))
+        good &= least.isNull() | (F.col("bucket") <= least)
         both = left.join(first.withColumnRenamed("bucket", "same"), (F.col("bucket") == F.col("same")) & good)
         search.test(both.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")))
         gone = first.select("bucket", F.col("head.node").alias("node"))
