@@ -212,6 +212,14 @@ def test_patience_keeps_order():
     assert line_dedup.align([1, 2], [2, 1]) in ([(0, 1)], [(1, 0)])
 
 
+def test_blocks_that_come_again():
+    passage, texts = [1, 2, 3], ([10, 1, 2, 3, 11], [20, 1, 2, 3, 21, 1, 2, 3, 22])
+    assert line_dedup.deleted(*texts, [5] * 9, 2, 12) == [1, 2, 3, 5, 6, 7]
+    assert line_dedup.deleted(texts[1], texts[0], [5] * 5, 2, 12) == [1, 2, 3]
+    assert line_dedup.deleted([7, 8, *passage], [*passage, 7, 8], [5] * 5, 2, 12) == [0, 1, 2, 3, 4]
+    assert line_dedup.deleted([1, 9, 2], [1, 2, 0, 9], [12, 5, 0, 11], 2, 12) == [0]
+
+
 def test_line_dedup(docs):
     cleaned = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
     assert cleaned[60] == "" and cleaned[62] is None and cleaned[64] == "  \n\t "

@@ -80,8 +80,39 @@ def _longest_ascent(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def units(words: list[int], least_lines: int, least_words: int) -> list[tuple[int, int]]:
+    """(begin, end) of the shortest runs of lines that may be deleted.
+
+    They begin and end at lines with words. Each line with words of a block that may go lies in such a run of the block.
+    """
+    places = [i for i, n in enumerate(words) if n > 0]
+    least_lines = max(1, least_lines)
+    found = {(places[k], places[k + least_lines - 1] + 1) for k in range(len(places) - least_lines + 1)}
+    for k in range(len(places)):  # fewer lines, but words enough: forwards and backwards from each line
+        for ahead in (places[k : k + least_lines - 1], places[max(0, k - least_lines + 2) : k + 1][::-1]):
+            total = 0
+            for i in ahead:
+                total += words[i]
+                if total >= least_words:
+                    found.add((min(i, places[k]), max(i, places[k]) + 1))
+                    break
+    return sorted(found)
+
+
+def again(earlier: list[int], later: list[int], words: list[int], least_lines: int, least_words: int) -> set[int]:
+    """Places of the later document in runs that the earlier one has anywhere: what one alignment in order leaves."""
+    known = dict(zip(later, words, strict=True))
+    there = [known.get(h, 1) for h in earlier]
+    held = {tuple(earlier[i:j]) for i, j in units(there, least_lines, least_words)}
+    return {k for i, j in units(words, least_lines, least_words) if tuple(later[i:j]) in held for k in range(i, j)}
+
+
 def deleted(earlier: list[int], later: list[int], words: list[int], least_lines: int, least_words: int) -> list[int]:
-    """Places of the later document that lie in a common block large enough; ``words`` counts per line."""
+    """Places of the later document that lie in a common block large enough; ``words`` counts per line.
+
+    One alignment finds blocks in order and the wordless lines at their ends; then the blocks that come again, stand
+    in another order or have no line that is unique in both.
+    """
     out, block, before = [], [], None
     for i, j in [*align(earlier, later), (-2, -2)]:
         if before != (i - 1, j - 1):
@@ -90,7 +121,7 @@ def deleted(earlier: list[int], later: list[int], words: list[int], least_lines:
             block = []
         block.append(j)
         before = (i, j)
-    return out
+    return sorted(again(earlier, later, words, least_lines, least_words).union(out))
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
