@@ -229,6 +229,17 @@ def test_line_dedup(docs):
     assert cleaned[0] == ROWS[0][1]
 
 
+def lines_left(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r.text.split("\n") for r in line_dedup.remove_lines(docs).collect()}
+
+
+def test_frequent_blocks_go(spark):
+    licence = "all rights of this text are with those who wrote it and lent it\nno claim"
+    left = lines_left(spark, [f"start {i} here\n{licence}\nend {i} here" for i in range(60)])
+    assert len(left[0]) == 4 and all(left[i] == [f"start {i} here", f"end {i} here"] for i in range(1, 60))
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,14 +1,15 @@
-"""Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them.
+"""Line dedup by pairwise alignment: shared runs of lines find overlapping documents, patience diff aligns them.
 
 Every document becomes its sequence of line hashes, a few bytes a line; texts aren't shuffled until the
 lines that go are known. Equal texts are one text: all but the first document of it go the way of an
-alignment with itself. A line is rare if it stands in two or more texts, but at most in ``rare_share`` of
-all (or ``rare_least``): lines that stand everywhere don't make documents overlap. Each rare line of a
-text leads to the earliest text that holds it, so a line in thousands of texts makes as many pairs as it
-has holders, not their square. A pair is aligned by patience diff over the whole sequences: equal ends,
-then lines that are unique in both, in their longest common order, then the stretches between them.
-Runs of aligned lines are blocks; a block of ``least_lines`` lines with words, or of ``least_words``
-words, is deleted from the later text. All alignments look at the input.
+alignment with itself. The shortest runs of lines that may be deleted, ``least_lines`` lines with words or
+fewer of ``least_words`` words, are the keys: each run of a text leads to the earliest text that holds it,
+however many do, so a run in thousands of texts makes as many pairs as it has holders, not their square.
+A block that may go consists of such runs, so each of its lines with words has an earlier partner that holds
+a run around it. A pair is aligned by patience diff over the whole sequences: equal ends, then lines that are
+unique in both, in their longest common order, then the stretches between them. Runs of aligned lines are
+blocks; a block of ``least_lines`` lines with words, or of ``least_words`` words, is deleted from the later
+text, and so are the other runs that the earlier text holds. All alignments look at the input.
 
 Defined results: a null text counts as empty and stays null if nothing is deleted from it; a null doc_id
 counts as the largest; documents with one id are in the order of a hash of their text, and repeated rows
@@ -24,13 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonetape.llm.shared import WORD, column, documents, free_names, short_batches, stored
 
-RARE_SHARE = 0.01
-RARE_LEAST = 20
 LEAST_LINES = 2
 LEAST_WORDS = 12
 LAST = (1 << 63) - 1
@@ -143,8 +143,6 @@ def _rank(docs: DataFrame) -> Column:
 
 def find_deleted(
     docs: DataFrame,
-    rare_share: float = RARE_SHARE,
-    rare_least: int = RARE_LEAST,
     least_lines: int = LEAST_LINES,
     least_words: int = LEAST_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
@@ -157,14 +155,12 @@ def find_deleted(
     texts = whole.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     copies = texts.where(F.col("first") < F.col("last")).select("a", "b", "first")
     # A text that comes again counts once, as its first document.
-    held = whole.select("doc", "a", "b", F.explode(F.array_distinct(_with_words(F.col("lines"), F.col("words")))).alias("line"))
-    held = held.groupBy("line", "a", "b").agg(F.min("doc").alias("doc"))
-    holders = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "a", "b")).alias("at")).where(F.col("n") > 1)
-    limit = max(int(rare_least), int(texts.count() * rare_share))
-    rare = holders.where(F.col("n") <= limit).select("line", F.col("at.a").alias("a0"), F.col("at.b").alias("b0"))
-    pairs = held.join(rare, "line").where((F.col("a") != F.col("a0")) | (F.col("b") != F.col("b0"))).select("a", "b", "a0", "b0").distinct()
-    one = whole.groupBy("a", "b").agg(F.min(F.struct("doc", "lines", "words")).alias("s")).select("a", "b", "s.lines", "s.words")
+    one = whole.groupBy("a", "b").agg(F.min(F.struct("doc", "lines", "words")).alias("s")).select("a", "b", "s.doc", "s.lines", "s.words")
     one = stored(one)
+    held = stored(_held(one, least_lines, least_words))
+    holders = held.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "a", "b")).alias("at")).where(F.col("n") > 1)
+    shared = holders.select("unit", F.col("at.a").alias("a0"), F.col("at.b").alias("b0"))
+    pairs = held.join(shared, "unit").where((F.col("a") != F.col("a0")) | (F.col("b") != F.col("b0"))).select("a", "b", "a0", "b0").distinct()
     earlier = one.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("lines").alias("lines0"))
     both = pairs.join(one, ["a", "b"]).join(earlier, ["a0", "b0"]).select("a", "b", "lines0", "lines", "words")
 
@@ -181,9 +177,20 @@ def find_deleted(
     return gone, copies
 
 
-def _with_words(lines: Column, words: Column) -> Column:
-    """The hashes of the lines that have a word."""
-    return F.filter(F.zip_with(lines, words, lambda h, n: F.when(n > 0, h)), lambda h: h.isNotNull())
+def _held(one: DataFrame, least_lines: int, least_words: int) -> DataFrame:
+    """(unit, doc, a, b): the hash of each different run of lines that may go, by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lines, words in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                raw = np.array(lines, "<i8").tobytes()
+                found.append({xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) for i, j in units(words, least_lines, least_words)})
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+            flat = pa.array(np.array([u for f in found for u in f], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([flat, *(batch.column(i).take(of) for i in range(3))], ["unit", "doc", "a", "b"])
+
+    return one.select("doc", "a", "b", "lines", "words").mapInArrow(run, "unit bigint, doc bigint, a bigint, b bigint")
 
 
 def mark(docs: DataFrame, **rules) -> tuple[DataFrame, str, str]:
