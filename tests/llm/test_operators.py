@@ -240,6 +240,40 @@ def test_frequent_blocks_go(spark):
     assert len(left[0]) == 4 and all(left[i] == [f"start {i} here", f"end {i} here"] for i in range(1, 60))
 
 
+def test_partners_hold_the_whole_block(spark):
+    left = lines_left(spark, ["x\nq", "y\nr", "x\ns\ny", "y\nx", "a\nx\ny", "b\nx\ny"])
+    assert left[4] == ["a", "x", "y"] and left[5] == ["b"]
+
+
+def brute_lines(texts):
+    """Lines with words that lie in a block of two such lines, or of 12 words, of any earlier text."""
+    out = []
+    for n, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for other in texts[:n]:
+            other = other.split("\n")
+            for shift in range(-len(lines), len(other)):
+                block = []
+                for i in range(len(lines) + 1):
+                    if i < len(lines) and 0 <= i + shift < len(other) and lines[i] == other[i + shift]:
+                        block.append(i)
+                        continue
+                    sizes = [len(lines[k].split()) for k in block]
+                    if sum(s > 0 for s in sizes) >= 2 or sum(sizes) >= 12:
+                        gone.update(block)
+                    block = []
+        out.append([x for i, x in enumerate(lines) if x.strip() and i not in gone])
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    draw = random.Random(6)
+    pool = [" ".join(draw.choices("abcdefgh", k=draw.choice([1, 2, 5, 11, 12, 13]))) for _ in range(25)] + ["", "", " "]
+    texts = ["\n".join(draw.choices(pool, k=draw.randint(1, 9))) for _ in range(80)]
+    left = lines_left(spark, texts)
+    assert [[x for x in left[i] if x.strip()] for i in range(len(texts))] == brute_lines(texts)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
