@@ -377,6 +377,15 @@ def test_language(spark):
     assert abs(cut.words - 30) <= 2 and all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_the_sample_is_bounded_and_copies_count_once(spark):
+    rows = [("a copied text", "xx")] * 300 + [(f"text {i}", "xx") for i in range(40)] + [(f"word {i}", "yy") for i in range(5)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    for sample in (10, 1000):
+        languages, _, stretches = language.gather(docs, sample)
+        assert languages == ["xx", "yy"] and all(len(set(x)) == len(x) for x in stretches.values())
+        assert [len(stretches[x]) for x in languages] == [min(sample, 41), 5]
+
+
 def test_chains_of_any_length():
     draw = np.random.default_rng(0)
     sizes = np.array([1, 64, 65, 0, 200])

@@ -7,8 +7,8 @@ Spark in ``LEXICON`` hashed cells. Transitions are learned from chains that swit
 of stretches of ``CHAIN`` words of two documents. Forward-backward gives every word's probabilities; a
 document's language is the one with the largest sum over its words with letters, its score the mean.
 
-Training looks at a bounded sample: some ``SAMPLE`` stretches per language, drawn by hash from all
-stretches of all whole training texts. The model is two tables of fixed size. Prediction handles all
+Training looks at a bounded sample: the ``SAMPLE`` different stretches of least hash per language, or all if
+there are fewer, of all stretches of all whole training texts. A stretch that comes again counts once. The model is two tables of fixed size. Prediction handles all
 documents of a batch at once: stretches of ``CHAIN`` words pass their transfer matrices on, so the exact
 chain over a whole text costs one pass over positions of a stretch, whatever the text's length.
 
@@ -19,6 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +36,7 @@ LEXICON = 1 << 15
 #: Letters of a word that the lexicon counts at most: function words are short.
 LEXICON_LETTERS = 8
 CHAIN = 64
-#: Stretches per language that training looks at, about.
+#: Different stretches per language that training looks at, at most.
 SAMPLE = 3000
 EPOCHS = 4
 BATCH = 64
@@ -222,56 +223,76 @@ def held_out(docs: DataFrame) -> Column:
 def gather(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, dict[str, list[str]]]:
     """Languages, lexicon counts (cells, languages) over all given documents, and sampled stretches per language.
 
-    ``docs`` has text and lang. One pass over the texts; tasks send sums per cell and language.
+    ``docs`` has text and lang. Two passes over the texts: tasks send sums per cell and language and their ``sample``
+    least hashes of stretches; then the stretches up to the least ``sample`` hashes of all.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    sizes = docs.groupBy("lang").agg(F.sum(F.length("text") + 1).alias("chars")).orderBy("lang").collect()
-    languages = [r["lang"] for r in sizes]
+    languages = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return [], np.zeros((LEXICON, 0)), {}
     index = {name: i for i, name in enumerate(languages)}
-    # About six letters a word; the share of stretches to draw follows.
-    share = {r["lang"]: min(1.0, sample * CHAIN * 6 / r["chars"]) for r in sizes}
     n = len(languages)
 
     def run(batches):
         counts = np.zeros((n, LEXICON), np.int64)
+        least = [np.zeros(0, np.int64) for _ in languages]
         cells = Recent(lambda words: [lexicon_cell(letters_of(w)) for w in words])
         for batch in batches:
-            texts, labels, rows = batch.column(0).to_pylist(), [], []
-            words = [t.split() for t in texts]
+            words = [t.split() for t in batch.column(0).to_pylist()]
+            owners = [index[x] for x in batch.column(1).to_pylist()]
             found = np.array(cells.values([w for ws in words for w in ws]), np.int64)
-            labels = np.repeat([index[x] for x in batch.column(1).to_pylist()], [len(ws) for ws in words])
+            labels = np.repeat(owners, [len(ws) for ws in words])
             good = found >= 0
             counts += np.bincount(labels[good] * LEXICON + found[good], minlength=n * LEXICON).reshape(n, LEXICON)
-            for text, ws, lang in zip(texts, words, batch.column(1).to_pylist(), strict=True):
-                key = xxhash.xxh64_intdigest(text)
-                for i in range(0, len(ws), CHAIN):
-                    if xxhash.xxh32_intdigest(b"%d:%d" % (key, i)) < share[lang] * 2**32:
-                        rows.append((index[lang], b" ".join(ws[i : i + CHAIN]).decode()))
-            if rows:
-                yield _gathered([-1] * len(rows), [r[0] for r in rows], [0] * len(rows), [r[1] for r in rows])
+            hashes: list[list[int]] = [[] for _ in languages]
+            for label, ws in zip(owners, words, strict=True):
+                hashes[label] += [h for h, _ in _stretches(ws)]
+            least = [np.unique(np.concatenate([x, np.array(y, np.int64)]))[:sample] for x, y in zip(least, hashes, strict=True)]
         for label in range(n):
             at = np.flatnonzero(counts[label])
             if len(at):
-                yield _gathered(at, [label] * len(at), counts[label, at], [None] * len(at))
+                yield _gathered(at, [label] * len(at), counts[label, at])
+            if len(least[label]):
+                yield _gathered([-1] * len(least[label]), [label] * len(least[label]), least[label])
 
     raw = docs.select(F.col("text").cast("binary").alias("text"), "lang")
-    found = stored(raw.mapInArrow(run, "cell int, label int, n bigint, stretch string"))
+    found = stored(raw.mapInArrow(run, "cell int, label int, n bigint"))
     lexicon = np.zeros((LEXICON, n))
     for batch in found.where("cell >= 0").groupBy("cell", "label").agg(F.sum("n").alias("n")).toArrow().to_batches():
         lexicon[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
+    hashes = stored(found.where("cell < 0").select("label", "n").distinct())
+    # The least of each partition, then of all: no task holds more than that of a language.
+    last = [max((r["n"] for r in hashes.where(F.col("label") == k).orderBy("n").limit(sample).collect()), default=-1) for k in range(n)]
+
+    def draw(batches):
+        for batch in batches:
+            rows = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                label = index[lang]
+                rows |= {(label, h): stretch for h, stretch in _stretches(text.split()) if h <= last[label]}
+            if rows:
+                labels, keys = zip(*rows, strict=True)
+                columns = [pa.array(labels, pa.int32()), pa.array(keys, pa.int64()), pa.array([x.decode() for x in rows.values()], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "hash", "stretch"])
+
+    drawn = raw.mapInArrow(draw, "label int, hash bigint, stretch string").groupBy("label", "hash").agg(F.min("stretch").alias("stretch"))
     stretches: dict[str, list[str]] = {name: [] for name in languages}
-    for row in found.where("cell < 0").orderBy("label", "stretch").select("label", "stretch").collect():
+    for row in drawn.orderBy("label", "stretch").collect():
         stretches[languages[row["label"]]].append(row["stretch"])
     return languages, lexicon, stretches
 
 
-def _gathered(cells, labels, counts, stretches) -> pa.RecordBatch:
+def _stretches(words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(63-bit hash, text) of each stretch of CHAIN words."""
+    for i in range(0, len(words), CHAIN):
+        stretch = b" ".join(words[i : i + CHAIN])
+        yield xxhash.xxh64_intdigest(stretch) >> 1, stretch
+
+
+def _gathered(cells, labels, counts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(cells, pa.int32()), pa.array(labels, pa.int32()), pa.array(counts, pa.int64()), pa.array(stretches, pa.string())],
-        ["cell", "label", "n", "stretch"],
+        [pa.array(cells, pa.int32()), pa.array(labels, pa.int32()), pa.array(counts, pa.int64())], ["cell", "label", "n"]
     )
 
 
