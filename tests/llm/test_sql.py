@@ -16,7 +16,8 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="needs the driver's
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = QUERIES[name](spark, str(FOLDER))
     expected = db.execute(SQL[name])
     columns = [c[0] for c in expected.description]

@@ -114,8 +114,59 @@ def quality_sql(table: str, reach: float = 3.0, least_group: int = 200) -> str:
     """
 
 
+def filter_audit_sql(docs: str, labels: str) -> str:
+    """One row per part, order of the five filters and step, found by running every order over the documents."""
+    letters = "(SELECT unnest(string_split('ABCDE', '')) AS f)"
+    return rf"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(doc_id, {(1 << 63) - 1}) AS rank, coalesce(text, '') AS text, coalesce(source, '') AS part,
+            regexp_extract_all(coalesce(text, ''), '{WORD}') AS words
+        FROM {docs}
+    ), copies AS (SELECT text, min(rank) AS least FROM texts GROUP BY text
+    ), said AS (
+        SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+        FROM {labels} WHERE doc_id IS NOT NULL GROUP BY doc_id
+    ), judged AS (
+        SELECT t.part, coalesce(s.good, false) AS good, coalesce(s.toxic, false) AS toxic,
+            (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+            || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+            || (CASE WHEN 100 * len(regexp_extract_all(t.text, '[A-Z]')) > 2 * length(t.text) THEN 'C' ELSE '' END)
+            || (CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 'D' ELSE '' END)
+            || (CASE WHEN t.rank > c.least THEN 'E' ELSE '' END) AS fails
+        FROM texts t JOIN copies c ON t.text = c.text LEFT JOIN said s ON t.doc_id = s.doc_id
+    ), cells AS (
+        SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+        FROM judged GROUP BY part, fails
+    ), orders AS (
+        SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+        FROM {letters} a, {letters} b, {letters} c, {letters} d, {letters} e
+        WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+    ), steps AS (
+        SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[1 : step - 1] AS before
+        FROM orders, generate_series(1, 5) s(step)
+    ), told AS (
+        SELECT part, filter_order, step, f, fails, n, n_good, n_toxic, contains(fails, f) AS bad,
+            len(translate(fails, before, '')) < len(fails) AS gone
+        FROM cells, steps
+    ), summed AS (
+        SELECT part, filter_order, step, f,
+            coalesce(sum(n) FILTER (WHERE NOT bad AND NOT gone), 0)::BIGINT AS kept,
+            coalesce(sum(n) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (WHERE bad AND gone), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails,
+            coalesce(sum(n_good) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS good_lost,
+            coalesce(sum(n_toxic) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS toxic_lost
+        FROM told GROUP BY part, filter_order, step, f
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+    FROM summed
+    """
+
+
 SQL = {
     "op1_mix": f"SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * times)::BIGINT AS taken FROM ({mix_sql('documents')})",
     "op7_quality": f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
         FROM ({quality_sql('documents')})""",
+    "op12_filter_audit": filter_audit_sql("documents", "labels"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tonetape.llm.byte_bpe import op9_byte_bpe
+from tonetape.llm.filter_audit import op12_filter_audit
 from tonetape.llm.fingerprints import op10_fingerprints
 from tonetape.llm.language import op8_language
 from tonetape.llm.line_dedup import op3_line_dedup
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprints": op10_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
 }
