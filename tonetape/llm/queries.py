@@ -13,6 +13,7 @@ from tonetape.llm.quality import op7_quality
 from tonetape.llm.substring_dedup import op5_substring_dedup
 from tonetape.llm.token_counts import op2_token_counts
 from tonetape.llm.token_files import op4_token_files
+from tonetape.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_mix": op1_mix,
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprints": op10_fingerprints,
+    "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
 }
