@@ -27,5 +27,5 @@ def test_equals_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in entry_point.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {name.split("_")[0] for name in entry_point.queries()}
     assert "pipeline" in entry_point.queries()

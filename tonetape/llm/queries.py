@@ -7,6 +7,7 @@ from tonetape.llm.filter_audit import op12_filter_audit
 from tonetape.llm.fingerprints import op10_fingerprints
 from tonetape.llm.language import op8_language
 from tonetape.llm.line_dedup import op3_line_dedup
+from tonetape.llm.maximal_repeats import op13_maximal_repeats
 from tonetape.llm.mixing import op1_mix
 from tonetape.llm.near_dedup import op6_near_dedup
 from tonetape.llm.quality import op7_quality
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
+    "op13_maximal_repeats": op13_maximal_repeats,
 }
