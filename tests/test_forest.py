@@ -48,3 +48,30 @@ def test_grid_search(rows):
     chosen = next(r for r in found if r.is_best)
     assert best.stages[-1].getOrDefault("featureSubsetStrategy") == str(chosen.max_features)
     assert chosen.mean_accuracy == max(r.mean_accuracy for r in found)
+
+
+@pytest.mark.parametrize("learner", sorted(forest.LEARNERS))
+def test_training_on_one_class(frame, learner):
+    """A class that training never saw has probability 0, and nothing raises."""
+    rows = frame([(i, float(i % 7), 0.0) for i in range(40)], "id int, x double, Label double")
+    model = forest.fit(rows, ["x"], learner=forest.LEARNERS[learner])
+    scored = forest.predict(model, rows)
+    assert scored.filter("abs(p0 + p1 - 1) > 1e-9 OR predicted <> 0 OR p1 > 0.5").count() == 0
+
+
+def test_two_positives_in_sixty_rows(frame):
+    rows = frame([(i, float(i), float(i in (20, 40))) for i in range(60)], "id int, x double, Label double")
+    found = forest.cross_predictions(rows, ["x"], ["id"], folds=3, settings=[{"numTrees": 3, "seed": 1}])
+    assert sorted(r.id for r in found.collect()) == list(range(60))
+    row = forest.cross_validated_auc(rows, ["x"], ["id"], folds=3, numTrees=3, seed=1).first()
+    assert 0 <= row.cv_min <= row.cv_max <= 1
+
+
+def test_search_over_any_learner(rows):
+    choices = {"maxDepth": [1, 2], "maxIter": [1, 3]}
+    table, best = forest.search(rows, ["x", "noise"], ["id"], choices, learner=forest.boosted_trees, folds=2, seed=1)
+    found = table.collect()
+    assert [(r.maxDepth, r.maxIter) for r in found] == [(1, 1), (1, 3), (2, 1), (2, 3)]
+    chosen = next(r for r in found if r.is_best)
+    assert chosen.mean_accuracy == max(r.mean_accuracy for r in found) > 0.8
+    assert best.stages[-1].getOrDefault("maxIter") == chosen.maxIter

@@ -71,6 +71,55 @@ def test_no_rows(frame):
     assert found.columns == ["Time", "Ticker", "is_train"] and found.count() == 0
 
 
-def test_only_the_cut_is_numbered(rows):
-    plan = splits.chronological_split(rows)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("row_number()") == 1 and "Join" not in plan
+def test_only_equal_rows_at_the_cut_are_numbered(frame, rows):
+    plan = lambda r: splits.chronological_split(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan(rows) and "Join" not in plan(rows)
+    equal = frame([(START, "A", i) for i in range(10)], "Time timestamp, Ticker string, id int")
+    assert plan(equal).count("row_number()") == 1 and "Join" not in plan(equal)
+    assert splits.chronological_split(equal).filter("is_train").count() == 8
+
+
+def test_cut_reaches_the_scan(spark, rows, tmp_path):
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    before, after = splits.chronological_sides(stored, portion=0.3)
+    physical = lambda r: r._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(Time" in physical(before).split("PushedFilters")[1].split("]")[0]
+    assert "GreaterThanOrEqual(Time" in physical(after).split("PushedFilters")[1].split("]")[0]
+    marked = {r.id: r.is_train for r in splits.chronological_split(stored, portion=0.3).collect()}
+    assert {r.id for r in before.collect()} == {i for i, first in marked.items() if first}
+    assert {r.id for r in after.collect()} == {i for i, first in marked.items() if not first}
+
+
+@pytest.mark.parametrize("few", [1, 3])
+def test_cut_is_narrowed_step_by_step(rows, monkeypatch, few):
+    """Brackets with too many values for one task are narrowed before they are counted."""
+    expected = {r.id: r.is_train for r in splits.chronological_split(rows, portion=0.4).collect()}
+    monkeypatch.setattr(splits, "FEW", 0)
+    monkeypatch.setattr(splits, "SKETCH", few * 100)
+    assert {r.id: r.is_train for r in splits.chronological_split(rows, portion=0.4).collect()} == expected
+
+
+def test_ties_of_all_kinds(frame):
+    cells = [(START, None if i == 3 else f"{'common prefix of texts ' if i % 2 else ''}{i:02d}", i) for i in range(40)]
+    rows = frame(cells, "Time timestamp, Ticker string, id int")
+    found = splits.chronological_split(rows, portion=0.5).filter("is_train").collect()
+    order = sorted(cells, key=lambda c: (c[1] is not None, c[1]))
+    assert {r.id for r in found} == {c[2] for c in order[:20]}
+    numbers = splits.chronological_split(rows, ties=("id",), portion=0.5).filter("is_train").collect()
+    assert {r.id for r in numbers} == set(range(20))
+
+
+def test_stratified_folds_are_even(frame):
+    cells = [(i, 1 if i in (7, 41) else None if i > 54 else 0) for i in range(60)]
+    rows = frame(cells, "id int, y int")
+    for folds in (2, 3, 7):
+        found = [tuple(r) for r in splits.stratified_folds(rows.repartition(3), ["id"], "y", folds).collect()]
+        assert sorted(f[0] for f in found) == list(range(60))
+        for y in (0, 1, None):
+            sizes = [sum(f[1] == y and f[2] == k for f in found) for k in range(folds)]
+            assert max(sizes) - min(sizes) <= 1 and sum(sizes) == sum(c[1] == y for c in cells)
+    again = splits.stratified_folds(rows, ["id"], "y", 3).collect()
+    assert {(r.id, r.fold) for r in again} == {(r.id, r.fold) for r in splits.stratified_folds(rows.repartition(5), ["id"], "y", 3).collect()}
+    plan = splits.stratified_folds(rows, ["id"], "y", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan and "NestedLoop" not in plan

@@ -134,3 +134,25 @@ def test_histogram_of_one_value(frame):
     counts, edges = np.histogram([0.75] * 3, bins=10)
     assert [r["count"] for r in found] == list(counts)
     assert [r.bin_low for r in found] == pytest.approx(list(edges[:-1]))
+
+
+def test_exact_auc_of_many_models(frame):
+    rng = random.Random(4)
+    cells = []
+    for model in ("a", "b", None, "flat", "one"):
+        for i in range(300):
+            p1 = {"a": rng.random(), "b": rng.choice([0.0, 1e-9, 2e-9, 0.5, 0.5 + 1e-8, 1.0]), "flat": 0.3}.get(model, rng.gauss(0.5, 1e-6))
+            cells.append((model, float(model == "one" or rng.random() < p1), 1 - p1, p1))
+    cells += [("a", None, 0.5, 0.5), ("a", 1.0, None, None)]
+    rows = frame(cells, "model string, label double, p0 double, p1 double")
+    found = {r.model: r for r in thresholds.probability_auc(rows, ["model"]).collect()}
+    for model in ("a", "b", None, "flat"):
+        mine = [c for c in cells if c[0] == model and None not in c[1:]]
+        pos, neg = [c[3] for c in mine if c[1]], [c[3] for c in mine if not c[1]]
+        right = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+        assert found[model].auc == pytest.approx(right / len(pos) / len(neg), abs=1e-12)
+        assert (found[model].n_pos, found[model].n_neg) == (len(pos), len(neg))
+    assert found["one"].auc is None and found["flat"].auc == 0.5
+    assert thresholds.probability_auc(rows).count() == 1
+    plan = thresholds.probability_auc(rows, ["model"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan

@@ -1,21 +1,31 @@
-"""Random forests on Spark ML: fit, predict, report, cross-validate, search, explain."""
+"""Random forests and boosted trees on Spark ML: fit, predict, report, cross-validate, search, explain.
+
+A learner is a function from the label's name and its own settings to a Spark ML classifier. Everything
+else takes any learner: probabilities of a class that training never saw are 0, folds are spread evenly
+over the classes, and the scores of all folds and settings are computed in one aggregation, exactly.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import product
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonetape.operators import splits, thresholds
+
 FEATURES, PREDICTED = "Features", "Predicted_Label"
+Learner = Callable[..., Estimator]
+#: Fits that run side by side.
+SIDE_BY_SIDE = 5
 
 
 def assembler(features: Iterable[str]) -> VectorAssembler:
@@ -26,8 +36,23 @@ def forest(label: str = "Label", **settings) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, featuresCol=FEATURES, predictionCol=PREDICTED, **settings)
 
 
+def boosted_trees(label: str = "Label", **settings) -> GBTClassifier:
+    return GBTClassifier(labelCol=label, featuresCol=FEATURES, predictionCol=PREDICTED, **settings)
+
+
+#: The learners by name, for tables of several.
+LEARNERS: dict[str, Learner] = {"forest": forest, "boosted_trees": boosted_trees}
+
+
+def fit(train: DataFrame, features: Iterable[str], label: str = "Label", learner: Learner = forest, **settings) -> PipelineModel:
+    """The learner fitted to 0/1 labels, of which the rows may show one only."""
+    two = {"ml_attr": {"type": "nominal", "name": label, "vals": ["0", "1"]}}
+    rows = train.withColumn(label, F.col(label).cast("double").alias(label, metadata=two))
+    return Pipeline(stages=[assembler(features), learner(label, **settings)]).fit(rows)
+
+
 def fit_forest(train: DataFrame, features: Iterable[str], label: str = "Label", **settings) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), forest(label, **settings)]).fit(train)
+    return fit(train, features, label, forest, **settings)
 
 
 def predict(model: PipelineModel, rows: DataFrame, label: str = "Label") -> DataFrame:
@@ -38,48 +63,73 @@ def predict(model: PipelineModel, rows: DataFrame, label: str = "Label") -> Data
     return scored.select(
         *others,
         F.col(label).cast("double").alias("label"),
-        probability[0].alias("p0"),
-        probability[1].alias("p1"),
+        F.coalesce(F.get(probability, F.lit(0)), F.lit(0.0)).alias("p0"),
+        F.coalesce(F.get(probability, F.lit(1)), F.lit(0.0)).alias("p1"),
         F.col(PREDICTED).alias("predicted"),
     )
 
 
 def hard_auc(predictions: DataFrame) -> float:
     """Area under the curve of the predicted class itself."""
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="predicted").evaluate(predictions)
+    hard = predictions.withColumns({"p1": F.col("predicted"), "p0": 1 - F.col("predicted")})
+    return thresholds.probability_auc(hard).first()["auc"]
 
 
 def probability_auc(predictions: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="p1").evaluate(predictions)
+    return thresholds.probability_auc(predictions).first()["auc"]
 
 
-def accuracy(predictions: DataFrame) -> float:
-    return MulticlassClassificationEvaluator(
-        labelCol="label", predictionCol="predicted", metricName="accuracy"
-    ).evaluate(predictions)
+def _accuracy() -> Column:
+    return F.avg((F.col("predicted") == F.col("label")).cast("double"))
 
 
-def with_folds(rows: DataFrame, keys: Iterable[str], folds: int, *, seed: int = 1, into: str = "fold") -> DataFrame:
-    """A fold number per row from a hash of its key: the same whatever the layout of the data."""
-    return rows.withColumn(into, F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).cast("int"))
+def accuracy(predictions: DataFrame) -> float:
+    return predictions.agg(_accuracy().alias("accuracy")).first()["accuracy"]
 
 
-def cross_validated_auc(
-    rows: DataFrame, features: list[str], keys: list[str], label: str = "Label", *, folds: int = 5, **settings
+def cross_predictions(
+    rows: DataFrame,
+    features: list[str],
+    keys: list[str],
+    label: str = "Label",
+    *,
+    learner: Learner = forest,
+    folds: int = 5,
+    settings: Iterable[Mapping] = ({},),
+    fold_seed: int = 1,
 ) -> DataFrame:
-    """One row: mean, population deviation, least and largest AUC over the folds.
+    """Every row's prediction by the model that was fitted without its fold, once per setting.
 
-    One distributed fit per fold, started side by side; only the AUC numbers come to the driver.
+    Columns ``setting`` (its place in the list) and ``fold`` tell them apart. One distributed fit per fold and
+    setting, some side by side; the models stay, their scores are computed where the result is used.
+    Folds come from ``splits.stratified_folds``; give this stored rows, which each fit reads.
     """
-    folded = with_folds(rows, keys, folds)
+    folded = splits.stratified_folds(rows, keys, label, folds, seed=fold_seed)
+    jobs = list(product(enumerate(settings), range(folds)))
+
+    def scored(job) -> DataFrame:
+        (place, chosen), fold = job
+        model = fit(folded.filter(F.col("fold") != fold), features, label, learner, **chosen)
+        return predict(model, folded.filter(F.col("fold") == fold), label).withColumn("setting", F.lit(place))
 
-    def score(fold: int) -> tuple[int, float]:
-        model = fit_forest(folded.filter(F.col("fold") != fold), features, label, **settings)
-        return fold, probability_auc(predict(model, folded.filter(F.col("fold") == fold), label))
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(scored), jobs))
+    return reduce(DataFrame.unionByName, parts)
 
-    with ThreadPoolExecutor(folds) as pool:
-        scores = list(pool.map(inheritable_thread_target(rows.sparkSession)(score), range(folds)))
-    return rows.sparkSession.createDataFrame(scores, "fold int, auc double").agg(
+
+def cross_validated_auc(
+    rows: DataFrame,
+    features: list[str],
+    keys: list[str],
+    label: str = "Label",
+    *,
+    learner: Learner = forest,
+    folds: int = 5,
+    **settings,
+) -> DataFrame:
+    """One row: mean, population deviation, least and largest AUC over the folds that hold both classes."""
+    predictions = cross_predictions(rows, features, keys, label, learner=learner, folds=folds, settings=[settings])
+    return thresholds.probability_auc(predictions, ["fold"]).agg(
         F.mean("auc").alias("cv_mean"),
         F.stddev_pop("auc").alias("cv_std"),
         F.min("auc").alias("cv_min"),
@@ -93,6 +143,38 @@ def model_report(model: PipelineModel, train: DataFrame, label: str = "Label") -
     return {"accuracy": accuracy(scored), "auc": probability_auc(scored)}
 
 
+def search(
+    rows: DataFrame,
+    features: list[str],
+    keys: list[str],
+    choices: Mapping[str, Iterable],
+    label: str = "Label",
+    *,
+    learner: Learner = forest,
+    folds: int = 3,
+    **settings,
+) -> tuple[DataFrame, PipelineModel]:
+    """Mean and sample deviation of the folds' accuracy per combination of ``choices``, and the best one refitted.
+
+    Columns carry the choices' names; the first of equally good combinations is best. The table has one row
+    per combination, and the only thing collected is the place of the best.
+    """
+    names = list(choices)
+    every = [dict(zip(names, values)) for values in product(*(list(choices[n]) for n in names))]
+    predictions = cross_predictions(
+        rows, features, keys, label, learner=learner, folds=folds, settings=[{**settings, **chosen} for chosen in every]
+    )
+    of_fold = predictions.groupBy("setting", "fold").agg(_accuracy().alias("accuracy"))
+    told = of_fold.groupBy("setting").agg(F.mean("accuracy").alias("mean_accuracy"), F.stddev("accuracy").alias("std_accuracy"))
+    found = told.collect()  # one row per combination
+    best = max(found, key=lambda r: (r["mean_accuracy"], -r["setting"]))["setting"]
+    table = rows.sparkSession.createDataFrame(
+        [(*every[r["setting"]].values(), r["mean_accuracy"], r["std_accuracy"], r["setting"] == best) for r in sorted(found)],
+        [*names, "mean_accuracy", "std_accuracy", "is_best"],
+    )
+    return table, fit(rows, features, label, learner, **{**settings, **every[best]})
+
+
 def grid_search(
     rows: DataFrame,
     features: list[str],
@@ -111,28 +193,11 @@ def grid_search(
     replaced by its nearest kin, at least half that many rows in each child.
     """
     least = max(1, int(rows.count() * 0.001 / 2))
-    learner = forest(
-        label, numTrees=trees, maxDepth=depth, impurity="entropy", minInstancesPerNode=least, seed=seed
-    )
-    choices = [str(n) for n in features_per_split]
-    search = CrossValidator(
-        estimator=Pipeline(stages=[assembler(features), learner]),
-        estimatorParamMaps=ParamGridBuilder().addGrid(learner.featureSubsetStrategy, choices).build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, predictionCol=PREDICTED, metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=len(choices),
-    )
-    found = search.fit(with_folds(rows.withColumn(label, F.col(label).cast("double")), keys, folds))
-    best = max(range(len(choices)), key=lambda i: found.avgMetrics[i])
-    table = rows.sparkSession.createDataFrame(
-        [
-            (int(n), float(mean), float(std), i == best)
-            for i, (n, mean, std) in enumerate(zip(choices, found.avgMetrics, found.stdMetrics))
-        ],
-        "max_features int, mean_accuracy double, std_accuracy double, is_best boolean",
-    )
-    return table, found.bestModel
+    choices = {"featureSubsetStrategy": [str(n) for n in features_per_split]}
+    fixed = {"numTrees": trees, "maxDepth": depth, "impurity": "entropy", "minInstancesPerNode": least, "seed": seed}
+    table, best = search(rows, features, keys, choices, label, folds=folds, **fixed)
+    number = F.col("featureSubsetStrategy").cast("int").alias("max_features")
+    return table.select(number, "mean_accuracy", "std_accuracy", "is_best"), best
 
 
 def importances(model: PipelineModel, spark: SparkSession, *, top: int | None = None) -> DataFrame:

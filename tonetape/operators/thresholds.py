@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # 46 thresholds from 0.50 to 0.95.
@@ -83,6 +83,44 @@ def accuracy_at(
     )
 
 
+def probability_auc(predictions: DataFrame, by: Iterable[str] = (), *, bits: int = 12) -> DataFrame:
+    """Exact area under the curve of ``p1`` per group, with the rows of each class; null for one class only.
+
+    It is the share of (positive, negative) pairs that ``p1`` ranks rightly, ties counting half. Rows shrink to
+    one per score; the negatives below a score are summed in two levels, per coarse cell of the group and per
+    fine cell of the coarse one, so that windows span 4096 cells, or the scores of one fine cell.
+    """
+    by = list(by)
+    coarse, fine = (F.floor(F.col("p1") * (1 << b)).cast("bigint").alias(n) for b, n in ((bits, "_coarse"), (2 * bits, "_fine")))
+    truth = F.col("label").cast("double") > 0
+    scores = (
+        predictions.select(*by, F.col("p1").cast("double").alias("p1"), truth.alias("truth"))
+        .filter("p1 IS NOT NULL AND truth IS NOT NULL")
+        .groupBy(*by, "p1")
+        .agg(F.count_if("truth").alias("_pos"), F.count_if(~F.col("truth")).alias("_neg"))
+        .select("*", coarse, fine)
+    )
+
+    def below(rows: DataFrame, inside: list[str], order: str, into: str) -> DataFrame:
+        window = Window.partitionBy(*inside).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(into, F.coalesce(F.sum("_neg").over(window), F.lit(0)))
+
+    fines = scores.groupBy(*by, "_coarse", "_fine").agg(F.sum("_neg").alias("_neg"))
+    coarses = below(fines.groupBy(*by, "_coarse").agg(F.sum("_neg").alias("_neg")), by, "_coarse", "_before").drop("_neg")
+    starts = below(fines, [*by, "_coarse"], "_fine", "_inside").drop("_neg")
+    # One group may lack a name; equal groups meet all the same.
+    meet = lambda left, right, on: left.join(
+        right.withColumnsRenamed({c: f"{c}_" for c in on}), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in on]
+    ).drop(*(f"{c}_" for c in on))
+    placed = meet(meet(below(scores, [*by, "_fine"], "p1", "_here"), starts, [*by, "_coarse", "_fine"]), coarses, [*by, "_coarse"])
+    rank = F.col("_pos") * (F.col("_before") + F.col("_inside") + F.col("_here") + F.col("_neg") / 2)
+    return (
+        placed.groupBy(*by)
+        .agg(F.sum(rank).alias("_right"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+        .select(*by, F.try_divide(F.col("_right"), F.col("n_pos") * F.col("n_neg").cast("double")).alias("auc"), "n_pos", "n_neg")
+    )
+
+
 def _level(confidence: Column) -> Column:
     """Index of the highest threshold at or below the confidence, -1 if there is none."""
     near = F.round((confidence - THRESHOLDS[0]) * 100).cast("int")

@@ -134,6 +134,15 @@ _AUC = """round(CASE WHEN tp + fp + tn + fn = 0 THEN 1.0::DOUBLE
   ELSE (tp::DOUBLE / nullif(tp + fn, 0) + tn::DOUBLE / nullif(tn + fp, 0)) / 2 END, 9) AS auc"""
 
 
+def _spot(key: str, seed: int) -> str:
+    """52 bits of the MD5 of seed and key."""
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT"
+
+
+def _fold(key: str, folds: int, seed: int = 1) -> str:
+    return f"""((row_number() OVER (PARTITION BY "Label" ORDER BY {_spot(key, seed)}, {key}) - 1) % {folds})::INTEGER"""
+
+
 def _share(top: str, bottom: str, name: str) -> str:
     return f"round(({top})::DOUBLE / nullif({bottom}, 0), 9) AS {name}"
 
@@ -311,10 +320,42 @@ WITH {_VECTORS}
 SELECT {", ".join(f'count(*) - count("{c}") AS "{c}"' for c in _VECTOR_COLUMNS)}
 FROM vectors
 """,
-    "shuffled_split": """
-SELECT is_test, CASE WHEN is_test THEN m - rest ELSE rest END AS "rows"
-FROM (SELECT m, m - CAST(floor(m * 0.1::DOUBLE) AS BIGINT) AS rest FROM (SELECT count(*) AS m FROM orders))
-CROSS JOIN (SELECT unnest([true, false]) AS is_test)
+    "hash_split": f"""
+WITH spots AS (SELECT o_orderkey, o_totalprice, {_spot("o_orderkey", 1014)} / 4503599627370496.0::DOUBLE AS spot FROM orders)
+SELECT o_orderkey, round(o_totalprice, 9) AS o_totalprice,
+       CASE WHEN spot < 1.0::DOUBLE - 0.7::DOUBLE - 0.1::DOUBLE THEN 'test' WHEN spot < 1.0::DOUBLE - 0.7::DOUBLE THEN 'valid' ELSE 'train' END AS split
+FROM spots
+""",
+    "shuffled_split": f"""
+SELECT o_orderkey, round(o_totalprice, 9) AS o_totalprice,
+       row_number() OVER (ORDER BY {_spot("o_orderkey", 1)}, o_orderkey) <= floor(count(*) OVER () * 0.1::DOUBLE) AS is_test
+FROM orders
+""",
+    "stratified_folds": f"""
+WITH {_VECTORS}
+SELECT doc_id, "Label", {_fold("doc_id", 5)} AS fold FROM vectors
+""",
+    "probability_auc_by_model": f"""
+WITH {_SCORED},
+ranked AS (
+  SELECT model, truth, rank() OVER (PARTITION BY model ORDER BY p1)
+         + (count(*) OVER (PARTITION BY model, p1) - 1) / 2.0::DOUBLE AS r FROM preds),
+sums AS (
+  SELECT model, sum(r) FILTER (WHERE truth) AS s, count(*) FILTER (WHERE truth) AS n_pos, count(*) FILTER (WHERE NOT truth) AS n_neg
+  FROM ranked GROUP BY model)
+SELECT model, round((s - n_pos * (n_pos + 1) / 2.0::DOUBLE) / nullif(n_pos::DOUBLE * n_neg, 0), 9) AS auc, n_pos, n_neg FROM sums
+""",
+    "learner_facts": f"""
+WITH {_VECTORS},
+spots AS (SELECT doc_id, "Label", {_spot("doc_id", 1014)} / 4503599627370496.0::DOUBLE AS spot FROM vectors
+  WHERE "Label" IS NOT NULL AND "Label" <> 2)
+SELECT learner, doc_id, "Label"::DOUBLE AS label, true AS sums_to_one, true AS takes_larger, true AS same_auc
+FROM spots CROSS JOIN (SELECT unnest(['forest', 'boosted_trees']) AS learner) WHERE spot < 1.0::DOUBLE - 0.8::DOUBLE
+""",
+    "fold_predictions": f"""
+WITH {_VECTORS},
+folded AS (SELECT doc_id, "Label"::DOUBLE AS label, {_fold("doc_id", 3)} AS fold FROM vectors WHERE "Label" IS NOT NULL AND "Label" <> 2)
+SELECT setting, fold, doc_id, label, true AS is_probability FROM folded CROSS JOIN (SELECT unnest([0, 1])::INTEGER AS setting)
 """,
     "chronological_split": """
 SELECT o_orderdate AS "Time", o_orderkey, round(o_totalprice, 9) AS o_totalprice,

@@ -338,14 +338,21 @@ def null_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hash_split(spark: SparkSession, folder: str) -> DataFrame:
-    rows = splits.hash_split(data.table(spark, folder, "orders"), ["o_orderkey"], {"test": 0.2, "train": 0.8})
-    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("orders"))
+    orders = data.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return splits.hash_split(orders, ["o_orderkey"], {"test": 0.2, "valid": 0.1, "train": 0.7})
 
 
 @query
 def shuffled_split(spark: SparkSession, folder: str) -> DataFrame:
-    rows = splits.shuffled_split(data.table(spark, folder, "orders"), ["o_orderkey"], 0.1)
-    return rows.groupBy("is_test").agg(F.count("*").alias("rows"))
+    orders = data.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return splits.shuffled_split(orders, ["o_orderkey"], 0.1)
+
+
+@query
+def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by label, unlabelled ones as a class of their own."""
+    vectors = data.document_vectors(spark, folder).select("doc_id", "Label")
+    return splits.stratified_folds(vectors, ["doc_id"], "Label", 5)
 
 
 @query
@@ -370,6 +377,11 @@ def confident_auc(spark: SparkSession, folder: str) -> DataFrame:
     return thresholds.confident_auc(data.predictions(spark, folder), 0.6)
 
 
+@query
+def probability_auc_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    return thresholds.probability_auc(data.predictions(spark, folder), ["model"])
+
+
 @query
 def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return thresholds.threshold_sweep(data.predictions(spark, folder))
@@ -433,6 +445,49 @@ def rf_grid_search(spark: SparkSession, folder: str) -> DataFrame:
     return forest.grid_search(stored, GRID_FEATURES, ["doc_id"], features_per_split=(1, 3, 5))[0]
 
 
+#: Small settings of each learner, for the queries about all of them.
+LEARNER_SETTINGS = {"forest": {"numTrees": 5, "seed": 1}, "boosted_trees": {"maxIter": 3, "seed": 1}}
+
+
+@query
+def learner_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the test predictions of every learner, whatever its trees: probabilities, class, exact AUC of the class."""
+    train, test = _train_and_test(spark, folder)
+
+    def facts(name: str, learner: forest.Learner) -> DataFrame:
+        model = forest.fit(train, FEATURES, learner=learner, **LEARNER_SETTINGS[name])
+        scored = tables.write_table(forest.predict(model, test).drop("split"), shared_folder(spark))
+        closed, ranked = thresholds.confident_auc(scored).first()["auc"], forest.hard_auc(scored)
+        return scored.select(
+            F.lit(name).alias("learner"),
+            "doc_id",
+            "label",
+            (F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("sums_to_one"),
+            (F.col("predicted") == (F.col("p1") > F.col("p0")).cast("double")).alias("takes_larger"),
+            F.lit(abs(closed - ranked) < 1e-9).alias("same_auc"),
+        )
+
+    return reduce(DataFrame.unionByName, (facts(n, make) for n, make in forest.LEARNERS.items()))
+
+
+@query
+def fold_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document is predicted once per setting, by the model fitted without its fold."""
+    rows = _stored_model_rows(spark, folder)
+    settings = [{"maxIter": 1, "seed": 1}, {"maxIter": 2, "seed": 1}]
+    found = forest.cross_predictions(
+        rows, FEATURES, ["doc_id"], learner=forest.boosted_trees, folds=3, settings=settings
+    )
+    return found.select("setting", "fold", "doc_id", "label", F.col("p1").between(0.0, 1.0).alias("is_probability"))
+
+
+@query
+def learner_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid of a boosted learner: two depths by two numbers of trees."""
+    choices = {"maxDepth": [1, 3], "maxIter": [2, 4]}
+    return forest.search(_stored_model_rows(spark, folder), FEATURES, ["doc_id"], choices, learner=forest.boosted_trees, seed=1)[0]
+
+
 @query
 def rf_importances(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _train_and_test(spark, folder)
