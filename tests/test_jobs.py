@@ -3,6 +3,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tonetape.operators import bins
@@ -182,6 +183,47 @@ def test_a_failing_day_doesnt_stop_the_others(spark, logs):
     report = jobs.daily_bins(spark, str(logs / "logs"), str(logs / "list.csv"), FRIDAY, TUESDAY, out, spread=3).collect()
     assert {str(r.day): r.failed is None for r in report} == {"2016-03-04": True, "2016-03-07": True, "2016-03-08": False}
     assert bins_of(spark, out) == [("2016-03-04", "6"), ("2016-03-07", "5")]
+    (failed,) = (r.failed for r in report if r.failed)
+    assert "EOFException" in failed and "20160308/part-0.log.gz" in failed and "An error occurred" not in failed
+
+
+def test_a_day_that_fails_keeps_what_it_had(spark, logs):
+    landed, out = str(logs / "landed"), str(logs / "out")
+    run = lambda: jobs.daily_bins(spark, str(logs / "logs"), str(logs / "list.csv"), FRIDAY, TUESDAY, out, landed=landed)
+    run()
+    whole = gzip.compress("\n".join(json.dumps(event(7, m, 0.5)) for m in range(3000)).encode())
+    (logs / "logs" / "20160307" / "part-1.log.gz").write_bytes(whole[: len(whole) // 2])
+    (logs / "logs" / "20160304" / "part-0.log").write_text("\n".join(json.dumps(event(4, m, 0.1)) for m in range(8)))
+    report = {str(r.day): (r.rows, r.failed is None) for r in run().collect()}
+    assert report == {"2016-03-04": (8, True), "2016-03-07": (0, False), "2016-03-08": (0, True)}
+    assert bins_of(spark, out) == [("2016-03-04", "8"), ("2016-03-07", "5")]
+    assert event_source.read_landed(spark, landed, FRIDAY, TUESDAY).groupBy("day").count().count() == 2
+
+
+def test_report_needs_no_scan_of_the_events(spark, logs):
+    (logs / "logs" / "20160304" / "part-1.log").write_text("{broken\n")
+    report = jobs.daily_bins(spark, str(logs / "logs"), str(logs / "list.csv"), FRIDAY, TUESDAY, str(logs / "out"))
+    assert "Scan parquet" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {str(r.day): (r.rows, r.bad_lines) for r in report.collect()}["2016-03-04"] == (8, 1)
+    slim = jobs.slim_days(spark, str(logs / "logs"), FRIDAY, TUESDAY, str(logs / "slim"))
+    assert {str(r.day): (r.rows, r.bad_lines, r.skipped) for r in slim.collect()} == {
+        "2016-03-04": (8, 1, False),
+        "2016-03-05": (1, 0, False),
+        "2016-03-06": (0, 0, True),
+        "2016-03-07": (7, 0, False),
+        "2016-03-08": (0, 0, True),
+    }
+
+
+def test_manifest_counts_and_even_files(spark, logs):
+    (logs / "logs" / "20160304" / "part-1.log").write_text("{broken\n" + json.dumps(event(4, 1, 0.5)))
+    names = [("20160304/part-0.log", "a"), ("20160304/part-1.log", "a"), ("20160307/part-0.log", "b")]
+    seen = Observation()
+    jobs.clean_manifest(spark, str(logs / "logs"), names, str(logs / "flat"), seen=seen)
+    assert seen.get == {"rows": 16, "bad_lines": 1}
+    sizes = {r["source"]: r.bytes for r in event_source.manifest_sizes(spark, str(logs / "logs"), names).groupBy("source").agg(F.sum("bytes").alias("bytes")).collect()}
+    assert sizes["b"] == (logs / "logs" / "20160307" / "part-0.log").stat().st_size
+    assert all(len(list((logs / "flat" / f"source={s}").glob("part-*"))) == 1 for s in "ab")
 
 
 def test_landing_keeps_other_days_on_any_session(spark, logs):

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Iterable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tonetape.functions import clock
@@ -16,6 +16,7 @@ from tonetape.schemas import DEVICE_TYPES, EVENT_TYPES
 from tonetape.session import shared_folder
 from tonetape.sources import events as event_source
 from tonetape.sources import tables
+from tonetape.sources.days import counts_of, observed, restore_days
 
 
 def clean_events(
@@ -65,10 +66,11 @@ def daily_bins(
 ) -> DataFrame:
     """Summarise a range of day folders and write CSV per day; returns the report of days read.
 
-    The logs are parsed once and landed as Parquet by day; the summary and the report read that
-    copy. A folder's rows are summarised by themselves, as one run per day would, also late ones.
-    ``settings`` (width, threshold and so on) go to the rule. A day whose files can't be read is left
-    out and reported with its reason in ``failed``. Days written before lose their old bins.
+    The logs are parsed once and landed as Parquet by day; the summary reads that copy, and the report
+    is counted while it is written. A folder's rows are summarised by themselves, as one run per day would,
+    also late ones. ``settings`` (width, threshold and so on) go to the rule. A day whose files can't be read
+    is reported with its reason in ``failed`` and keeps what an earlier run landed and summarised; the other
+    days lose their old bins when the new ones are complete.
     """
     landed = landed or shared_folder(spark)
     days = list(clock.weekdays(first, last, weekends=False))
@@ -77,12 +79,13 @@ def daily_bins(
         raw = event_source.read_days(spark, root, start, end, bad_lines=True, spread=spread)
         return raw.select("day", "standardTimestamp", "mappedEvent", "companies", event_source.BAD_LINE)
 
-    failed = event_source.land_each_day(spark, read, landed, days)
-    stored = event_source.read_landed(spark, landed, first, last, read(first, last).schema)
+    told = event_source.land_range(spark, read, landed, days)
+    good = [d for d in days if not isinstance(told[d], str)]
+    stored = event_source.read_landed(spark, landed, first, last, read(first, last).schema).filter(F.col("day").isin(good))
     cleaned = clean_events(stored, tables.read_ticker_list(spark, ticker_list), keep=("day",))
-    tables.write_day_csv(DAILY_RULES[rule](cleaned, **settings), target, one_file=True, days=days)
-    reasons = spark.createDataFrame(list(failed.items()), "day date, failed string")
-    return event_source.day_report(stored, first, last).join(reasons, "day", "left")
+    restore_days(spark, target)
+    tables.write_day_csv(DAILY_RULES[rule](cleaned, **settings), target, one_file=True, days=good)
+    return event_source.range_report(spark, told)
 
 
 def labelled_returns(
@@ -125,12 +128,20 @@ def model_rows(
     return returns.lag_delta_features(tables.write_table(merged, shared_folder(sentiment.sparkSession)))
 
 
-def slim_days(spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str, *, spread: int | None = None) -> None:
-    """Stamp, score and RIC of every day of the range, weekends too, as bzip2 CSV without a header."""
-    raw = event_source.read_days(spark, root, first, last, weekends=True, spread=spread)
-    slim = companies.slim_companies(raw, keep=("day",))
+def slim_days(
+    spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str, *, spread: int | None = None
+) -> DataFrame:
+    """Stamp, score and RIC of every day of the range, weekends too, as bzip2 CSV without a header.
+
+    Returns rows and unreadable lines per day, counted while the logs are read for the output.
+    """
     days = list(clock.weekdays(first, last, weekends=True))
+    raw = event_source.read_days(spark, root, first, last, weekends=True, spread=spread, bad_lines=True)
+    rows, seen = observed(raw, days, event_source.BAD_LINE)
+    slim = companies.slim_companies(rows, keep=("day",))
+    restore_days(spark, target)
     tables.write_day_csv(slim, target, header=False, compression="bzip2", days=days)
+    return event_source.range_report(spark, counts_of(seen, days))
 
 
 def statement_sets(
@@ -179,6 +190,16 @@ def clean_manifest(
     zone: str = "America/Los_Angeles",
     *,
     spread: int | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """The flat table of all listed files, written by output name; returns the stored copy."""
-    return tables.write_table(local_clean(event_source.read_manifest(spark, root, names, spread=spread), zone), target, by=("source",))
+    """The flat table of all listed files, written by output name in files of even size; returns the stored copy.
+
+    ``seen`` gets the ``rows`` and ``bad_lines`` that were read on the way.
+    """
+    pairs = list(names)
+    raw = event_source.read_manifest(spark, root, pairs, spread=spread, bad_lines=True)
+    if seen is not None:
+        raw = raw.observe(seen, F.count("*").alias("rows"), F.count(event_source.BAD_LINE).alias("bad_lines"))
+    sizes = event_source.manifest_sizes(spark, root, pairs)
+    flat = local_clean(raw.drop(event_source.BAD_LINE), zone)
+    return tables.write_even(flat, target, "source", sizes)

@@ -419,6 +419,31 @@ FROM companies WHERE tick IS NOT NULL AND score IS NOT NULL
     "parquet_roundtrip": """
 SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 9) AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders
+""",
+    "day_folders": """
+WITH logs AS (
+  SELECT ts::DATE AS day, day(ts) AS d, hour(ts) AS h, event_type, "value" AS score, event_id,
+         time_bucket(INTERVAL 6 HOUR, date_trunc('minute', ts), TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS "TimeInterval"
+  FROM events WHERE isodow(ts::DATE) < 6),
+left_over AS (SELECT * FROM logs WHERE d <> 16 AND (d % 2 = 1 OR h < 12)),
+told AS (SELECT day, CASE WHEN d = 15 THEN 0 ELSE count(*) END AS rows_read, d = 15 AS has_failed FROM left_over GROUP BY day, d)
+SELECT day, "TimeInterval", event_type AS "Ticker", round(avg(score), 9) AS sentiment_mean, count(score) AS sentiment_count,
+       rows_read, has_failed
+FROM left_over JOIN told USING (day) WHERE event_type <> 'signup'
+GROUP BY day, "TimeInterval", event_type, rows_read, has_failed HAVING count(score) >= 5
+""",
+    "manifest_clean": """
+SELECT source, event_id::VARCHAR AS stid, event_type || '.N' AS companies_ric, round("value", 9) AS companies_sentiment_score,
+       'u' || user_id || '.example.org' AS domain
+FROM (SELECT event_type AS source, * FROM events UNION ALL SELECT 'twice', * FROM events WHERE event_type = 'click')
+""",
+    "stored_inputs": """
+WITH sums AS (
+  SELECT l_shipdate, l_linestatus,
+         sum(CAST(round(l_tax * 100) AS BIGINT)) - sum(CAST(round(l_discount * 100) AS BIGINT)) AS cents
+  FROM lineitem GROUP BY ALL)
+SELECT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "Lagged_Time", l_linestatus AS "Ticker", (cents::DOUBLE / 100)::VARCHAR AS "Return"
+FROM sums WHERE l_linestatus IN (SELECT o_orderstatus FROM orders)
 """,
     "text_lines": f"""
 WITH {_VECTORS} SELECT doc_id || ',' || coalesce(CAST("Label" AS VARCHAR), 'None') AS line FROM vectors

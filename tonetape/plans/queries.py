@@ -509,6 +509,61 @@ def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.clean_events(event_source.read_events(spark, path, spread=int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _write_logs(spark: SparkSession, logs: DataFrame, path: str) -> None:
+    """One folder of JSON lines per day, or per other name in ``folder``."""
+    tables.write_day_folders(logs, path, "folder")
+
+
+@query
+def day_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins of all day folders, after a second delivery in which half the days shrink, one goes and one can't be read."""
+    path, landed, target, listed = (shared_folder(spark) for _ in range(4))
+    logs = tables.write_table(data.event_logs(spark, folder), shared_folder(spark))
+    kinds = logs.select("mappedEvent").distinct().filter("mappedEvent <> 'signup'")
+    tables.write_csv(kinds, listed, header=False)
+    first, last = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
+
+    def run(root: str) -> DataFrame:
+        return jobs.daily_bins(spark, root, listed, first, last, target, landed=landed, width="6 hours")
+
+    _write_logs(spark, logs, f"{path}/one")
+    run(f"{path}/one")
+    day, morning = F.col("folder").substr(7, 2).cast("int"), F.col("standardTimestamp").substr(12, 2) < "12"
+    _write_logs(spark, logs.filter((day != 16) & ((day % 2 == 1) | morning)), f"{path}/two")
+    # A gzip file that ends half-way: the day's folder can't be read as a whole.
+    broken = spark.createDataFrame([(bytearray(b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\xab"),)], "content binary")
+    tables.write_file(broken, f"{path}/two/20240115/broken.log.gz")
+    report = run(f"{path}/two")
+    schema = "TimeInterval timestamp, Ticker string, sentiment_mean double, sentiment_std double, sentiment_count long"
+    found = spark.read.schema(f"{schema}, day date").csv(target, header=True, timestampFormat=tables.STAMP_FORMAT)
+    told = report.select("day", F.col("rows").alias("rows_read"), F.col("failed").isNotNull().alias("has_failed"))
+    return found.select("day", "TimeInterval", "Ticker", "sentiment_mean", "sentiment_count").join(told, "day")
+
+
+@query
+def manifest_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Log files with a space and a plus sign in their names, one of them listed under two names, cleaned by output name."""
+    path, target = shared_folder(spark), shared_folder(spark)
+    logs = data.event_logs(spark, folder).drop("folder").withColumn("folder", F.concat(F.lit("part 1+"), F.col("mappedEvent")))
+    _write_logs(spark, logs, path)
+    sizes = event_source.file_sizes(spark, f"{path}/*").select("folder", F.element_at(F.split("file", "/"), F.lit(-1)).alias("file"))
+    names = [(f"{r['folder']}/{r['file']}", r["folder"].split("+")[1]) for r in sizes.collect()]  # one row per written file
+    names += [(file, "twice") for file, name in names if name == "click"]
+    flat = jobs.clean_manifest(spark, path, names, target)
+    return flat.select("source", "stid", "companies_ric", "companies_sentiment_score", "domain")
+
+
+@query
+def stored_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticker list without a header and returns as text, each written as gzip CSV and read in its own schema, joined."""
+    listed, stock = shared_folder(spark), shared_folder(spark)
+    statuses = data.table(spark, folder, "orders").select("o_orderstatus").distinct()
+    tables.write_csv(statuses, listed, header=False, compression="gzip")
+    tables.write_csv(data.stock_rows(spark, folder), stock, compression="gzip")
+    rows = tables.read_returns(spark, stock).withColumnRenamed("variable", "Ticker")
+    return companies.keep_listed(rows, tables.read_ticker_list(spark, listed))
+
+
 @query
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Bin sentiment written as bzip2 CSV with header and read in its fixed schema."""

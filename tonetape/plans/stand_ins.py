@@ -71,6 +71,24 @@ def share_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def event_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as raw log lines with the day of their folder: one company each, named by the event type."""
+    company = F.struct(
+        F.lit("1").alias("count"),
+        F.concat("event_type", F.lit(".N")).alias("ric"),
+        F.lit("pos").alias("sentiment"),
+        F.col("value").cast("string").alias("sentiment_score"),
+    )
+    return table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("stid"),
+        F.concat(F.lit("https://u"), F.col("user_id"), F.lit(".example.org/x")).alias("url"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("standardTimestamp"),
+        F.col("event_type").alias("mappedEvent"),
+        F.array(company).alias("companies"),
+        F.date_format("ts", "yyyyMMdd").alias("folder"),
+    )
+
+
 def domain_pages(spark: SparkSession, folder: str) -> DataFrame:
     """``pages`` with the host as domain; pages reached by a query string have no score."""
     pages = table(spark, folder, "pages")
