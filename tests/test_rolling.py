@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tonetape.operators import rolling
 from tonetape.operators.rolling import rolling_weighted_sentiment
 
 START = dt.datetime(2016, 3, 8)
@@ -72,3 +73,27 @@ def test_equals_brute_force(frame, seed):
         row = found[key]
         assert (row.sentiment_mean, row.sentiment_std) == pytest.approx(values[:2])
         assert (row.sentiment_count, row.event_share_count) == values[2:]
+
+
+@pytest.mark.parametrize("skip_times", [0, 3, 25])
+def test_step_by_step_equals_one_run(frame, skip_times):
+    """Also at times at which a ticker has no row, over gaps, and where a step has few times."""
+    draw = random.Random(6)
+    start = dt.datetime(2016, 3, 7)
+    cells = []
+    for day in range(6):
+        for _ in range((14, 2, 30, 0, 9, 20)[day]):
+            stamp = start + dt.timedelta(days=day, minutes=15 * draw.randint(0, 95))
+            cells.append((stamp, draw.choice("ABC"), draw.random(), draw.random(), draw.randint(1, 9), draw.randint(0, 4)))
+    rows = frame(cells, SCHEMA)
+    settings = {"lookback": "20 hours", "skip_times": skip_times}
+    whole = rolling.rolling_weighted_sentiment(rows, **settings)
+    tail, seen, found = None, 0, []
+    for day in range(6):
+        ends = [start + dt.timedelta(days=day), start + dt.timedelta(days=day + 1)]
+        new = frame([c for c in cells if ends[0] <= c[0] < ends[1]], SCHEMA)
+        rolled, tail, seen = rolling.roll_next(tail, seen, new, **settings)
+        found += rolled.collect()
+        tail = frame([tuple(r) for r in tail.collect()], SCHEMA)
+    rounded = lambda rs: sorted((r.Time, r.Ticker, *(None if v is None else round(v, 9) for v in r[2:])) for r in rs)
+    assert rounded(found) == rounded(whole.collect())

@@ -85,6 +85,28 @@ def rolling_weighted_sentiment(
     )
 
 
+def roll_next(
+    tail: DataFrame | None, seen_times: int, new: DataFrame, *, time: str = "Time", lookback: str = "10 hours", skip_times: int = 40, **settings
+) -> tuple[DataFrame, DataFrame, int]:
+    """The rolling rows of new data alone, the tail to keep for the next, and how many times were seen by then.
+
+    ``tail`` is what the step before kept: the rows of one look-back up to its last time. ``new`` must be later
+    than all of it. So a day is rolled without reading history, and day by day gives the rows of one run over
+    all. ``skip_times`` counts from the first step. Three numbers come to the driver; store the tail, as the
+    next step reads it three times.
+    """
+    rows = new if tail is None else tail.unionByName(new)
+    timed = lambda r: r.filter(F.col(time).isNotNull())
+    at = F.unix_micros(time)
+    count, last = timed(new).agg(F.count_distinct(time), F.max(at)).first()
+    before = 0 if tail is None else timed(tail).agg(F.count_distinct(time)).first()[0]
+    rolled = rolling_weighted_sentiment(
+        rows, time=time, lookback=lookback, skip_times=before + max(0, skip_times - seen_times), **settings
+    )
+    kept = rows if last is None else timed(rows).filter(at > F.lit(last - micros(lookback)))
+    return rolled, kept, seen_times + count
+
+
 def _numeric(rows: DataFrame, keys: tuple[str, ...]) -> list[str]:
     return [f.name for f in rows.schema if f.name not in keys and isinstance(f.dataType, T.NumericType)]
 

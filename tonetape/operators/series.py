@@ -22,7 +22,8 @@ def with_position(
 
     Rows are counted per (key, block of time); only these counts are summed up along the key, and
     rows are numbered inside their block. With one row per key and minute, a day's block holds at
-    most 1440 rows, and a key has one count per day. Rows without a time or a key go.
+    most 1440 rows, and a key has one count per day. Rows of one key and time are ordered by a hash of the
+    whole row, so that the layout of the data has no say. Rows without a time or a key go.
     """
     blocked = rows.withColumn("_block", floor_div(F.unix_micros(time), micros(block)))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -31,7 +32,7 @@ def with_position(
         .agg(F.count("*").alias("_rows"))
         .select(*keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(time)
+    inside = Window.partitionBy(*keys, "_block").orderBy(time, F.xxhash64(*rows.columns))
     return (
         blocked.join(starts, [*keys, "_block"])
         .withColumn(into, F.col("_start") + F.row_number().over(inside) - 1)

@@ -216,6 +216,9 @@ SELECT 'is_domain_' || label AS dummy, count(*) AS pages FROM parts JOIN top USI
 WITH {_PAGES},
 last AS (SELECT host, label FROM parts GROUP BY ALL ORDER BY host DESC LIMIT 20)
 SELECT label, max(host) AS "domain" FROM last WHERE label IS NOT NULL GROUP BY label
+""",
+    "top_domains_by_summary": """
+SELECT 'www.s' || l_suppkey || '.org' AS "refDomain", count(*) AS "count" FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100
 """,
     "json_flatten": """
 SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events
@@ -449,3 +452,4 @@ FROM sums WHERE l_linestatus IN (SELECT o_orderstatus FROM orders)
 WITH {_VECTORS} SELECT doc_id || ',' || coalesce(CAST("Label" AS VARCHAR), 'None') AS line FROM vectors
 """,
 }
+SQL["rolled_step_by_step"] = SQL["rolling_weighted_sentiment"]

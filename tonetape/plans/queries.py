@@ -18,6 +18,7 @@ from tonetape.operators import (
     dummies,
     forest,
     frames,
+    heavy,
     returns,
     rolling,
     splits,
@@ -123,6 +124,20 @@ def rolling_weighted_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     return rolling.rolling_weighted_sentiment(_stored_sentiment(spark, folder), lookback="10 days")
 
 
+@query
+def rolled_step_by_step(spark: SparkSession, folder: str) -> DataFrame:
+    """The rolling average year by year, each step reading its own rows and the tail that the one before kept."""
+    stored = _stored_sentiment(spark, folder)
+    first, last = stored.select(F.year(F.min("Time")), F.year(F.max("Time"))).first()
+    tail, seen, found = None, 0, []
+    for year in range(first, last + 1):
+        new = stored.filter((F.col("Time") >= f"{year}-01-01") & (F.col("Time") < f"{year + 1}-01-01"))
+        rolled, kept, seen = rolling.roll_next(tail, seen, new, lookback="10 days")
+        tail = tables.write_table(kept, shared_folder(spark))
+        found.append(tables.write_table(rolled, shared_folder(spark)))
+    return reduce(DataFrame.unionByName, found)
+
+
 # Cleaning
 
 
@@ -174,6 +189,15 @@ def top_domains_natural_order(spark: SparkSession, folder: str) -> DataFrame:
     return dummies.natural_top_labels(data.domain_pages(spark, folder), 20, part=-3)
 
 
+@query
+def top_domains_by_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The hundred most frequent referrers over all days, from one summary per day and a recount of the candidates."""
+    events = data.share_events(spark, folder).select(F.to_date("standardTimestamp").alias("day"), "refDomain")
+    stored = tables.write_table(events, shared_folder(spark))
+    held = tables.write_table(heavy.summaries(stored, "refDomain"), shared_folder(spark))
+    return heavy.top_values(stored, "refDomain", 100, held)[0]
+
+
 @query
 def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return data.table(spark, folder, "events").select(
