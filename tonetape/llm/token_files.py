@@ -12,7 +12,9 @@ at ``BLOCK_IDS`` ids. What lies before a block is summed from the blocks of earl
 per partition) and the earlier blocks of its own, so no list of documents goes through one task.
 
 Defined results: a null text counts as empty and has the end id alone; a null doc_id comes first; rows
-with one id are ordered by their text; an empty table gives an empty dataset.
+with one id are ordered by their text; the string of a special token gives its id, as in the library; texts
+are taken whole, however long; an empty table gives an empty dataset; other columns are left aside whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,66 +115,64 @@ class Tokens:
     The vocabulary's pipeline drops white space and looks at nothing beyond it, so the ids of a text are
     those of its words one after the other, and each distinct word is encoded once per worker. A word of
     plain letters, digits and signs is put into lower case, cut by the pattern of the file and handed to
-    the library's model; any other word goes through the library's whole pipeline.
+    the library's model; any other word, such as one that holds the string of a special token, goes through
+    the library's whole pipeline. Words are told apart and looked up per batch in Arrow's own tables; only
+    the distinct ones of a batch become Python strings.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         split = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split)
         self.wide = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.wide.itemsize == 2 else "I"
         self.letters = _byte_letters()
+        self.code = "H" if self.wide.itemsize == 2 else "I"
         #: Latin letters that keep their place under normal form C, ASCII digits and signs.
         self.plain = re.compile("[!-~¡-¬®-įĲ-ž]+").fullmatch
+        #: Strings that the library takes as one id wherever they stand.
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]) or "(?!)").search
         self.words = Recent(self._of_words)
-        self.parts = Recent(self._of_parts)
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        tokenize, letters = self.model.tokenize, self.letters
-        out = []
-        for part in parts:
-            ids = [t.id for t in tokenize(part.encode().decode("latin-1").translate(letters))]
-            out.append(np.array(ids, self.wide).tobytes())
-        return out
 
-    def _of_words(self, words: list[bytes]) -> list[bytes]:
-        cut, odd = [], {}
+    def _ids(self, part: str) -> bytes:
+        """Ids of a cut and lower-case part by the library's model."""
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        out, ids = [], self._ids
         for word in words:
-            text = word.decode()
-            if self.plain(text) and "İ" not in text:
-                text = unicodedata.normalize("NFC", text).lower()
-                if text.isalpha():
-                    cut.append([text])
-                elif text[:-1].isalpha() and text[-1] in ".,;:!?":
-                    cut.append([text[:-1], text[-1]])
-                else:
-                    cut.append(self.pattern.findall(text))
+            if word.isascii() and word.isalpha():
+                out.append(ids(word.lower()))
+            elif self.plain(word) and "İ" not in word and not self.special(word):
+                word = unicodedata.normalize("NFC", word).lower()
+                out.append(ids(word) if word.isalpha() else b"".join(map(ids, self.pattern.findall(word))))
             else:
-                odd[len(cut)] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
-                cut.append([])
-        flat = self.parts.values([p for ps in cut for p in ps])
-        out, at = [], 0
-        for i, parts in enumerate(cut):
-            out.append(odd[i] if i in odd else b"".join(flat[at : at + len(parts)]))
-            at += len(parts)
+                out.append(array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes())
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts as little-endian integers of the vocabulary's width."""
-        words = [t.split() for t in texts]  # bytes are split at ASCII white space alone
-        values = self.words.values([w for ws in words for w in ws])
-        out, at = [], 0
-        for ws in words:
-            out.append(b"".join(values[at : at + len(ws)]))
-            at += len(ws)
-        return out
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after the other, and how many each text has."""
+        # Lower case and a blank before a last sign make words alike and change no id, but where a special
+        # string counts by its case, or a mark joins another letter in lower case.
+        alike = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,;:!?])(\s|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, r"<\||[\x{0300}-\x{036f}]"), texts, alike))
+        coded = split.flatten().dictionary_encode()
+        values = self.words.values(coded.dictionary.to_pylist())
+        table = np.frombuffer(b"".join(values), self.wide)
+        lengths = np.fromiter(map(len, values), np.int32, len(values)) // self.wide.itemsize
+        starts, which = np.cumsum(lengths, dtype=np.int32) - lengths, coded.indices.to_numpy()
+        sizes = lengths[which]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        # Where each word's ids stand in the table, for every id.
+        place = np.repeat(starts[which] - (ends - sizes), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        last = np.cumsum(pc.list_value_length(split).to_numpy())
+        return table[place], np.diff(np.concatenate([[0], ends])[last], prepend=0)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -194,32 +196,43 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, n_parts: int
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(
-        column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).cast("binary").alias("text")
+        column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).alias("text")
     )
     rows = rows.repartitionByRange(n_parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(path)
-        stop = np.array([end], coder.wide).tobytes()
-        part, block, ids, ends, doc_ids, total = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, block, held, sizes, doc_ids, total = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            return _block(part, block, coder.wide, np.concatenate(held), np.cumsum(sizes), doc_ids)
+
         for batch in batches:
-            for doc_id, made in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += [made, stop]
-                total += len(made) // coder.wide.itemsize + 1
-                ends.append(total)
-                doc_ids.append(doc_id)
+            ids, counts = coder.encode(batch.column(1))
+            names, first, last = batch.column(0).to_pylist(), np.cumsum(counts) - counts, np.cumsum(counts)
+            # Each text's ids are followed by the end.
+            ended = np.insert(ids, last, end)
+            first, last = first + np.arange(len(first)), last + np.arange(1, len(last) + 1)
+            at = 0
+            while at < len(names):
+                room = np.searchsorted(last, first[at] + BLOCK_IDS - total)
+                stop = min(int(room) + 1, len(names))
+                held.append(ended[first[at] : last[stop - 1]])
+                sizes += (last - first)[at:stop].tolist()
+                doc_ids += names[at:stop]
+                total, at = total + len(held[-1]), stop
                 if total >= BLOCK_IDS:
-                    yield _block(part, block, coder.wide, ids, ends, doc_ids)
-                    block, ids, ends, doc_ids, total = block + 1, [], [], [], 0
-        if ends:
-            yield _block(part, block, coder.wide, ids, ends, doc_ids)
+                    yield closed()
+                    block, held, sizes, doc_ids, total = block + 1, [], [], [], 0
+        if sizes:
+            yield closed()
 
     rows.mapInArrow(run, BLOCKS).write.parquet(folder)
 
 
-def _block(part: int, block: int, wide: np.dtype, ids: list[bytes], ends: list[int], doc_ids: list) -> pa.RecordBatch:
-    coded = Ends.of(np.array(ends, np.int64))
-    row = [part, block, len(ends), ends[-1], wide.itemsize, b"".join(ids), coded.low_bits, coded.low, coded.high]
+def _block(part: int, block: int, wide: np.dtype, ids: np.ndarray, ends: np.ndarray, doc_ids: list) -> pa.RecordBatch:
+    coded = Ends.of(ends)
+    row = [part, block, len(ends), int(ends[-1]), wide.itemsize, ids.astype(wide).tobytes(), coded.low_bits, coded.low, coded.high]
     row += [coded.high_bits, coded.ranks.tobytes(), doc_ids]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
     kinds += [pa.int64(), pa.binary(), pa.list_(pa.int64())]
