@@ -35,7 +35,10 @@ HEADLINE = (
     "model_threshold_curves",
 )
 # Fits take many small jobs: they are run after the others.
-ONCE = ("rf_predictions", "rf_report", "rf_importances", "rf_grid_search")
+ONCE = (
+    *("rf_predictions", "rf_report", "rf_importances", "rf_grid_search", "learner_facts", "learner_search", "fold_predictions"),
+    *("event_return_chain", "sentiment_return_chain", "day_folders", "rolled_step_by_step"),
+)
 
 
 def run(spark, name: str, folder: str) -> float:

