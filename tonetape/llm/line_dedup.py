@@ -9,7 +9,8 @@ A block that may go consists of such runs, so each of its lines with words has a
 a run around it. A pair is aligned by patience diff over the whole sequences: equal ends, then lines that are
 unique in both, in their longest common order, then the stretches between them. Runs of aligned lines are
 blocks; a block of ``least_lines`` lines with words, or of ``least_words`` words, is deleted from the later
-text, and so are the other runs that the earlier text holds. All alignments look at the input.
+text. What one alignment in order leaves, such as a passage that comes again, is aligned from its shortest runs
+outwards. All alignments look at the input, and nothing is deleted but what is aligned.
 
 Defined results: a null text counts as empty and stays null if nothing is deleted from it; a null doc_id
 counts as the largest; documents with one id are in the order of a hash of their text, and repeated rows
@@ -99,29 +100,53 @@ def units(words: list[int], least_lines: int, least_words: int) -> list[tuple[in
     return sorted(found)
 
 
-def again(earlier: list[int], later: list[int], words: list[int], least_lines: int, least_words: int) -> set[int]:
-    """Places of the later document in runs that the earlier one has anywhere: what one alignment in order leaves."""
+def alignments(earlier: list[int], later: list[int], words: list[int], least_lines: int, least_words: int) -> Iterator[list[tuple[int, int]]]:
+    """Patience diff of the whole texts, then of what it couldn't align: blocks that come again, stand in another
+    order or have no line that is unique in both.
+
+    There the shortest runs that may be deleted are the anchors: a run that is not aligned as a whole, and that the
+    earlier text holds anywhere, is aligned with its place there, and so are the equal lines before and after it.
+    """
+    pairs = align(earlier, later)
+    yield pairs
+    partner = {j: i for i, j in pairs}
     known = dict(zip(later, words, strict=True))
     there = [known.get(h, 1) for h in earlier]
-    held = {tuple(earlier[i:j]) for i, j in units(there, least_lines, least_words)}
-    return {k for i, j in units(words, least_lines, least_words) if tuple(later[i:j]) in held for k in range(i, j)}
+    held = {tuple(earlier[i:j]): i for i, j in units(there, least_lines, least_words)}
+    for begin, end in units(words, least_lines, least_words):
+        start = partner.get(begin, -end)
+        if all(partner.get(j) == start + j - begin for j in range(begin, end)):
+            continue
+        start = held.get(tuple(later[begin:end]))
+        if start is None:
+            continue
+        run = [(start + i, begin + j) for i, j in align(earlier[start : start + end - begin], later[begin:end])]
+        if not run:
+            continue
+        (i, j), (m, n) = run[0], run[-1]
+        while i and j and earlier[i - 1] == later[j - 1]:
+            i, j = i - 1, j - 1
+            run.insert(0, (i, j))
+        while m + 1 < len(earlier) and n + 1 < len(later) and earlier[m + 1] == later[n + 1]:
+            m, n = m + 1, n + 1
+            run.append((m, n))
+        partner |= {j: i for i, j in run}
+        yield run
 
 
 def deleted(earlier: list[int], later: list[int], words: list[int], least_lines: int, least_words: int) -> list[int]:
-    """Places of the later document that lie in a common block large enough; ``words`` counts per line.
-
-    One alignment finds blocks in order and the wordless lines at their ends; then the blocks that come again, stand
-    in another order or have no line that is unique in both.
-    """
-    out, block, before = [], [], None
-    for i, j in [*align(earlier, later), (-2, -2)]:
-        if before != (i - 1, j - 1):
-            if sum(words[k] > 0 for k in block) >= least_lines or sum(words[k] for k in block) >= least_words:
-                out += block
-            block = []
-        block.append(j)
-        before = (i, j)
-    return sorted(again(earlier, later, words, least_lines, least_words).union(out))
+    """Places of the later document that lie in an aligned block large enough; ``words`` counts per line."""
+    out: set[int] = set()
+    for pairs in alignments(earlier, later, words, least_lines, least_words):
+        block, before = [], None
+        for i, j in [*pairs, (-2, -2)]:
+            if before != (i - 1, j - 1):
+                if sum(words[k] > 0 for k in block) >= least_lines or sum(words[k] for k in block) >= least_words:
+                    out.update(block)
+                block = []
+            block.append(j)
+            before = (i, j)
+    return sorted(out)
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
