@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -133,7 +134,6 @@ def test_quality(docs):
 def test_token_files(spark, docs, folder):
     rows = token_files.op4_token_files(spark, folder).orderBy("start").collect()
     library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
-    library.encode_special_tokens = True
     start = 0
     for row, (_, text) in zip(rows, sorted(((-1 if r[0] is None else r[0]), r[1] or "") for r in ROWS), strict=True):
         ids = [*library.encode(text, add_special_tokens=False).ids, 1]
@@ -141,6 +141,19 @@ def test_token_files(spark, docs, folder):
         start += len(ids)
 
 
+def test_tokens_equal_the_library():
+    """Words as they come in odd texts: special strings, other white space, signs, letters beyond Latin."""
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    library, coder, draw = Tokenizer.from_file(path), token_files.tokens(path), random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "b", "İ", "é", "e\u0301", "\u00a0", "\u2003", " ", "  ", "\n", "\x1c", "\t"]
+    parts += ["don't", "we'll", "x1y22", "!?", "Σς", "字", "🙂", "￼", "’s", "'S", "\u0301", "J\u030c", "T\u0308", "I\u0307", "word,", "end.", "a_b", "3.14", "K", "ǅ"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(3000)]
+    ids, counts = coder.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("steps", [[1], [0, 0, 0], [5, 0, 70000, 1], [3] * 5000, list(range(2000))])
 def test_elias_fano(steps):
     values = np.cumsum(np.array(steps))
@@ -220,6 +233,13 @@ def test_blocks_that_come_again():
     assert line_dedup.deleted([1, 9, 2], [1, 2, 0, 9], [12, 5, 0, 11], 2, 12) == [0]
 
 
+def test_nothing_goes_but_what_is_aligned(monkeypatch):
+    texts = [10, 1, 2, 3, 11], [20, 1, 2, 3, 21, 1, 2, 3, 22]
+    assert line_dedup.deleted(*texts, [5] * 9, 2, 12)
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: [])
+    assert line_dedup.deleted(*texts, [5] * 9, 2, 12) == []
+
+
 def test_line_dedup(docs):
     cleaned = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
     assert cleaned[60] == "" and cleaned[62] is None and cleaned[64] == "  \n\t "
@@ -318,10 +338,10 @@ def test_a_large_bucket_loses_nothing(spark):
     assert all(of[i] == 0 for i in range(150)) and all(of[i] == i for i in range(1000, 1060))
 
 
-@pytest.mark.parametrize(("small", "marks"), [(3, 256), (1, 2)])
-def test_a_common_passage_hides_no_link(spark, monkeypatch, small, marks):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "MARKS", marks)
+@pytest.mark.parametrize(("chunk", "pairs"), [(256, 1 << 17), (2, 5)])
+def test_a_common_passage_hides_no_link(spark, monkeypatch, chunk, pairs):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
     draw = random.Random(3)
     words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(60)]
     passage = draw.choices(words, k=30)
@@ -345,20 +365,45 @@ def test_a_common_passage_hides_no_link(spark, monkeypatch, small, marks):
     assert {r.doc_id: r.first for r in frame.select("doc_id", F.col(f"{found}.doc").alias("first")).collect()} == dict(enumerate(label))
 
 
-def test_links_that_no_bucket_finds(spark):
-    draw = random.Random(8)
-    word = lambda: f"w{draw.randint(0, 10**9)}"
-    rows = []
-    for n in (5, 9, 10, 12, 20, 60, 100):
-        for _ in range(12):
-            text = [word() for _ in range(n)]
+@pytest.mark.parametrize("n", [5, 9, 10, 12, 20, 40, 60, 100, 400])
+def test_sketch_recall_at_the_least_similarity(n):
+    """Pairs at the least similarity meet in a bucket, edits being spread evenly or at random."""
+    draw = random.Random(n)
+    for even in (True, False):
+        texts = []
+        for _ in range(60):
+            text = [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
             near = text[:]
-            for k in range(n // 5):  # spread evenly: the fewest runs survive
-                near[k * 5 + 2] = word()
-            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(near))]
-    frame, _, label = near_dedup.classify(spark.createDataFrame(rows, "doc_id bigint, text string"))
+            for at in (range(2, n, 5) if even else draw.sample(range(n), n // 5)):
+                near[at] = f"x{draw.randint(0, 10**9)}" if at % 5 == 2 or not even else near[at]
+            near = near if edit_distance(text, near) <= n // 5 else text
+            texts += [" ".join(text).encode(), " ".join(near).encode()]
+        _, found, _ = near_dedup.buckets(texts)
+        assert np.mean([bool(set(found[i]) & set(found[i + 1])) for i in range(0, 120, 2)]) >= 0.9
+
+
+def test_texts_of_few_words_and_of_similar_lengths(spark):
+    texts = ["a b c d", "a  b c\td", "a b c e", "", " ", "a", "a b", "b a", " ".join("abcdefghijkl"), " ".join("abcdefghijklm")]
+    texts += [" ".join(f"w{i}" for i in range(n)) for n in (30, 33)] + ["to " * 30000, "to " * 30000 + "go"]
+    frame, _, label = near_dedup.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     found = {r[0]: r[1] for r in frame.select("doc_id", F.col(f"{label}.doc")).collect()}
-    assert found == {i: i - i % 2 for i in range(len(rows))}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10, 11: 10, 12: 12, 13: 12}
+
+
+def test_components_of_chains_and_stars(spark):
+    draw = random.Random(4)
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 230)] + [(300, 301), (301, 300)]
+    links += [tuple(draw.sample(range(400, 460), 2)) for _ in range(45)]
+    least = {n: n for link in links for n in link}
+    for _ in least:
+        for u, v in links:
+            least[u] = least[v] = min(least[u], least[v])
+    found = near_dedup.components(spark.createDataFrame(links, "u bigint, v bigint"))
+    assert {r.node: r.label for r in found.collect()} == least
+
+
+def test_near_dedup_of_nothing(nothing):
+    assert near_dedup.keep_one(nothing).count() == 0 and near_dedup.classes(nothing).count() == 0
 
 
 def test_language(spark):

@@ -1,73 +1,106 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-A document is the multiset of its runs of ``K`` words; a run that comes again gets a label with its
-number, so all are different. Each of ``BANDS`` bands takes the ``TAKEN`` runs of least hash and keeps
-them in the order they have in the text: a bucket. Two documents meet in a bucket with a probability that
-falls with their edit distance, as both the runs and their order must survive. Candidates are verified by
-edit distance over their whole word sequences, computed by bit vectors in a band of the distance that is
-still allowed: similarity is 1 - distance / words of the longer one, and 0.8 or more makes a link.
-
-Equal texts are one node, so copies cost one row each and no pair. In a bucket every node is first held
-against the bucket's first one; linked nodes share a class. Buckets whose nodes are all in one class are
-done. In the others, up to ``SMALL`` nodes, all pairs between different classes are verified.
-
-Buckets miss links, so they only make the classes large early. All links between different classes are then
-found without loss by rare word pairs: an edit changes two pairs of neighbouring words at most, so similar texts
-share one of the rarest two fifths (and one more) of each. All pairs of groups by such a word pair, up to ``SMALL``
-nodes, are listed. Larger groups go on in rounds that take some nodes of the smallest classes and hold them
-against all others of the group, until each is settled. Before texts are fetched, pairs are dropped whose
-word counts in ``SIGNS`` hashed cells differ by more than the edits allowed. No group is dropped or capped.
+A document is the multiset of its runs of ``k`` words; a run that comes again gets a label with its
+number, so all are different. Each band takes the runs of least hash and keeps them in the order they
+have in the text: a bucket. Two documents meet in a bucket with a probability that falls with their edit
+distance, as both the runs and their order must survive. Runs are short, two words, as one edit breaks only
+two of them; a band takes two, and in the shortest texts, where few survive, one (``TIERS``; lengths overlap,
+so that texts of similar length share a tier). Texts under five words can't differ by a word and still be
+similar: their bucket is their words.
+
+Candidates are verified by edit distance over their whole word sequences, computed by bit vectors in a
+band of the distance that is still allowed: similarity is 1 - distance / words of the longer one, and 0.8
+or more makes a link. Equal texts are one node with one number, so copies cost one row each and no pair.
+First every node is held against the least node it meets, in a few rounds that make the classes large.
+Then the buckets whose nodes are of several classes give all their pairs between classes, none left out:
+a bucket is cut into chunks of ``CHUNK`` nodes, each pair of chunks is a group of its own, and a task
+sieves the pairs of a group by length and by word counts in ``SIGNS`` hashed cells before any text is
+fetched. Only pairs that pass are rows. A bucket of any size is so divided; none is dropped or capped.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
-Defined results: a null text counts as empty; equal texts are one class, empty ones too; texts under
-``K`` words have copies but no near ones; a null doc_id counts as the largest; rows alike in id and text
-are one node; an empty table gives an empty result; extra columns are carried along by ``keep_one``.
+Defined results: a null text counts as empty; texts without a word are one class; texts of equal words are
+one class whatever the white space; a null doc_id counts as the largest; rows alike in id and text
+are one node; texts are compared whole, however long; an empty table gives an empty result; extra columns
+are carried along by ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonetape.llm.shared import column, documents, free_names, short_batches, stored
-from tonetape.llm.wordruns import Rolling, mixed, word_hashes
+from tonetape.llm.shared import column, documents, free_names, partitions, short_batches, stored
+from tonetape.llm.wordruns import Rolling, mixed
+from tonetape.session import shared_folder
 
-K = 5
-TAKEN = 2
-BANDS = 24
+#: (least words, words it ends before, words of a run, runs taken, bands): texts with a similarity of 0.8 share a tier.
+TIERS = ((5, 13, 2, 1, 24), (10, 1 << 62, 2, 2, 24))
 SIMILAR = 0.8
-#: Nodes of a group up to which its pairs are listed.
-SMALL = 32
-#: Words of a run by which all nodes meet.
-GRAM = 2
-#: Hashed cells in which such runs are counted to tell rare ones.
-CELLS = 1 << 18
-#: Keys of larger groups that a node carries, so that most pairs are made in one of the groups they share.
-MARKS = 256
+#: Rounds in which nodes are held against the least node they meet.
+ROUNDS = 2
+#: Nodes of a bucket that are held against each other in one group.
+CHUNK = 256
 #: Hashed cells of a node's word counts.
 SIGNS = 128
+#: Pairs that a task holds at once.
+PAIRS = 1 << 17
 LAST = (1 << 63) - 1
-NODE = "struct<doc:bigint,a:bigint,b:bigint>"
 
 
 # --- Sketches -------------------------------------------------------------------------------------
 
 
-def sketches(texts: list[bytes], bands: int = BANDS, k: int = K, taken: int = TAKEN) -> tuple[np.ndarray, np.ndarray]:
-    """(words of each text, (texts, bands) bucket hashes); texts under k words have zeros."""
-    words, ends = word_hashes(texts)
-    sizes = np.diff(ends, prepend=0)
-    out = np.zeros((len(texts), bands), np.int64)
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(2, words) hashes of all words of the texts, and how many each has; each distinct word is hashed once."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2)
+    which = coded.indices.to_numpy()
+    # White space at an end leaves an empty string there.
+    real = np.fromiter(map(len, names), np.int64, len(names))[which] > 0
+    counts = np.concatenate([[0], np.cumsum(real)])[np.cumsum([0, *pc.list_value_length(split).to_pylist()])]
+    return np.ascontiguousarray(table[which[real]].T), np.diff(counts)
+
+
+def buckets(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(words of each text, its buckets, its word counts in SIGNS cells); texts of few words have one bucket, their words."""
+    words, sizes = hashed_words(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    cells = owner * SIGNS + (words[0] & np.uint64(SIGNS - 1)).astype(np.int64)
+    # 255 of a cell at most: more would only make the sieve finer.
+    signs = np.minimum(np.bincount(cells, minlength=len(texts) * SIGNS), 255).astype(np.uint8).reshape(-1, SIGNS)
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for i in np.flatnonzero(sizes < TIERS[0][0]):
+        out[i].append(np.array([xxhash.xxh3_64_intdigest(b" ".join(texts[i].split())) - (1 << 63)]))
+    for number, (least, end, k, taken, bands) in enumerate(TIERS):
+        of_tier = (sizes >= least) & (sizes < end)
+        mine = np.flatnonzero(of_tier)
+        if len(mine):
+            part = words if len(mine) == len(texts) else np.ascontiguousarray(words[:, of_tier[owner]])
+            found = sketches(part, sizes[mine], bands, k, taken)
+            for i, row in zip(mine, found ^ np.int64(number << 60), strict=True):
+                out[i].append(row)
+    return sizes, [np.concatenate(rows) for rows in out], signs
+
+
+def sketches(words: np.ndarray, sizes: np.ndarray, bands: int, k: int, taken: int) -> np.ndarray:
+    """(texts, bands) bucket hashes of texts of so many words each; texts under k words have zeros."""
+    out = np.zeros((len(sizes), bands), np.int64)
     some = np.flatnonzero(sizes >= k)
     if not len(some):
-        return sizes, out
-    owner = np.repeat(np.arange(len(texts)), sizes)
+        return out
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     last = words.shape[1] - k + 1
     at = np.flatnonzero(owner[:last] == owner[k - 1 :])
     owner = owner[at]
@@ -98,7 +131,7 @@ def sketches(texts: list[bytes], bands: int = BANDS, k: int = K, taken: int = TA
         for turn in range(taken):
             bucket = mixed((bucket ^ padded[places[turn]]) * np.uint64(0xA0761D6478BD642F) + np.uint64(turn + 1))
         out[owner[first], band] = bucket.view(np.int64)
-    return sizes, out
+    return out
 
 
 # --- Alignment ------------------------------------------------------------------------------------
@@ -178,27 +211,48 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce(column(docs, "text"), F.lit("")).cast("binary")
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """(node, words, bands) of every document."""
-    frame = docs.select(_node(docs).alias("node"), _text(docs).alias("text"))
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(id, doc, a, b, words, sign, buckets, text) of every distinct text, stored in buckets of the id.
+
+    The id is a hash of the text's 128-bit key; should two keys share one, all are dealt anew by another seed.
+    """
+    node = _node(docs)
+    frame = docs.select(*(node[c].alias(c) for c in ("a", "b", "doc")), _text(docs).alias("text"))
+    one = frame.groupBy("a", "b").agg(F.min(F.struct("doc", "text")).alias("first")).select("a", "b", "first.doc", "first.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, bands = sketches(batch.column(1).to_pylist())
-            flat = pa.array(bands.reshape(-1), pa.int64())
-            offsets = pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["node", "words", "bands"]
-            )
-
-    return frame.mapInArrow(run, f"node {NODE}, words int, bands array<bigint>")
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar."""
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+            texts = batch.column(3).to_pylist()
+            sizes, found, signs = buckets(texts)
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            made = [pa.array(sizes, pa.int32()), pa.array([row.tobytes() for row in signs], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    names = ["a", "b", "doc", "text", "words", "sign", "buckets"]
+    sketched = one.mapInArrow(run, "a bigint, b bigint, doc bigint, text binary, words int, sign binary, buckets array<bigint>")
+    for seed in count():
+        nodes = stored_by(sketched.withColumn("id", F.xxhash64(F.lit(seed), "a", "b")), "id")
+        if nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return nodes
+
+
+def stored_by(frame: DataFrame, key: str) -> DataFrame:
+    """The frame written to the shared folder in sorted buckets of the key: joins on the key don't move its rows."""
+    spark = frame.sparkSession
+    name, n = f"tonetape_{uuid.uuid4().hex}", partitions(spark)
+    writer = frame.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    writer.option("path", shared_folder(spark)).saveAsTable(name)
+    read = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone; the files are the shared folder's
+    return read
+
+
+def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are similar. Pairs move to the stored texts, with one text at most."""
+    left = nodes.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
+    right = nodes.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
+    both = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,110 +260,60 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = pa.array([similar(a, b) is not None for a, b in texts_], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    return both.mapInArrow(run, f"u {NODE}, v {NODE}")
-
-
-def signature(words: np.ndarray) -> bytes:
-    """How many words fall into each of SIGNS cells, 255 at most."""
-    counts = np.bincount((words & np.uint64(SIGNS - 1)).astype(np.int64), minlength=SIGNS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that can be similar by their signatures: an edit takes one word and brings one at most."""
-    left = signs.select(F.col("node").alias("u"), F.col("words").alias("words_u"), F.col("sign").alias("sign_u"))
-    right = signs.select(F.col("node").alias("v"), F.col("words").alias("words_v"), F.col("sign").alias("sign_v"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "words_u", "words_v", "sign_u", "sign_v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIGNS).astype(np.int16) for i in (4, 5))
-            apart = one - two
-            least = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
-            longest = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            yield batch.select(["u", "v"]).filter(pa.array(least <= np.floor(longest * (1 - SIMILAR) + 1e-9)))
-
-    return both.mapInArrow(run, f"u {NODE}, v {NODE}")
+    return both.mapInArrow(run, "u bigint, v bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, for nodes that have links."""
-    edges = stored(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = stored(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label")))
+    """(node, label): the least node of each connected component, for nodes that have links.
+
+    Every node points at its least neighbour, if that is less; pointers are followed to their ends by doubling.
+    Then only links between different ends go on, so a large group of copies is worked on once.
+    """
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label")))
     while True:
-        around = (
-            edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        )
-        closer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        closer = stored(closer)
-        # Jump to the label of the label.
-        ahead = closer.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = stored(closer.join(ahead, "label").select("node", "old", F.least("label", "next").alias("label")))
+        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = stored(labels.join(ahead, "label").select("node", F.col("label").alias("old"), F.col("next").alias("label")))
         labels = jumped.select("node", "label")
         if jumped.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
-
-
-class _Search:
-    """The state of the search for links: candidates' texts, pairs tested so far, classes found."""
-
-    def __init__(self, texts: DataFrame) -> None:
-        self.texts = texts
-        self.signs: DataFrame | None = None
-        self.labels: DataFrame | None = None
-        self.tested: DataFrame | None = None
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """Rows of (bucket, node, ...) with the class of each node."""
-        if self.labels is None:
-            return rows.withColumn("label", F.col("node"))
-        return rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def test(self, pairs: DataFrame) -> None:
-        """Verify the pairs not tested before and join the classes they link."""
-        fresh = pairs.select("u", "v").distinct()
-        if self.tested is not None:
-            fresh = fresh.join(self.tested, ["u", "v"], "left_anti")
-        fresh = stored(fresh)
-        if fresh.isEmpty():
-            return
-        self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
-        if self.signs is not None:
-            fresh = alike(fresh, self.signs)
-        links = stored(verify(fresh, self.texts))
-        if not links.isEmpty():
-            self._join(links)
-
-    def _join(self, links: DataFrame) -> None:
-        """Only classes that a new link joins are worked on; later rounds have few."""
-        if self.labels is None:
-            self.labels = components(links)
-            return
-        ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-        added = ends.join(self.labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-        labels = stored(self.labels.unionByName(added))
-        of_u, of_v = (labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv")
-        between = links.join(of_u, "u").join(of_v, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
-        joined = components(between.where(F.col("u") != F.col("v")))
-        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("least"))
-        self.labels = stored(labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
-
-
-def _open_buckets(search: _Search, rows: DataFrame) -> DataFrame:
-    """The rows of buckets with nodes of several classes: (bucket, node, words, label, n, head...)."""
-    rows = search.labelled(rows)
-    heads = (
-        rows.groupBy("bucket")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.min(F.struct("node", "words", F.col("label").alias("of"))).alias("head"),
-        )
-        .where(F.col("low") != F.col("high"))
-        .select("bucket", "n", "head")
+            break
+    of_u, of_v = (labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv")
+    ends = links.select("u", "v").join(of_u, "u").join(of_v, "v").where(F.col("of_u") != F.col("of_v"))
+    between = stored(ends.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")).distinct())
+    if between.isEmpty():
+        return labels
+    upper = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return stored(labels.join(upper, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes after new links; only classes that a link joins are worked on."""
+    if labels is None:
+        return components(links)
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    added = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    labels = stored(labels.unionByName(added))
+    of_u, of_v = (labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv")
+    between = links.join(of_u, "u").join(of_v, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    met = components(between.where(F.col("u") != F.col("v")))
+    met = met.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return stored(labels.join(met, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+
+
+def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (bucket, id, words, label, n, head) of buckets with nodes of several classes, stored."""
+    if labels is None:
+        rows = rows.withColumn("label", F.col("id"))
+    else:
+        rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.min(F.struct("id", "words", "label")).alias("head"),
     )
-    return rows.join(heads, "bucket")
+    several = stored(several.where(F.col("low") != F.col("high")).select("bucket", "n", "head"))
+    return stored(rows.join(several, "bucket"))
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -317,160 +321,104 @@ def _near_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.ceil(F.greatest(a, b) * F.lit(SIMILAR) - F.lit(1e-9))
 
 
-def _to_heads(rows: DataFrame) -> DataFrame:
-    """Every node against the first of its bucket, unless they share a class."""
-    other = (F.col("label") != F.col("head.of")) & _near_in_size(F.col("words"), F.col("head.words"))
-    one, two = F.col("head.node"), F.col("node")
-    return rows.where(other).select(F.least(one, two).alias("u"), F.greatest(one, two).alias("v"))
-
-
-def _all_pairs(rows: DataFrame, key: str, node: str = "node", label: str = "label") -> DataFrame:
-    """All pairs between classes of groups of at most SMALL nodes."""
-    listed = rows.where(F.col("n") <= SMALL).groupBy(key).agg(F.collect_list(F.struct(node, "words", label)).alias("x"))
-
-    def partner(one: Column, two: Column) -> Column:
-        return (one[label] != two[label]) & (one[node] < two[node]) & _near_in_size(one["words"], two["words"])
-
-    def pairs_of(one: Column) -> Column:
-        others = F.filter("x", lambda two: partner(one, two))
-        return F.transform(others, lambda two: F.struct(one[node].alias("u"), two[node].alias("v")))
-
-    return listed.select(F.explode(F.flatten(F.transform("x", pairs_of))).alias("pair")).select("pair.u", "pair.v")
-
-
-# --- Rare word pairs of all nodes -----------------------------------------------------------------
-
-
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def _grams(text: bytes) -> np.ndarray:
-    """Hashes of the runs of GRAM words."""
-    words, _ = word_hashes([text])
-    return Rolling(words).runs(np.arange(max(0, words.shape[1] - GRAM + 1)), GRAM)[0]
-
-
-def gram_counts(texts: DataFrame) -> np.ndarray:
-    """How often word pairs come up, in CELLS hashed cells: a table of fixed size."""
+def to_heads(rows: DataFrame) -> DataFrame:
+    """(u, v): every node with the least node of another class that heads one of its buckets."""
+    other = (F.col("head.label") != F.col("label")) & _near_in_size(F.col("words"), F.col("head.words"))
+    return rows.where(other).groupBy(F.col("id").alias("v")).agg(F.min("head.id").alias("u"))
+
+
+def all_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of every bucket between classes that can be similar by length and word counts, once each."""
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    signed = rows.select("bucket", "id", "words", "label", parts.alias("parts")).join(nodes.select("id", "sign"), "id")
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    signed = signed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("met")
+    # Within a chunk all pairs are of interest, between two only those across.
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side")
+    met = signed.select(group, "id", "words", "label", "sign", side).repartition("met").sortWithinPartitions("met")
+
+    def sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The pairs of all groups of the rows."""
+        met, ids, words, labels, sides = (batch.column(c).to_numpy() for c in ("met", "id", "words", "label", "side"))
+        signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
+        last = np.searchsorted(met, met, side="right")
+        after = last - np.arange(len(met)) - 1
+        for start, stop in _slices(after):
+            one = np.repeat(np.arange(start, stop), after[start:stop])
+            if not len(one):
+                continue
+            before = np.cumsum(after[start:stop]) - after[start:stop]
+            two = one + 1 + np.arange(len(one)) - np.repeat(before, after[start:stop])
+            longest = np.maximum(words[one], words[two])
+            most = np.floor(longest * (1 - SIMILAR) + 1e-9)
+            good = (labels[one] != labels[two]) & (longest - np.minimum(words[one], words[two]) <= most)
+            good &= (sides[one] != sides[two]) | (sides[one] < 0)
+            one, two, most = one[good], two[good], most[good]
+            apart = signs[one].astype(np.int16) - signs[two]
+            good = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most
+            u, v = np.minimum(ids[one], ids[two])[good], np.maximum(ids[one], ids[two])[good]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        held = None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts += np.bincount(_cells(mixed(_grams(text))), minlength=CELLS)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
-
-    found = texts.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(CELLS, np.int64)
-    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
-
-
-def rarest(text: bytes, counts: np.ndarray) -> np.ndarray:
-    """The word pairs, numbered where they come again, of which similar texts share one."""
-    grams = mixed(_grams(text))
-    size = len(grams) + GRAM - 1
-    grams.sort()
-    begins = np.searchsorted(grams, grams)
-    numbered = mixed(grams + (np.arange(len(grams)) - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.lexsort((numbered, counts[_cells(grams)]))
-    # Each of the edits that are allowed changes GRAM pairs at most.
-    return numbered[order[: int(size * GRAM * (1 - SIMILAR) + 1e-9) + 1]].view(np.int64)
-
-
-def _by_rare(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, of, words, sign, rare) of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts_ = batch.column(3).to_pylist()
-            signs = pa.array([signature(word_hashes([text])[0][0]) for text in texts_], pa.binary())
-            rare = pa.array([rarest(text, counts) for text in texts_], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], signs, rare], ["id", "of", "words", "sign", "rare"])
-
-    return texts.select("id", "of", "words", "text").mapInArrow(run, "id bigint, of bigint, words int, sign binary, rare array<bigint>")
-
-
-def _divided(search: _Search, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes (node, words) met by rare word pairs: (pairs of small groups, rows of larger groups)."""
-    nodes = search.labelled(held).select("node", "words", F.xxhash64("label").alias("of"), F.monotonically_increasing_id().alias("id"))
-    nodes = stored(nodes)
-    found = stored(_by_rare(search.texts.join(nodes, "node"), gram_counts(search.texts)))
-    search.signs = stored(found.select("id", "sign").join(nodes, "id").select("node", "words", "sign"))
-    rows = found.select("id", "of", "words", F.explode("rare").alias("key"))
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("low"), F.max("of").alias("high"))
-    groups = groups.where(F.col("low") != F.col("high")).select("key", "n")
-    met = stored(rows.join(groups, "key"))
-    pairs = _all_pairs(met, "key", "id", "of").distinct()
-    for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("id").alias(end), F.col("node").alias(f"node_{end}")), end)
-    pairs = pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
-    large = met.where(F.col("n") > SMALL).select("id", "key")
-    marks = large.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, MARKS).alias("marks"))
-    further = large.join(nodes.select("id", "node", "words"), "id").join(marks, "id")
-    return pairs, further.select(F.col("key").alias("bucket"), "node", "words", "marks")
-
-
-def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, labels): distinct texts with their first node, and the class of each node that has links."""
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            # The last group may go on in the next batch.
+            met = batch.column("met").to_numpy()
+            whole = int(np.searchsorted(met, met[-1]))
+            yield from sieved(batch.slice(0, whole))
+            held = batch.slice(whole)
+        if held is not None:
+            yield from sieved(held)
+
+    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _slices(after: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows (from, to) with some PAIRS pairs together."""
+    ends = np.cumsum(after)
+    start = 0
+    while start < len(after):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        yield start, stop
+        start = stop
+
+
+def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes, and the class (node, label) of each node that has links."""
     short_batches(docs.sparkSession)
-    sketched = stored(_sketched(docs))
-    nodes = sketched.groupBy("node.a", "node.b").agg(F.min(F.struct("node", "words", "bands")).alias("s")).select("s.*")
-    nodes = stored(nodes)
-    rows = nodes.where(F.col("words") >= K).select("node", "words", F.explode("bands").alias("bucket"))
+    nodes = nodes_of(docs)
+    rows = nodes.select("id", "words", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    rows = stored(rows.join(shared, "bucket").select("bucket", "node", "words"))
-    long = nodes.where(F.col("words") >= K).select("node", "words")
-    texts = docs.select(_node(docs).alias("node"), _text(docs).alias("text"))
-    texts = stored(texts.join(long.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    search = _Search(texts)
-    search.test(_to_heads(_open_buckets(search, rows)))
-    search.test(_all_pairs(_open_buckets(search, rows), "bucket"))
-    pairs, rows = _divided(search, long)
-    rows = stored(rows)
-    search.test(pairs)
-    _settle(search, rows)
-    labels = search.labels
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    return nodes.select("node"), labels
-
-
-def _sized(search: _Search, rows: DataFrame) -> DataFrame:
-    """The rows of buckets with nodes of several classes, with m, the nodes of the class in the bucket."""
-    rows = search.labelled(rows)
-    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
-    some = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > 1).select("bucket")
-    return stored(rows.join(sizes.join(some, "bucket"), ["bucket", "label"]))
-
-
-def _settle(search: _Search, rows: DataFrame) -> None:
-    """Rounds over larger groups: some nodes of the smallest classes of a group against all others, then they go.
-
-    A pair that is known to share a group of a lesser key is left to that group.
-    """
-    taken = SMALL
-    while not rows.isEmpty():
-        left = _sized(search, rows)
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("m", "label", "node"))
-        first = left.select("bucket", "m", "label", "node", "words", "marks").withColumn("turn", turn).where(F.col("turn") <= taken)
-        first = stored(first.select("bucket", F.struct("node", "words", "label", "marks").alias("head")))
-        good = (F.col("head.label") != F.col("label")) & _near_in_size(F.col("head.words"), F.col("words"))
-        least = F.array_min(F.array_intersect("head.marks", "marks"))
-        good &= least.isNull() | (F.col("bucket") <= least)
-        both = left.join(first.withColumnRenamed("bucket", "same"), (F.col("bucket") == F.col("same")) & good)
-        search.test(both.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")))
-        gone = first.select("bucket", F.col("head.node").alias("node"))
-        rows = stored(left.join(gone, ["bucket", "node"], "left_anti").select("bucket", "node", "words", "marks"))
-        taken = min(2 * taken, 8 * SMALL)
+    rows = stored(rows.join(shared, "bucket"))
+    labels = None
+    for _ in range(ROUNDS):
+        rows = open_rows(rows.select("bucket", "id", "words"), labels)
+        links = stored(verify(stored(to_heads(rows)), nodes))
+        if links.isEmpty():
+            break
+        labels = joined(labels, links)
+    links = stored(verify(stored(all_pairs(open_rows(rows.select("bucket", "id", "words"), labels), nodes)), nodes))
+    return nodes, labels if links.isEmpty() else joined(labels, links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per text: (a, b, label), the least node of its class."""
     nodes, labels = find_links(docs)
-    return nodes.join(labels, "node", "left").select("node.a", "node.b", F.coalesce("label", "node").alias("label"))
+    node = F.struct("doc", "a", "b")
+    if labels is None:
+        return nodes.select("a", "b", node.alias("label"))
+    # Classes are small sets of nodes; the rest are classes of their own.
+    in_class = stored(nodes.select("id", "doc", "a", "b").join(labels.withColumnRenamed("node", "id"), "id"))
+    first = stored(in_class.groupBy("label").agg(F.min(node).alias("least")))
+    named = in_class.join(first, "label").select("a", "b", F.col("least").alias("label"))
+    alone = nodes.join(labels.select(F.col("node").alias("id")), "id", "left_anti").select("a", "b", node.alias("label"))
+    return named.unionByName(alone)
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, str, str]:
