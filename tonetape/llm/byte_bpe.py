@@ -8,7 +8,8 @@ yields the same leftmost-minimum order at n log n. Spark deals out the texts; ea
 from its whole text, so nothing is shuffled.
 
 Defined results: a null text counts as empty and has no tokens; ids decode to the UTF-8 bytes of the
-text exactly; rows that repeat are encoded alike; extra columns are carried along.
+text exactly, however long; rows that repeat are encoded alike; a null doc_id stays null; an empty table gives
+an empty result; extra columns are carried along.
 """
 
 from __future__ import annotations

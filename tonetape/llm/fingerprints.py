@@ -15,7 +15,9 @@ range bounds, one per partition, goes to the driver.
 
 Defined results: a null text counts as empty; an empty text has no piece, and two documents without
 pieces are alike (1); rows with one doc_id are ordered by their text; a null doc_id comes last; an only
-document is its own successor; an empty table gives an empty result; extra columns aren't looked at.
+document is its own successor; texts are taken whole, however long; an empty table gives an empty result; extra
+columns aren't looked at. Digests that can't come apart at 64 times the cells that their number asks for, as
+they share all their cells, are compared as sets; the answer is the same.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ documents of a batch at once: stretches of ``CHAIN`` words pass their transfer m
 chain over a whole text costs one pass over positions of a stretch, whatever the text's length.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and if there is nothing to
-learn from; ties go to the first language in code-point order; repeated rows are predicted alike; an empty
-table gives an empty result.
+learn from; ties go to the first language in code-point order; repeated rows are predicted alike; rows without
+a language are predicted and not learned from; a null doc_id is not held out; an empty table gives an empty
+result; extra columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ input. Counts and first documents are minima under partial aggregation, so a pas
 documents is one row per task before the shuffle; no pairs are made.
 
 Defined results: a null text has no words; a null doc_id counts as the largest; rows with one id are not
-repeats of each other, and each is judged against smaller ids; texts under ``WINDOW`` words stay as they
+repeats of each other, and each is judged against smaller ids; texts are taken whole, however long; texts under ``WINDOW`` words stay as they
 are; an empty table gives an empty result; extra columns are carried along by ``remove_repeats``.
 """
 

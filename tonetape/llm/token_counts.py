@@ -9,7 +9,8 @@ tokens is stored, and a document's count is the sum over its pre-tokens. Spark d
 nothing is shuffled.
 
 Defined results: a null or empty text has no tokens; every byte is a token, so every text has a count;
-repeated rows are counted alike; an empty table gives an empty result; extra columns aren't looked at.
+repeated rows are counted alike; a null doc_id stays null; texts are counted whole, however long; an empty
+table gives an empty result; extra columns aren't looked at.
 """
 
 from __future__ import annotations
