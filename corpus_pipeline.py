@@ -48,7 +48,7 @@ STAGES = [
     ("byte-level BPE", token_ids),
 ]
 
-#: SQL can't express alignment of lines nor near copies; tests hold every stage against a plain version.
+#: SQL can't express alignment of lines nor near copies; the tests hold the operators of the stages against plain versions.
 ORACLE_SQL = None
 
 
