@@ -50,8 +50,8 @@ SIMILAR = 0.8
 ROUNDS = 2
 #: Nodes of a bucket that are held against each other in one group.
 CHUNK = 256
-#: Hashed cells of a node's word counts.
-SIGNS = 128
+#: Hashed cells of a node's word counts: with few, words that differ fall together and pairs pass that need not.
+SIGNS = 512
 #: Pairs that a task holds at once.
 PAIRS = 1 << 17
 LAST = (1 << 63) - 1
