@@ -110,6 +110,18 @@ def test_ties_of_all_kinds(frame):
     assert {r.id for r in numbers} == set(range(20))
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_ties_beyond_the_whole_numbers_of_a_double(frame, kind):
+    """The sketch rounds such values; the bracket around the cut must still hold them."""
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    numbers = [-(1 << 63), -(1 << 53) - 1, (1 << 53) + 1, (1 << 62) + 1, (1 << 63) - 1]
+    cells = [(START, c) for c in (names if kind == "string" else numbers)]
+    rows = frame(cells, f"Time timestamp, tie {kind}")
+    for first in range(1, 5):
+        found = splits.chronological_split(rows, ties=("tie",), portion=first / 5).filter("is_train").collect()
+        assert [r.tie for r in sorted(found, key=lambda r: r.tie)] == [c[1] for c in cells[:first]]
+
+
 def test_stratified_folds_are_even(frame):
     cells = [(i, 1 if i in (7, 41) else None if i > 54 else 0) for i in range(60)]
     rows = frame(cells, "id int, y int")

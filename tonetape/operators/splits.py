@@ -5,6 +5,7 @@ Random sides come from a seeded MD5 of the key, which other engines can compute
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 _HASH_BITS = 52  # a double holds the hash exactly
 _LAST = 1 << 62
 _FIRST = -(1 << 63)
+_EXACT = 1 << 53  # below it a double holds every whole number
 #: Relative rank error of the quantile sketch, as its inverse, and how many counts one task may sum up.
 SKETCH, FEW = 10_000, 1 << 20
 #: Cells that a class is dealt out to before its rows are numbered.
@@ -132,7 +134,7 @@ def _timed(time: str) -> _Key:
         F.coalesce(F.unix_micros(time), F.lit(_LAST)),
         lambda v: column.isNotNull() if v == _LAST else column < stamp(v),
         lambda v: column.isNull() if v == _LAST else column == stamp(v),
-        lambda v: F.lit(True) if v == _LAST else column <= stamp(v),
+        lambda v: F.lit(True) if v >= _LAST else column <= stamp(v),
         lambda v: column.isNull() if v == _LAST else (column >= stamp(v)) | column.isNull(),
     )
 
@@ -178,6 +180,15 @@ def _cut(rows: DataFrame, keys: list[_Key], order: Iterable[str], portion: float
     return _First(sure, same, reach), _Last(left, list(order))
 
 
+def _under(end: int) -> int:
+    """No more than any whole number that a sketch, which holds doubles, gives back as ``end``."""
+    return end if abs(end) < _EXACT else max(end - int(math.ulp(float(end))), _FIRST)
+
+
+def _over(end: int) -> int:
+    return -_under(-end) if end < 0 else min(end if end < _EXACT else end + int(math.ulp(float(end))), -_FIRST - 1)
+
+
 def _value_at(part: DataFrame, key: _Key, share: float, rank: int | None) -> tuple[int | None, int, int]:
     """The value of the row of that rank (or share), how many rows of the value come before it, and how many it has."""
     rows = part.withColumn("_at", key.place)
@@ -189,8 +200,9 @@ def _value_at(part: DataFrame, key: _Key, share: float, rank: int | None) -> tup
             return None, 0, 0
         if rank is None:
             rank = int(n * share)
-        low, high = seen["ends"]
-        if low == high or n * 4 / SKETCH <= FEW:
+        (low, high), one = seen["ends"], seen["ends"][0] == seen["ends"][1]
+        low, high = _under(low), _over(high)
+        if one or n * 4 / SKETCH <= FEW:
             break
         inside = rows.filter(key.until(high)).agg(F.count_if(key.place < low).alias("below"), F.count_if(key.place >= low).alias("n")).first()
         if inside["n"] > n / 2:  # a few values hold most rows: counts per value are few
