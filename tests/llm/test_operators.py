@@ -365,6 +365,28 @@ def test_a_common_passage_hides_no_link(spark, monkeypatch, chunk, pairs):
     assert {r.doc_id: r.first for r in frame.select("doc_id", F.col(f"{found}.doc").alias("first")).collect()} == dict(enumerate(label))
 
 
+def test_pairs_to_verify_are_no_rows(spark, monkeypatch):
+    """Texts of one passage and the same words pass the sieve with each other: rows stay those of nodes and buckets."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(42)]
+    texts = [words[:12] + draw.sample(words[12:], 30) for _ in range(120)]
+    near = list(texts[77])
+    near[20] = "other"
+    texts.append(near)
+    seen, keep = [], near_dedup.stored
+
+    def counted(frame):
+        seen.append(keep(frame))
+        return seen[-1]
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    frame, _, label = near_dedup.classify(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {r.doc_id: r.first for r in frame.select("doc_id", F.col(f"{label}.doc").alias("first")).collect()}
+    assert found == {i: 77 if i == 120 else i for i in range(121)}
+    assert max(f.count() for f in seen) <= 121 * near_dedup.TIERS[1][4]
+
+
 @pytest.mark.parametrize("n", [5, 9, 10, 12, 20, 40, 60, 100, 400])
 def test_sketch_recall_at_the_least_similarity(n):
     """Pairs at the least similarity meet in a bucket, edits being spread evenly or at random."""

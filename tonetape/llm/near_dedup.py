@@ -12,10 +12,12 @@ Candidates are verified by edit distance over their whole word sequences, comput
 band of the distance that is still allowed: similarity is 1 - distance / words of the longer one, and 0.8
 or more makes a link. Equal texts are one node with one number, so copies cost one row each and no pair.
 First every node is held against the least node it meets, in a few rounds that make the classes large.
-Then the buckets whose nodes are of several classes give all their pairs between classes, none left out:
+Then the buckets whose nodes are of several classes have all their pairs between classes tried, none left out:
 a bucket is cut into chunks of ``CHUNK`` nodes, each pair of chunks is a group of its own, and a task
 sieves the pairs of a group by length and by word counts in ``SIGNS`` hashed cells before any text is
-fetched. Only pairs that pass are rows. A bucket of any size is so divided; none is dropped or capped.
+fetched. Nodes with a pair that passes, not pairs, are rows: they fetch their texts and the task of the group
+verifies its pairs, each in the first bucket both nodes share. A bucket of any size is so divided; none is
+dropped or capped.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
@@ -29,7 +31,8 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -44,7 +47,8 @@ from tonetape.llm.wordruns import Rolling, mixed
 from tonetape.session import shared_folder
 
 #: (least words, words it ends before, words of a run, runs taken, bands): texts with a similarity of 0.8 share a tier.
-TIERS = ((5, 13, 2, 1, 24), (10, 1 << 62, 2, 2, 24))
+BANDS = 24
+TIERS = ((5, 13, 2, 1, BANDS), (10, 1 << 62, 2, 2, BANDS))
 SIMILAR = 0.8
 #: Rounds in which nodes are held against the least node they meet.
 ROUNDS = 2
@@ -187,7 +191,11 @@ def distance_within(a: list, b: list, most: int) -> int | None:
 
 def similar(a: bytes, b: bytes, least: float = SIMILAR) -> float | None:
     """Similarity of two texts by words if it reaches ``least``."""
-    x, y = a.split(), b.split()
+    return alike(a.split(), b.split(), least)
+
+
+def alike(x: list[bytes], y: list[bytes], least: float = SIMILAR) -> float | None:
+    """Similarity of two word sequences if it reaches ``least``."""
     longest = max(len(x), len(y))
     if not longest:
         return 1.0
@@ -327,55 +335,116 @@ def to_heads(rows: DataFrame) -> DataFrame:
     return rows.where(other).groupBy(F.col("id").alias("v")).agg(F.min("head.id").alias("u"))
 
 
-def all_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) of every bucket between classes that can be similar by length and word counts, once each."""
+def all_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): links that join all classes which any pair of a bucket joins.
+
+    Every pair between classes that can be similar by length and word counts is verified, in one group: that of the
+    first bucket both share. Groups list their pairs by place, so rows are nodes of groups, never pairs; a text
+    moves once for each group that needs it. Pairs of classes that a link of the group joins already are passed over.
+    """
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    signed = rows.select("bucket", "id", "words", "label", parts.alias("parts")).join(nodes.select("id", "sign"), "id")
+    place = F.array_position("buckets", F.col("bucket"))
+    # The buckets of the tier that the bucket is of.
+    tier = F.when(place > BANDS, F.slice("buckets", BANDS + 1, BANDS)).otherwise(F.slice("buckets", 1, BANDS)).alias("tier")
+    open_ = rows.select("bucket", "id", "words", "label", parts.alias("parts")).join(nodes.select("id", "sign", "buckets"), "id")
+    signed = open_.select("bucket", "id", "words", "label", "parts", "sign", tier)
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     signed = signed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("met")
     # Within a chunk all pairs are of interest, between two only those across.
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side")
-    met = signed.select(group, "id", "words", "label", "sign", side).repartition("met").sortWithinPartitions("met")
-
-    def sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The pairs of all groups of the rows."""
-        met, ids, words, labels, sides = (batch.column(c).to_numpy() for c in ("met", "id", "words", "label", "side"))
-        signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
-        last = np.searchsorted(met, met, side="right")
-        after = last - np.arange(len(met)) - 1
-        for start, stop in _slices(after):
-            one = np.repeat(np.arange(start, stop), after[start:stop])
-            if not len(one):
-                continue
-            before = np.cumsum(after[start:stop]) - after[start:stop]
-            two = one + 1 + np.arange(len(one)) - np.repeat(before, after[start:stop])
-            longest = np.maximum(words[one], words[two])
-            most = np.floor(longest * (1 - SIMILAR) + 1e-9)
-            good = (labels[one] != labels[two]) & (longest - np.minimum(words[one], words[two]) <= most)
-            good &= (sides[one] != sides[two]) | (sides[one] < 0)
-            one, two, most = one[good], two[good], most[good]
-            apart = signs[one].astype(np.int16) - signs[two]
-            good = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most
-            u, v = np.minimum(ids[one], ids[two])[good], np.maximum(ids[one], ids[two])[good]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    met = signed.select(group, "bucket", "id", "words", "label", "sign", "tier", side).repartition("met").sortWithinPartitions("met")
+    listed = stored(met.mapInArrow(_by_group(_sieved), "met bigint, place int, id bigint, label bigint, partners array<int>"))
+    texts = listed.join(nodes.select("id", "text"), "id").select("met", "place", "id", "label", "partners", "text")
+    return texts.repartition("met").sortWithinPartitions("met", "place").mapInArrow(_by_group(_verified), "u bigint, v bigint")
+
+
+def _by_group(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
+    """Work on whole groups of rows that come sorted by ``met``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held is not None:
-                batch = pa.concat_batches([held, batch])
             # The last group may go on in the next batch.
             met = batch.column("met").to_numpy()
+            if held and met[-1] == held[0].column("met")[0].as_py():
+                held.append(batch)
+                continue
             whole = int(np.searchsorted(met, met[-1]))
-            yield from sieved(batch.slice(0, whole))
-            held = batch.slice(whole)
-        if held is not None:
-            yield from sieved(held)
-
-    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+            if held or whole:
+                yield from work(pa.concat_batches([*held, batch.slice(0, whole)]))
+            held = [batch.slice(whole)]
+        if held:
+            yield from work(pa.concat_batches(held))
+
+    return run
+
+
+def _sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(met, place, id, label, places of later partners) of the nodes that have a pair to verify in a group."""
+    met, bucket, ids, words, labels, sides = (batch.column(c).to_numpy() for c in ("met", "bucket", "id", "words", "label", "side"))
+    signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
+    sizes = pc.list_value_length(batch.column("tier")).to_numpy()
+    tiers = np.zeros((len(met), BANDS), np.int64)
+    tiers[np.arange(BANDS) < sizes[:, None]] = batch.column("tier").flatten().to_numpy()
+    after = np.searchsorted(met, met, side="right") - np.arange(len(met)) - 1
+    ones, twos = [], []
+    for start, stop in _slices(after):
+        one = np.repeat(np.arange(start, stop), after[start:stop])
+        if not len(one):
+            continue
+        before = np.cumsum(after[start:stop]) - after[start:stop]
+        two = one + 1 + np.arange(len(one)) - np.repeat(before, after[start:stop])
+        longest = np.maximum(words[one], words[two])
+        most = np.floor(longest * (1 - SIMILAR) + 1e-9)
+        good = (labels[one] != labels[two]) & (longest - np.minimum(words[one], words[two]) <= most)
+        good &= (sides[one] != sides[two]) | (sides[one] < 0)
+        one, two, most = one[good], two[good], most[good]
+        # The first bucket that both share has the pair.
+        shared = tiers[one] == tiers[two]
+        first = shared.argmax(axis=1)
+        good = (tiers[one, first] == bucket[one]) | ~shared.any(axis=1)
+        one, two, most = one[good], two[good], most[good]
+        apart = signs[one].astype(np.int16) - signs[two]
+        good = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most
+        ones.append(one[good].astype(np.int32))
+        twos.append(two[good].astype(np.int32))
+    if not sum(map(len, ones)):
+        return
+    one, two = np.concatenate(ones), np.concatenate(twos)  # in the order of the first one
+    rows = np.union1d(one, two)
+    ends = np.searchsorted(one, rows, side="right")
+    starts = np.searchsorted(one, rows)
+    partners = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(two))
+    columns = [pa.array(met[rows]), pa.array(rows.astype(np.int32)), pa.array(ids[rows]), pa.array(labels[rows]), partners]
+    yield pa.RecordBatch.from_arrays(columns, ["met", "place", "id", "label", "partners"])
+
+
+def _verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of similar texts that join classes of a group which no link before has joined."""
+    met, places, ids, labels = (batch.column(c).to_pylist() for c in ("met", "place", "id", "label"))
+    at = dict(zip(zip(met, places, strict=True), range(len(ids)), strict=True))
+    texts, links, group, joined_ = batch.column("text"), [], None, {}
+    words = cache(lambda i: texts[i].as_py().split())
+
+    def end(label: int) -> int:
+        while joined_.get(label, label) != label:
+            label = joined_[label]
+        return label
+
+    for i, partners in enumerate(batch.column("partners").to_pylist()):
+        if met[i] != group:
+            group, joined_ = met[i], {}
+            words.cache_clear()
+        for j in (at[group, p] for p in partners):
+            a, b = end(labels[i]), end(labels[j])
+            if a != b and alike(words(i), words(j)) is not None:
+                joined_[max(a, b)] = min(a, b)
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    u, v = zip(*links, strict=True) if links else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _slices(after: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -403,7 +472,7 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if links.isEmpty():
             break
         labels = joined(labels, links)
-    links = stored(verify(stored(all_pairs(open_rows(rows.select("bucket", "id", "words"), labels), nodes)), nodes))
+    links = stored(all_links(open_rows(rows.select("bucket", "id", "words"), labels), nodes).distinct())
     return nodes, labels if links.isEmpty() else joined(labels, links)
 
 
