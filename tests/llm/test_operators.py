@@ -85,6 +85,8 @@ IDS = [LAST if r[0] is None else r[0] for r in ROWS]
 
 def test_empty_tables(spark, nothing, tmp_path):
     nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, schema in (("embeddings", "vec_id bigint, embedding array<float>, label int"), ("labels", "doc_id bigint, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     from tonetape.llm.queries import QUERIES
 
     assert {name: query(spark, str(tmp_path)).count() for name, query in QUERIES.items()} == dict.fromkeys(QUERIES, 0)
