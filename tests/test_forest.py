@@ -75,3 +75,36 @@ def test_search_over_any_learner(rows):
     chosen = next(r for r in found if r.is_best)
     assert chosen.mean_accuracy == max(r.mean_accuracy for r in found) > 0.8
     assert best.stages[-1].getOrDefault("maxIter") == chosen.maxIter
+
+
+def test_fits_read_stored_folds_dealt_out_to_the_cores(rows, monkeypatch):
+    """A fit of few bytes but many rows has more than one task, and does not number the folds again."""
+    seen, keep = [], forest.fit
+
+    def fit(train, *rest, **settings):
+        seen.append((train.rdd.getNumPartitions(), train._jdf.queryExecution().executedPlan().toString()))
+        return keep(train, *rest, **settings)
+
+    monkeypatch.setattr(forest, "fit", fit)
+    monkeypatch.setattr(forest, "ROWS_A_TASK", 100, raising=False)
+    one = rows.coalesce(1)
+    forest.search(one, ["x", "noise"], ["id"], {"numTrees": [2, 3]}, folds=2, seed=1)
+    assert len(seen) == 5 and all(n >= 4 for n, _ in seen)
+    assert not any("Window" in plan or "Exchange" in plan for _, plan in seen)
+
+
+def test_grid_search_walks_no_tree_again(rows, monkeypatch):
+    """Rows keep their nodes between levels, and the trees are those of a walk from the roots."""
+    settings, keep = [], forest.search
+
+    def search(*rest, **given):
+        settings.append({k: given[k] for k in ("numTrees", "maxDepth", "impurity", "minInstancesPerNode", "seed", "cacheNodeIds")})
+        return keep(*rest, **given)
+
+    monkeypatch.setattr(forest, "search", search)
+    forest.grid_search(rows, ["x", "noise"], ["id"], features_per_split=(1,), folds=2, trees=3, depth=4)
+    assert settings[0]["cacheNodeIds"]
+    one = rows.coalesce(1)
+    walked = forest.fit_forest(one, ["x", "noise"], **{**settings[0], "cacheNodeIds": False})
+    kept = forest.fit_forest(one, ["x", "noise"], **settings[0])
+    assert kept.stages[-1].toDebugString.split("\n")[1:] == walked.stages[-1].toDebugString.split("\n")[1:]

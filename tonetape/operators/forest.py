@@ -21,11 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonetape.operators import splits, thresholds
+from tonetape.session import shared_folder
+from tonetape.sources import tables
 
 FEATURES, PREDICTED = "Features", "Predicted_Label"
 Learner = Callable[..., Estimator]
 #: Fits that run side by side.
 SIDE_BY_SIDE = 5
+#: Training rows for which a task of its own pays: rows are small, the work on them is not.
+ROWS_A_TASK = 8192
 
 
 def assembler(features: Iterable[str]) -> VectorAssembler:
@@ -55,6 +59,15 @@ def fit_forest(train: DataFrame, features: Iterable[str], label: str = "Label",
     return fit(train, features, label, forest, **settings)
 
 
+def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows dealt out to all cores, where their few bytes would make a task or two; few rows stay as they are."""
+    wanted = min(-(-rows.count() // ROWS_A_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+    if rows.rdd.getNumPartitions() >= wanted:
+        return rows
+    dealt = rows.repartition(wanted).sortWithinPartitions(*keys)  # forests draw by place
+    return tables.write_table(dealt, shared_folder(rows.sparkSession))
+
+
 def predict(model: PipelineModel, rows: DataFrame, label: str = "Label") -> DataFrame:
     """The rows with ``label``, the class probabilities ``p0`` and ``p1`` and the predicted class."""
     probability = vector_to_array("probability")
@@ -102,9 +115,10 @@ def cross_predictions(
 
     Columns ``setting`` (its place in the list) and ``fold`` tell them apart. One distributed fit per fold and
     setting, some side by side; the models stay, their scores are computed where the result is used.
-    Folds come from ``splits.stratified_folds``; give this stored rows, which each fit reads.
+    Folds come from ``splits.stratified_folds`` and are stored once, as every fit and prediction reads them.
     """
-    folded = splits.stratified_folds(rows, keys, label, folds, seed=fold_seed)
+    numbered = splits.stratified_folds(rows, keys, label, folds, seed=fold_seed)
+    folded = _spread(tables.write_table(numbered, shared_folder(rows.sparkSession)), keys)
     jobs = list(product(enumerate(settings), range(folds)))
 
     def scored(job) -> DataFrame:
@@ -172,7 +186,7 @@ def search(
         [(*every[r["setting"]].values(), r["mean_accuracy"], r["std_accuracy"], r["setting"] == best) for r in sorted(found)],
         [*names, "mean_accuracy", "std_accuracy", "is_best"],
     )
-    return table, fit(rows, features, label, learner, **{**settings, **every[best]})
+    return table, fit(_spread(rows, keys), features, label, learner, **{**settings, **every[best]})
 
 
 def grid_search(
@@ -190,11 +204,13 @@ def grid_search(
     """Accuracy per number of features tried at a split, and the model refitted with the best.
 
     Spark has no least node size for a split; the rule "a node of 0.1% of the rows may split" is
-    replaced by its nearest kin, at least half that many rows in each child.
+    replaced by its nearest kin, at least half that many rows in each child. Each row keeps its node of every
+    tree from level to level: the trees are the same, and no level walks all trees from their roots again.
     """
     least = max(1, int(rows.count() * 0.001 / 2))
     choices = {"featureSubsetStrategy": [str(n) for n in features_per_split]}
     fixed = {"numTrees": trees, "maxDepth": depth, "impurity": "entropy", "minInstancesPerNode": least, "seed": seed}
+    fixed |= {"cacheNodeIds": True, "checkpointInterval": -1}
     table, best = search(rows, features, keys, choices, label, folds=folds, **fixed)
     number = F.col("featureSubsetStrategy").cast("int").alias("max_features")
     return table.select(number, "mean_accuracy", "std_accuracy", "is_best"), best
