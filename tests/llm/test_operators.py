@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -426,6 +427,30 @@ def test_components_of_chains_and_stars(spark):
     assert {r.node: r.label for r in found.collect()} == least
 
 
+def test_texts_move_once(spark, monkeypatch):
+    """Texts are brought to their nodes once; what is kept takes them from there, null ones as null."""
+    made, keep = [], near_dedup.stored_by
+
+    def counted(frame, key):
+        made.append(frame)
+        return keep(frame, key)
+
+    monkeypatch.setattr(near_dedup, "stored_by", counted)
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "a"), (2, long + " x", "b"), (3, None, "c"), (4, "", "d"), (None, "é  ü\n", "e"), (5, long, "f"), (1, long, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `s.t` string")
+    kept = near_dedup.keep_one(docs)
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == [rows[0], rows[2], rows[4]]
+
+    def moved(frame):
+        told = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+        return [part for part in told.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", part)]
+
+    nodes = [part for part in moved(made[0].drop("clash")) if "REPARTITION" in part or "ENSURE" in part]
+    texts = [part for part in moved(kept) if re.search(r"\btext#|\bfirst#", part.split("Arguments")[0])]
+    assert (len(nodes), len(texts)) == (1, 0), (nodes, texts)
+
+
 def test_near_dedup_of_nothing(nothing):
     assert near_dedup.keep_one(nothing).count() == 0 and near_dedup.classes(nothing).count() == 0
 

@@ -219,37 +219,46 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce(column(docs, "text"), F.lit("")).cast("binary")
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """(id, doc, a, b, words, sign, buckets, text) of every distinct text, stored in buckets of the id.
+def _id(seed: int, a: Column, b: Column) -> Column:
+    return F.xxhash64(F.lit(seed), a, b)
+
+
+def nodes_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(id, doc, a, b, words, sign, buckets, text) of every distinct text, stored in buckets of the id, and the id's seed.
 
     The id is a hash of the text's 128-bit key; should two keys share one, all are dealt anew by another seed.
+    Texts are grouped by the id, so they move once and are written where they are.
     """
     node = _node(docs)
     frame = docs.select(*(node[c].alias(c) for c in ("a", "b", "doc")), _text(docs).alias("text"))
-    one = frame.groupBy("a", "b").agg(F.min(F.struct("doc", "text")).alias("first")).select("a", "b", "first.doc", "first.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(5).to_pylist()
             sizes, found, signs = buckets(texts)
             ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
             made = [pa.array(sizes, pa.int32()), pa.array([row.tobytes() for row in signs], pa.binary()), lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
 
-    names = ["a", "b", "doc", "text", "words", "sign", "buckets"]
-    sketched = one.mapInArrow(run, "a bigint, b bigint, doc bigint, text binary, words int, sign binary, buckets array<bigint>")
+    names = ["id", "clash", "a", "b", "doc", "text", "words", "sign", "buckets"]
+    schema = "id bigint, clash boolean, a bigint, b bigint, doc bigint, text binary, words int, sign binary, buckets array<bigint>"
+    key = F.struct("a", "b")
     for seed in count():
-        nodes = stored_by(sketched.withColumn("id", F.xxhash64(F.lit(seed), "a", "b")), "id")
-        if nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-            return nodes
+        one = frame.groupBy(_id(seed, F.col("a"), F.col("b")).alias("id")).agg(
+            F.min(F.struct("a", "b", "doc", "text")).alias("first"), (F.min(key) != F.max(key)).alias("clash")
+        )
+        made = one.select("id", "clash", "first.a", "first.b", "first.doc", "first.text").mapInArrow(run, schema)
+        nodes = stored_by(made, "id")
+        if nodes.where("clash").isEmpty():
+            return nodes.drop("clash"), seed
 
 
 def stored_by(frame: DataFrame, key: str) -> DataFrame:
-    """The frame written to the shared folder in sorted buckets of the key: joins on the key don't move its rows."""
+    """The frame, grouped by the key already, written to the shared folder in sorted buckets of it: joins on it don't move its rows."""
     spark = frame.sparkSession
-    name, n = f"tonetape_{uuid.uuid4().hex}", partitions(spark)
-    writer = frame.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    name = f"tonetape_{uuid.uuid4().hex}"
+    writer = frame.write.bucketBy(partitions(spark), key).sortBy(key)
     writer.option("path", shared_folder(spark)).saveAsTable(name)
     read = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone; the files are the shared folder's
@@ -458,10 +467,10 @@ def _slices(after: np.ndarray) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The nodes, and the class (node, label) of each node that has links."""
+def find_links(docs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """The nodes, the seed of their ids, and the class (node, label) of each node that has links."""
     short_batches(docs.sparkSession)
-    nodes = nodes_of(docs)
+    nodes, seed = nodes_of(docs)
     rows = nodes.select("id", "words", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     rows = stored(rows.join(shared, "bucket"))
@@ -473,18 +482,23 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         labels = joined(labels, links)
     links = stored(all_links(open_rows(rows.select("bucket", "id", "words"), labels), nodes).distinct())
-    return nodes, labels if links.isEmpty() else joined(labels, links)
+    return nodes, seed, labels if links.isEmpty() else joined(labels, links)
+
+
+def _members(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (id, doc, a, b, label) that have links, and the least node (doc, a, b) of each label. Classes are small sets of nodes."""
+    in_class = stored(nodes.select("id", "doc", "a", "b").join(labels.withColumnRenamed("node", "id"), "id"))
+    return in_class, stored(in_class.groupBy("label").agg(F.min(F.struct("doc", "a", "b")).alias("least")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per text: (a, b, label), the least node of its class."""
-    nodes, labels = find_links(docs)
+    nodes, _, labels = find_links(docs)
     node = F.struct("doc", "a", "b")
     if labels is None:
         return nodes.select("a", "b", node.alias("label"))
-    # Classes are small sets of nodes; the rest are classes of their own.
-    in_class = stored(nodes.select("id", "doc", "a", "b").join(labels.withColumnRenamed("node", "id"), "id"))
-    first = stored(in_class.groupBy("label").agg(F.min(node).alias("least")))
+    # Nodes without links are classes of their own.
+    in_class, first = _members(nodes, labels)
     named = in_class.join(first, "label").select("a", "b", F.col("least").alias("label"))
     alone = nodes.join(labels.select(F.col("node").alias("id")), "id", "left_anti").select("a", "b", node.alias("label"))
     return named.unionByName(alone)
@@ -500,10 +514,22 @@ def classify(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The first document of every class, as it came."""
-    frame, node, label = classify(docs)
-    kept = frame.where(F.col(node) == F.col(label)).dropDuplicates([node])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The first document of every class, as it came.
+
+    Texts stay where the nodes have them: the other columns of each text's first document are brought there.
+    """
+    nodes, seed, labels = find_links(docs)
+    if labels is not None:
+        in_class, first = _members(nodes, labels)
+        later = in_class.join(first, "label").where(F.struct("doc", "a", "b") != F.col("least")).select("id")
+        nodes = nodes.join(later, "id", "left_anti")
+    node, others = _node(docs), [c for c in docs.columns if c != "text"]
+    row = F.struct(column(docs, "text").isNull().alias("0"), *(F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(others, 1)))
+    rows = docs.select(_id(seed, node["a"], node["b"]).alias("id"), node["doc"].alias("doc"), row.alias("row"))
+    firsts = rows.groupBy("id").agg(F.min_by("row", "doc").alias("row"))
+    text = F.when(~F.col("row")["0"], F.col("text").cast("string"))
+    made = {c: F.col("row")[str(i)] for i, c in enumerate(others, 1)} | {"text": text}
+    return firsts.join(nodes.select("id", "text"), "id").select(*(made[c].alias(c) for c in docs.columns))
 
 
 def op6_near_dedup(spark, folder: str) -> DataFrame:
