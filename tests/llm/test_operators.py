@@ -390,6 +390,49 @@ def test_pairs_to_verify_are_no_rows(spark, monkeypatch):
     assert max(f.count() for f in seen) <= 121 * near_dedup.TIERS[1][4]
 
 
+def test_pairs_that_failed_are_not_tried_again(spark, monkeypatch):
+    """Texts of one passage have one head that none is like: the next round holds them against another."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(30)]
+    texts = [passage + [word() for _ in range(30)] for _ in range(40)]
+    texts += [[*t[:50], word(), *t[51:]] for t in texts[:10]]
+    tried, keep = [], near_dedup.verify
+
+    def counted(pairs, nodes):
+        tried.append({(r.u, r.v) for r in pairs.collect()})
+        return keep(pairs, nodes)
+
+    monkeypatch.setattr(near_dedup, "verify", counted)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    frame, _, label = near_dedup.classify(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {r.doc_id: r.first for r in frame.select("doc_id", F.col(f"{label}.doc").alias("first")).collect()}
+    assert found == {i: i - 40 if i >= 40 else i for i in range(50)}
+    assert len(tried) == 2 and tried[1] and not tried[0] & tried[1]
+
+
+def test_chunks_of_a_large_bucket_meet_by_length(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 3)
+    lengths = [10, 10, 12, 12, 13, 40, 41, 50, 51, 63, 64, 64, 400, 500, 501, 900]
+    rows = [(i, n, 7) for i, n in enumerate(lengths)] + [(20, 10, 8), (21, 900, 8)]
+    open_ = near_dedup.open_rows(spark.createDataFrame(rows, "id bigint, words int, bucket bigint"), None)
+    cut = open_.withColumn("mine", F.expr("int((place - 1) div 3)")).withColumn("n", F.col("n").cast("int"))
+    met = {(r.bucket, r.mine): set(r.others) for r in near_dedup._meeting_chunks(cut).collect()}
+    chunk = {r.id: r.mine for r in cut.where("bucket = 7").collect()}
+    near = {(a, b) for a, x in enumerate(lengths) for b, y in enumerate(lengths) if min(x, y) >= 0.8 * max(x, y)}
+    assert met == {(7, m): {chunk[b] for a, b in near if chunk[a] == m} for m in range(6)}
+    assert sum(map(len, met.values())) < 36
+
+
+def test_the_first_sieve_loses_no_pair():
+    draw = np.random.default_rng(1)
+    signs = np.minimum(draw.poisson(draw.choice([0.1, 1, 20, 200], (60, 1)), (60, near_dedup.SIGNS)), 255).astype(np.uint8)
+    packed = near_dedup.coarse(signs)
+    cells = np.concatenate([packed & 15, packed >> 4], axis=1)
+    a, b = (x.ravel() for x in np.indices((60, 60)))
+    assert packed.shape == (60, 64) and (near_dedup.least_edits(cells[a], cells[b]) <= near_dedup.least_edits(signs[a], signs[b])).all()
+
+
 @pytest.mark.parametrize("n", [5, 9, 10, 12, 20, 40, 60, 100, 400])
 def test_sketch_recall_at_the_least_similarity(n):
     """Pairs at the least similarity meet in a bucket, edits being spread evenly or at random."""

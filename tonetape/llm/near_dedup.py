@@ -11,13 +11,14 @@ similar: their bucket is their words.
 Candidates are verified by edit distance over their whole word sequences, computed by bit vectors in a
 band of the distance that is still allowed: similarity is 1 - distance / words of the longer one, and 0.8
 or more makes a link. Equal texts are one node with one number, so copies cost one row each and no pair.
-First every node is held against the least node it meets, in a few rounds that make the classes large.
-Then the buckets whose nodes are of several classes have all their pairs between classes tried, none left out:
-a bucket is cut into chunks of ``CHUNK`` nodes, each pair of chunks is a group of its own, and a task
-sieves the pairs of a group by length and by word counts in ``SIGNS`` hashed cells before any text is
-fetched. Nodes with a pair that passes, not pairs, are rows: they fetch their texts and the task of the group
-verifies its pairs, each in the first bucket both nodes share. A bucket of any size is so divided; none is
-dropped or capped.
+First every node is held against the least node it meets, then the next, in a few rounds that make the classes
+large. Then the buckets whose nodes are of several classes have all their pairs between classes tried, none left
+out: a bucket is cut by length into chunks of ``CHUNK`` nodes, each pair of chunks whose lengths allow a link is a
+group of its own, and a task sieves the pairs of a group by length and by word counts, in ``COARSE`` hashed cells
+of four bits, then in ``SIGNS`` cells of eight, before any text is fetched. Nodes with a pair that passes, not
+pairs, are rows: they fetch their counts, then their texts, and the task of the group verifies its pairs, each in
+the first bucket both nodes share. A bucket of any size is so divided; none is dropped or capped. A bucket is
+named by its band and 32 bits: few rows meet by chance, and they fail the sieves.
 
 Classes are connected components of the links, found by joins with pointer jumping over stored tables.
 
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonetape.llm.shared import column, documents, free_names, partitions, short_batches, stored
@@ -56,9 +57,13 @@ ROUNDS = 2
 CHUNK = 256
 #: Hashed cells of a node's word counts: with few, words that differ fall together and pairs pass that need not.
 SIGNS = 512
+#: Cells of the first sieve, whose counts move once for each open bucket of a node: 64 bytes.
+COARSE = 128
 #: Pairs that a task holds at once.
 PAIRS = 1 << 17
 LAST = (1 << 63) - 1
+#: The bits of a bucket's name beside its band.
+LOW = (1 << 32) - 1
 
 
 # --- Sketches -------------------------------------------------------------------------------------
@@ -86,14 +91,15 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     signs = np.minimum(np.bincount(cells, minlength=len(texts) * SIGNS), 255).astype(np.uint8).reshape(-1, SIGNS)
     out: list[list[np.ndarray]] = [[] for _ in texts]
     for i in np.flatnonzero(sizes < TIERS[0][0]):
-        out[i].append(np.array([xxhash.xxh3_64_intdigest(b" ".join(texts[i].split())) - (1 << 63)]))
+        out[i].append(np.array([xxhash.xxh3_64_intdigest(b" ".join(texts[i].split())) & LOW]))
     for number, (least, end, k, taken, bands) in enumerate(TIERS):
         of_tier = (sizes >= least) & (sizes < end)
         mine = np.flatnonzero(of_tier)
         if len(mine):
             part = words if len(mine) == len(texts) else np.ascontiguousarray(words[:, of_tier[owner]])
             found = sketches(part, sizes[mine], bands, k, taken)
-            for i, row in zip(mine, found ^ np.int64(number << 60), strict=True):
+            named = (found & LOW) | (1 + number * BANDS + np.arange(bands)) << 32
+            for i, row in zip(mine, named, strict=True):
                 out[i].append(row)
     return sizes, [np.concatenate(rows) for rows in out], signs
 
@@ -138,6 +144,23 @@ def sketches(words: np.ndarray, sizes: np.ndarray, bands: int, k: int, taken: in
     return out
 
 
+def coarse(signs: np.ndarray) -> np.ndarray:
+    """Word counts in COARSE cells, 15 of a cell at most, two cells a byte."""
+    cells = np.minimum(signs.reshape(len(signs), -1, COARSE).sum(axis=1, dtype=np.int64), 15).astype(np.uint8)
+    return cells[:, : COARSE // 2] | cells[:, COARSE // 2 :] << 4
+
+
+def most_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edits that similar texts of so many words have at most."""
+    return np.floor(np.maximum(a, b) * (1 - SIMILAR) + 1e-9)
+
+
+def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edits between texts of such word counts at least."""
+    apart = a.astype(np.int16) - b
+    return np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+
+
 # --- Alignment ------------------------------------------------------------------------------------
 
 
@@ -224,7 +247,7 @@ def _id(seed: int, a: Column, b: Column) -> Column:
 
 
 def nodes_of(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(id, doc, a, b, words, sign, buckets, text) of every distinct text, stored in buckets of the id, and the id's seed.
+    """(id, doc, a, b, words, sign, coarse, buckets, text) of every distinct text, stored in buckets of the id, and the id's seed.
 
     The id is a hash of the text's 128-bit key; should two keys share one, all are dealt anew by another seed.
     Texts are grouped by the id, so they move once and are written where they are.
@@ -238,11 +261,12 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, int]:
             sizes, found, signs = buckets(texts)
             ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            made = [pa.array(sizes, pa.int32()), pa.array([row.tobytes() for row in signs], pa.binary()), lists]
+            counts = (pa.array([row.tobytes() for row in cells], pa.binary()) for cells in (signs, coarse(signs)))
+            made = [pa.array(sizes, pa.int32()), *counts, lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
 
-    names = ["id", "clash", "a", "b", "doc", "text", "words", "sign", "buckets"]
-    schema = "id bigint, clash boolean, a bigint, b bigint, doc bigint, text binary, words int, sign binary, buckets array<bigint>"
+    names = ["id", "clash", "a", "b", "doc", "text", "words", "sign", "coarse", "buckets"]
+    schema = "id bigint, clash boolean, a bigint, b bigint, doc bigint, text binary, words int, sign binary, coarse binary, buckets array<bigint>"
     key = F.struct("a", "b")
     for seed in count():
         one = frame.groupBy(_id(seed, F.col("a"), F.col("b")).alias("id")).agg(
@@ -265,19 +289,29 @@ def stored_by(frame: DataFrame, key: str) -> DataFrame:
     return read
 
 
+def _of_both(pairs: DataFrame, nodes: DataFrame, *names: str) -> DataFrame:
+    """The pairs (u, v) with columns of both nodes, as name_u and name_v. Pairs move to the nodes, with the columns of one at most."""
+    u, v = (nodes.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "uv")
+    return pairs.select("u", "v").join(v, "v").join(u, "u")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar. Pairs move to the stored texts, with one text at most."""
-    left = nodes.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    right = nodes.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
+    """The pairs (u, v) whose texts are similar; texts are fetched for those alone whose word counts allow it."""
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch.column(f"sign_{x}").to_pylist()), np.uint8).reshape(-1, SIGNS) for x in "uv")
+            most = most_edits(batch.column("words_u").to_numpy(), batch.column("words_v").to_numpy())
+            yield batch.select(["u", "v"]).filter(pa.array(least_edits(u, v) <= most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_ = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            texts_ = zip(batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), strict=True)
             good = pa.array([similar(a, b) is not None for a, b in texts_], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    return both.mapInArrow(run, "u bigint, v bigint")
+    likely = stored(_of_both(pairs, nodes, "words", "sign").mapInArrow(sieve, "u bigint, v bigint"))
+    return _of_both(likely, nodes, "text").mapInArrow(run, "u bigint, v bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -318,19 +352,23 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows (bucket, id, words, label, n, head) of buckets with nodes of several classes, stored."""
-    if labels is None:
-        rows = rows.withColumn("label", F.col("id"))
-    else:
-        rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
-        F.min(F.struct("id", "words", "label")).alias("head"),
+    """The rows (bucket, id, words, label, n, head, place) of buckets with nodes of several classes, stored; places go by length."""
+    label = F.col("id")
+    if labels is not None:
+        rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        rows, label = rows.withColumn("label", F.coalesce("label", "id")), F.col("label")
+    by_length = Window.partitionBy("bucket").orderBy("words", "id")
+    whole = by_length.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = rows.withColumns(
+        {
+            "n": F.count(F.lit(1)).over(whole),
+            "low": F.min(label).over(whole),
+            "high": F.max(label).over(whole),
+            "head": F.min(F.struct("id", "words", label.alias("label"))).over(whole),
+            "place": F.row_number().over(by_length),
+        }
     )
-    several = stored(several.where(F.col("low") != F.col("high")).select("bucket", "n", "head"))
-    return stored(rows.join(several, "bucket"))
+    return stored(told.where(F.col("low") != F.col("high")).drop("low", "high").withColumn("label", label))
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -338,10 +376,23 @@ def _near_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.ceil(F.greatest(a, b) * F.lit(SIMILAR) - F.lit(1e-9))
 
 
-def to_heads(rows: DataFrame) -> DataFrame:
-    """(u, v): every node with the least node of another class that heads one of its buckets."""
+def to_heads(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(u, v): every node with the least node of another class that heads one of its buckets, after the one tried last."""
     other = (F.col("head.label") != F.col("label")) & _near_in_size(F.col("words"), F.col("head.words"))
-    return rows.where(other).groupBy(F.col("id").alias("v")).agg(F.min("head.id").alias("u"))
+    pairs = rows.where(other).select(F.col("id").alias("v"), F.col("head.id").alias("u"))
+    if tried is not None:
+        pairs = pairs.join(tried.select("v", F.col("u").alias("last")), "v", "left").where("last IS NULL OR u > last")
+    return pairs.groupBy("v").agg(F.min("u").alias("u"))
+
+
+def _meeting_chunks(rows: DataFrame) -> DataFrame:
+    """(bucket, mine, others): the chunks that a chunk of a large bucket meets, itself and those of lengths that allow a link."""
+    ends = rows.where(F.col("n") > CHUNK).groupBy("bucket", "mine").agg(F.min("words").alias("from"), F.max("words").alias("to"))
+    ends = stored(ends)
+    others = ends.select("bucket", F.col("mine").alias("other"), F.col("from").alias("from_"), F.col("to").alias("to_"))
+    shorter, longer = F.least("to", "to_"), F.greatest("from", "from_")
+    meet = (shorter >= longer) | _near_in_size(shorter, longer)
+    return ends.join(others, "bucket").where(meet).groupBy("bucket", "mine").agg(F.collect_list("other").alias("others"))
 
 
 def all_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -351,21 +402,28 @@ def all_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     first bucket both share. Groups list their pairs by place, so rows are nodes of groups, never pairs; a text
     moves once for each group that needs it. Pairs of classes that a link of the group joins already are passed over.
     """
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    cut = rows.select("bucket", "id", "words", "label", "n", F.expr(f"int((place - 1) div {CHUNK})").alias("mine"))
     place = F.array_position("buckets", F.col("bucket"))
-    # The buckets of the tier that the bucket is of.
-    tier = F.when(place > BANDS, F.slice("buckets", BANDS + 1, BANDS)).otherwise(F.slice("buckets", 1, BANDS)).alias("tier")
-    open_ = rows.select("bucket", "id", "words", "label", parts.alias("parts")).join(nodes.select("id", "sign", "buckets"), "id")
-    signed = open_.select("bucket", "id", "words", "label", "parts", "sign", tier)
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    signed = signed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # The buckets of the tier that the bucket is of, without their bands.
+    tier = F.when(place > BANDS, F.slice("buckets", BANDS + 1, BANDS)).otherwise(F.slice("buckets", 1, BANDS))
+    tier = F.transform(tier, lambda x: (x.bitwiseAND(F.lit(LOW)) - F.lit(1 << 31)).cast("int")).alias("tier")
+    open_ = cut.join(_meeting_chunks(cut), ["bucket", "mine"], "left").join(nodes.select("id", "coarse", "buckets"), "id")
+    signed = open_.select("bucket", "id", "words", "label", "coarse", "mine", tier, F.coalesce("others", F.array("mine")).alias("others"))
+    signed = signed.withColumn("other", F.explode("others"))
     group = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("met")
     # Within a chunk all pairs are of interest, between two only those across.
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side")
-    met = signed.select(group, "bucket", "id", "words", "label", "sign", "tier", side).repartition("met").sortWithinPartitions("met")
-    listed = stored(met.mapInArrow(_by_group(_sieved), "met bigint, place int, id bigint, label bigint, partners array<int>"))
+    met = signed.select(group, "bucket", "id", "words", "label", "coarse", "tier", side).repartition("met").sortWithinPartitions("met")
+    kinds = "met bigint, place int, id bigint, label bigint, partners array<int>"
+    listed = stored(met.mapInArrow(_by_group(_sieved), kinds))
+    counts = _in_groups(listed.join(nodes.select("id", "words", "sign"), "id"))
+    listed = stored(counts.mapInArrow(_by_group(_sieved_finely), kinds))
     texts = listed.join(nodes.select("id", "text"), "id").select("met", "place", "id", "label", "partners", "text")
-    return texts.repartition("met").sortWithinPartitions("met", "place").mapInArrow(_by_group(_verified), "u bigint, v bigint")
+    return _in_groups(texts).mapInArrow(_by_group(_verified), "u bigint, v bigint")
+
+
+def _in_groups(listed: DataFrame) -> DataFrame:
+    return listed.repartition("met").sortWithinPartitions("met", "place")
 
 
 def _by_group(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
@@ -394,9 +452,11 @@ def _by_group(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Cal
 def _sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """(met, place, id, label, places of later partners) of the nodes that have a pair to verify in a group."""
     met, bucket, ids, words, labels, sides = (batch.column(c).to_numpy() for c in ("met", "bucket", "id", "words", "label", "side"))
-    signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
+    packed = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, COARSE // 2)
+    signs = np.concatenate([packed & 15, packed >> 4], axis=1)
+    bucket = (bucket & LOW) - (1 << 31)
     sizes = pc.list_value_length(batch.column("tier")).to_numpy()
-    tiers = np.zeros((len(met), BANDS), np.int64)
+    tiers = np.zeros((len(met), BANDS), np.int32)
     tiers[np.arange(BANDS) < sizes[:, None]] = batch.column("tier").flatten().to_numpy()
     after = np.searchsorted(met, met, side="right") - np.arange(len(met)) - 1
     ones, twos = [], []
@@ -406,9 +466,8 @@ def _sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             continue
         before = np.cumsum(after[start:stop]) - after[start:stop]
         two = one + 1 + np.arange(len(one)) - np.repeat(before, after[start:stop])
-        longest = np.maximum(words[one], words[two])
-        most = np.floor(longest * (1 - SIMILAR) + 1e-9)
-        good = (labels[one] != labels[two]) & (longest - np.minimum(words[one], words[two]) <= most)
+        most = most_edits(words[one], words[two])
+        good = (labels[one] != labels[two]) & (np.abs(words[one] - words[two]) <= most)
         good &= (sides[one] != sides[two]) | (sides[one] < 0)
         one, two, most = one[good], two[good], most[good]
         # The first bucket that both share has the pair.
@@ -416,8 +475,7 @@ def _sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = shared.argmax(axis=1)
         good = (tiers[one, first] == bucket[one]) | ~shared.any(axis=1)
         one, two, most = one[good], two[good], most[good]
-        apart = signs[one].astype(np.int16) - signs[two]
-        good = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most
+        good = least_edits(signs[one], signs[two]) <= most
         ones.append(one[good].astype(np.int32))
         twos.append(two[good].astype(np.int32))
     if not sum(map(len, ones)):
@@ -431,6 +489,27 @@ def _sieved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, ["met", "place", "id", "label", "partners"])
 
 
+def _sieved_finely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The nodes of _sieved whose pairs pass by counts in SIGNS cells too, with the partners that are left."""
+    met, places, words = (batch.column(c).to_numpy() for c in ("met", "place", "words"))
+    signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
+    at = dict(zip(zip(met.tolist(), places.tolist(), strict=True), range(len(met)), strict=True))
+    left: list[list[int]] = [[] for _ in at]
+    needed = np.zeros(len(met), bool)
+    for i, partners in enumerate(batch.column("partners").to_pylist()):
+        if not partners:
+            continue
+        two = np.array([at[met[i], p] for p in partners])
+        two = two[least_edits(signs[i], signs[two]) <= most_edits(words[i], words[two])]
+        if len(two):
+            left[i] = places[two].tolist()
+            needed[i] = needed[two] = True
+    rows = np.flatnonzero(needed)
+    partners = pa.array([left[i] for i in rows], pa.list_(pa.int32()))
+    columns = [*(batch.column(c).take(pa.array(rows)) for c in ("met", "place", "id", "label")), partners]
+    yield pa.RecordBatch.from_arrays(columns, ["met", "place", "id", "label", "partners"])
+
+
 def _verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The links (u, v) of similar texts that join classes of a group which no link before has joined."""
     met, places, ids, labels = (batch.column(c).to_pylist() for c in ("met", "place", "id", "label"))
@@ -471,17 +550,15 @@ def find_links(docs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
     """The nodes, the seed of their ids, and the class (node, label) of each node that has links."""
     short_batches(docs.sparkSession)
     nodes, seed = nodes_of(docs)
-    rows = nodes.select("id", "words", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    rows = stored(rows.join(shared, "bucket"))
-    labels = None
+    rows = open_rows(nodes.select("id", "words", F.explode("buckets").alias("bucket")), None)
+    labels = tried = None
     for _ in range(ROUNDS):
-        rows = open_rows(rows.select("bucket", "id", "words"), labels)
-        links = stored(verify(stored(to_heads(rows)), nodes))
-        if links.isEmpty():
-            break
-        labels = joined(labels, links)
-    links = stored(all_links(open_rows(rows.select("bucket", "id", "words"), labels), nodes).distinct())
+        tried = stored(to_heads(rows, tried))
+        links = stored(verify(tried, nodes))
+        if not links.isEmpty():
+            labels = joined(labels, links)
+            rows = open_rows(rows.select("bucket", "id", "words"), labels)
+    links = stored(all_links(rows, nodes).distinct())
     return nodes, seed, labels if links.isEmpty() else joined(labels, links)
 
 
