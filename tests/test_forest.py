@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from tonetape.operators import forest, thresholds
 
@@ -108,3 +110,12 @@ def test_grid_search_walks_no_tree_again(rows, monkeypatch):
     walked = forest.fit_forest(one, ["x", "noise"], **{**settings[0], "cacheNodeIds": False})
     kept = forest.fit_forest(one, ["x", "noise"], **settings[0])
     assert kept.stages[-1].toDebugString.split("\n")[1:] == walked.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_models_predict_in_a_session_that_observed(spark):
+    seen = Observation()
+    rows = spark.createDataFrame([(float(i), float(i % 2)) for i in range(40)], "x double, Label double")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 40
+    for learner in forest.LEARNERS.values():
+        assert forest.predict(forest.fit(rows, ["x"], learner=learner, seed=1), rows).select("p1").distinct().count() > 0

@@ -52,7 +52,8 @@ def fit(train: DataFrame, features: Iterable[str], label: str = "Label", learner
     """The learner fitted to 0/1 labels, of which the rows may show one only."""
     two = {"ml_attr": {"type": "nominal", "name": label, "vals": ["0", "1"]}}
     rows = train.withColumn(label, F.col(label).cast("double").alias(label, metadata=two))
-    return Pipeline(stages=[assembler(features), learner(label, **settings)]).fit(rows)
+    # A copy has no training summary: that holds the session, which can't go to tasks once it has observed a frame.
+    return Pipeline(stages=[assembler(features), learner(label, **settings)]).fit(rows).copy()
 
 
 def fit_forest(train: DataFrame, features: Iterable[str], label: str = "Label", **settings) -> PipelineModel:
